@@ -1,0 +1,2 @@
+"""Every workload covered here is a batch job over tables that are read once,
+so this package holds no streaming operators."""
