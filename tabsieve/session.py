@@ -39,16 +39,16 @@ def broadcast_if(df: DataFrame, estimated_bytes: float) -> DataFrame:
 
 
 def spread_lookup(rows: DataFrame, table: DataFrame, on: list[str], counts: DataFrame,
-                  n_rows: int) -> DataFrame:
-    """Inner join of ``rows`` to ``table`` (one row per key) that survives hot keys.
+                  n_rows: int, how: str = "inner") -> DataFrame:
+    """Join of ``rows`` to ``table`` (one row per key) that survives hot keys.
 
     ``counts`` holds ``on`` plus ``_rows``, the number of rows per key. Keys with
     over a thousandth of all rows number fewer than 1000, so their part of
     ``table`` can be broadcast; everything else takes the shuffled join.
     """
     if n_rows < 1_000_000:
-        return rows.join(table, on)
+        return rows.join(table, on, how)
     hot = counts.where(F.col("_rows") > n_rows / 1000.0).select(*on)
     hot_table = table.join(F.broadcast(hot), on, "left_semi")
     return (rows.join(F.broadcast(hot_table), on)
-            .unionByName(rows.join(F.broadcast(hot), on, "left_anti").join(table, on)))
+            .unionByName(rows.join(F.broadcast(hot), on, "left_anti").join(table, on, how)))
