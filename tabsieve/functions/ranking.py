@@ -18,8 +18,9 @@ from pyspark.sql.window import Window
 from tabsieve.session import materialise
 
 
-def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], weights: Sequence[str]) -> DataFrame:
-    """Add ``before_<w>`` and ``total_<w>`` per weight column.
+def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], weights: Sequence[str],
+                   following: str | None = None) -> DataFrame:
+    """Add ``before_<w>`` and ``total_<w>`` per weight column, and the next ``order[0]`` as ``following``.
 
     ``df`` must hold at most one row per (keys, order). The range number is stored
     by the checkpoint, so every later read of it agrees.
@@ -28,11 +29,12 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], wei
     ranged = materialise(
         df.repartitionByRange(*[F.col(c) for c in [*keys, *order]])
         .withColumn("_range", F.spark_partition_id()))
-    per_range = ranged.groupBy(*keys, "_range").agg(*[F.sum(w).alias(f"_s_{w}") for w in weights])
+    per_range = ranged.groupBy(*keys, "_range").agg(F.min(order[0]).alias("_first"),
+                                                    *[F.sum(w).alias(f"_s_{w}") for w in weights])
     group = Window.partitionBy(*(keys or [F.lit(0)]))
     earlier = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_range.select(
-        *keys, "_range",
+        *keys, "_range", F.lead("_first").over(group.orderBy("_range")).alias("_next"),
         *[F.coalesce(F.sum(f"_s_{w}").over(earlier), F.lit(0)).alias(f"_o_{w}") for w in weights],
         *[F.sum(f"_s_{w}").over(group).alias(f"total_{w}") for w in weights])
     local = (Window.partitionBy(*keys, "_range").orderBy(*order)
@@ -40,7 +42,10 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], wei
     out = ranged.join(offsets, [*keys, "_range"])
     for w in weights:
         out = out.withColumn(f"before_{w}", F.col(f"_o_{w}") + F.coalesce(F.sum(w).over(local), F.lit(0)))
-    return out.drop("_range", *[f"_o_{w}" for w in weights])
+    if following:
+        ahead = F.lead(order[0]).over(Window.partitionBy(*keys, "_range").orderBy(*order))
+        out = out.withColumn(following, F.coalesce(ahead, "_next"))
+    return out.drop("_range", "_next", *[f"_o_{w}" for w in weights])
 
 
 def number_rows(df: DataFrame, order: Sequence[str], keys: Sequence[str] = (), name: str = "rn",

@@ -24,22 +24,31 @@ def _uniform_column(spark, n: int, column: str, seed) -> DataFrame:
     return spark.range(n).select(F.col("id").alias("gen_id"), seeded_uniform(f"{seed}|{column}", F.col("id")).alias("_u"))
 
 
-def sample_marginal(df: DataFrame, column: str, n: int, seed: int | str = 42, buckets: int = 4096) -> DataFrame:
-    """(gen_id, column): n values drawn from the column's own distribution.
+def _draw(draws: DataFrame, steps: DataFrame, keys: Sequence[str], column: str, buckets: int) -> DataFrame:
+    """Pick the step whose [lo, hi) holds the row's ``_u``, per key.
 
-    A draw u falls into the value whose cumulative share interval holds it. The
-    interval join runs on equal-width buckets of [0, 1), so a value covering many
-    buckets is matched as one wide entry and narrow ones by bucket.
+    The interval join runs on equal-width buckets of [0, 1): a wide step appears in
+    every bucket it covers, and a hot key is spread over all buckets.
     """
-    spark = df.sparkSession
-    pos = value_positions(df, [], column)
-    steps = materialise(pos.select(F.col(column), (F.col("before") / F.col("total")).alias("lo"),
-                                   ((F.col("before") + F.col("n")) / F.col("total")).alias("hi")))
+    steps = materialise(steps)
     keyed = steps.withColumn("_b", F.explode(F.sequence(
-        F.floor(F.col("lo") * buckets).cast("int"), F.least(F.floor(F.col("hi") * buckets).cast("int"), F.lit(buckets - 1)))))
-    draws = _uniform_column(spark, n, column, seed).withColumn("_b", F.floor(F.col("_u") * buckets).cast("int"))
-    return (draws.join(broadcast_if(keyed, (steps.count() + buckets) * 48), "_b")
-            .where((F.col("_u") >= F.col("lo")) & (F.col("_u") < F.col("hi"))).select("gen_id", column))
+        F.floor(F.col("_lo") * buckets).cast("int"), F.least(F.floor(F.col("_hi") * buckets).cast("int"), F.lit(buckets - 1)))))
+    groups = steps.select(*keys).distinct().count() if keys else 1
+    side = broadcast_if(keyed, (steps.count() + groups * buckets) * 64)
+    return (draws.withColumn("_b", F.floor(F.col("_u") * buckets).cast("int")).join(side, [*keys, "_b"])
+            .where((F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_hi"))).drop("_b", "_lo", "_hi", "_u"))
+
+
+def _steps(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
+    pos = value_positions(df, keys, column)
+    return pos.select(*keys, column, (F.col("before") / F.col("total")).alias("_lo"),
+                      ((F.col("before") + F.col("n")) / F.col("total")).alias("_hi"))
+
+
+def sample_marginal(df: DataFrame, column: str, n: int, seed: int | str = 42, buckets: int = 4096) -> DataFrame:
+    """(gen_id, column): n values drawn from the column's own distribution."""
+    draws = _uniform_column(df.sparkSession, n, column, seed)
+    return _draw(draws, _steps(df, [], column), [], column, buckets).select("gen_id", column)
 
 
 def independent_marginals(df: DataFrame, columns: Sequence[str], n: int, seed: int | str = 42) -> DataFrame:
@@ -130,16 +139,9 @@ def bayesian_network(df: DataFrame, columns: Sequence[str], n: int, seed: int |
     out = spark.range(n).select(F.col("id").alias("gen_id"))
     for child, parent in chow_liu_tree(mi, list(columns)):
         keys = [parent] if parent else []
-        table = value_positions(work, keys, child)
-        table = table.select(*keys, child, (F.col("before") / F.col("total")).alias("_lo"),
-                             ((F.col("before") + F.col("n")) / F.col("total")).alias("_hi"))
         if not parent:
             out = out.join(sample_marginal(work, child, n, seed), "gen_id")
             continue
-        # Children per parent value are at most ``bins`` or a category set: one row array per parent.
-        packed = table.groupBy(parent).agg(F.sort_array(F.collect_list(F.struct("_lo", "_hi", F.col(child).alias("v")))).alias("_t"))
         u = seeded_uniform(f"{seed}|{child}", F.col("gen_id"))
-        pick = F.element_at(F.filter(F.col("_t"), lambda e: (e["_lo"] <= F.col("_u")) & (F.col("_u") < e["_hi"])), 1)["v"]
-        out = (out.withColumn("_u", u).join(broadcast_if(packed, packed.count() * 4096), parent)
-               .withColumn(child, pick).drop("_u", "_t"))
+        out = _draw(out.withColumn("_u", u), _steps(work, keys, child), keys, child, buckets=64)
     return out.select("gen_id", *columns)

@@ -258,14 +258,14 @@ def tag_tiles(tiles: Tiles, values: DataFrame, column: str) -> Tiles:
 
 
 def ball_counts(queries: Tiles, centres: Tiles, metric: str = "euclidean") -> DataFrame:
-    """(pid, w, n_balls): balls around ``centres`` (radius = first tag) that hold the query row."""
+    """(pid, w, n_balls): open balls around ``centres`` (radius = first tag) that hold the query row."""
     pairs = tile_pairs(queries, centres, metric, reach_of_b=True)
 
     def start(a):
         return np.zeros(len(a.ids))
 
     def step(n, a, b, near, far, w_j):
-        n += (block_distance(a.x, b.x, metric) <= b.tag[:, 0][None, :]) @ b.w
+        n += (block_distance(a.x, b.x, metric) < b.tag[:, 0][None, :]) @ b.w
 
     def finish(n, a):
         return pd.DataFrame({"pid": a.ids, "w": a.w.astype(np.int64), "n_balls": n.astype(np.int64)})
