@@ -58,21 +58,22 @@ def number_rows(df: DataFrame, order: Sequence[str], keys: Sequence[str] = (), n
     return out.drop("_one", "before__one", "total__one")
 
 
-def value_positions(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+def value_positions(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
     """One row per distinct value: ``n`` copies, ``before`` smaller rows, ``total`` rows.
 
     The mean rank of the value is ``before + (n + 1) / 2``.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
+        (F.sum(weight).cast("long") if weight else F.count(F.lit(1))).alias("n"))
     return (running_totals(counted, keys, [value], ["n"])
             .withColumnRenamed("before_n", "before").withColumnRenamed("total_n", "total"))
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
-                    names: Sequence[str] | None = None) -> DataFrame:
-    """Linear-interpolation quantiles per group (same rule as ``percentile``)."""
+                    names: Sequence[str] | None = None, weight: str | None = None) -> DataFrame:
+    """Linear-interpolation quantiles per group (same rule as ``percentile``); ``weight`` counts copies."""
     names = list(names or [f"q{i}" for i in range(len(probs))])
-    pos = value_positions(df, keys, value)
+    pos = value_positions(df, keys, value, weight)
 
     def at(rank):
         inside = (F.col("before") <= rank) & (rank < F.col("before") + F.col("n"))

@@ -61,5 +61,10 @@ def with_row_id(df: DataFrame, natural_key: str | None = None, name: str = "row_
     if natural_key:
         return df.withColumn(name, F.col(natural_key).cast("long"))
     counted = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
-    spread = counted.select(*df.columns, F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy"))
+    # copies are spread in steps, so a row repeated very often never becomes one huge array
+    step = 10_000
+    steps = counted.withColumn("_s", F.explode(F.sequence(F.lit(0), ((F.col("_copies") - 1) / step).cast("int"))))
+    last = F.least(F.lit(step), F.col("_copies") - F.col("_s") * step).cast("int")
+    spread = (steps.withColumn("_i", F.explode(F.sequence(F.lit(1), last)))
+              .select(*df.columns, (F.col("_s").cast("long") * step + F.col("_i")).alias("_copy")))
     return number_rows(spread, [*df.columns, "_copy"], name=name).drop("_copy")
