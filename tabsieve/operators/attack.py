@@ -77,10 +77,8 @@ def attribute_inference(real: DataFrame, syn: DataFrame, column: str, models: Se
     others = [c for c in real.columns if c != column]
 
     def ready(df):
-        # codes come first: the label is read from the original column
-        coded = shared_label_codes(syn, df.select(*others, column), column, name="_label")
-        return assemble(encode_against(coded.drop(column), real.drop(column).withColumn("_label", F.lit(0.0)))
-                        .withColumn("label", F.col("_label")), others, "label")
+        coded = shared_label_codes(syn, df.select(*others, column), column, name="label").drop(column)
+        return assemble(encode_against(coded, real.select(*others)), others, "label")
 
     train, test = materialise(ready(syn)), materialise(known_label_rows(ready(real)))
     n_classes = int(train.agg(F.max("label")).first()[0]) + 1

@@ -17,9 +17,10 @@ def moments(df: DataFrame, columns: Sequence[str]) -> tuple[list[float], list[fl
                  *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(columns)],
                  *[F.min(c).cast("double").alias(f"l{i}") for i, c in enumerate(columns)],
                  *[F.max(c).cast("double").alias(f"h{i}") for i, c in enumerate(columns)]).first()
-    mean = [row[f"m{i}"] or 0.0 for i in range(len(columns))]
-    # A constant column keeps scale 1 even when rounding leaves a tiny deviation.
-    std = [row[f"s{i}"] if row[f"s{i}"] and row[f"l{i}"] != row[f"h{i}"] else 1.0 for i in range(len(columns))]
+    # A constant column gets its value as mean and scale 1, whatever rounding leaves behind.
+    flat = [row[f"l{i}"] == row[f"h{i}"] for i in range(len(columns))]
+    mean = [(row[f"l{i}"] if flat[i] else row[f"m{i}"]) or 0.0 for i in range(len(columns))]
+    std = [1.0 if flat[i] else row[f"s{i}"] for i in range(len(columns))]
     return mean, std
 
 

@@ -44,8 +44,11 @@ def read_number_lines(spark: SparkSession, path: str, columns: Sequence[str]) ->
 
 def read_result_files(spark: SparkSession, pattern: str, schema: T.StructType | str | None = None,
                       separator: str = "_") -> DataFrame:
-    """Many CSVs at once; dataset and synthesizer come from the file name ``<dataset>_<synthesizer>.csv``."""
-    name = F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv(\.gz)?$", 1)
+    """Many CSVs at once; dataset and synthesizer come from the name ``<dataset>_<synthesizer>.csv``.
+
+    The name may be that of a file or of a folder of part files.
+    """
+    name = F.regexp_extract(F.input_file_name(), r"([^/]+?)\.csv(\.gz)?(/|$)", 1)
     cut = F.instr(F.col("_n"), separator)
     return (read_csv(spark, pattern, schema).withColumn("_n", F.url_decode(name))
             .withColumn("dataset_name", F.substring("_n", F.lit(1), cut - 1))
