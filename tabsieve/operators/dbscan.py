@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from tabsieve.functions.ranking import number_rows
 from tabsieve.operators.components import connected_components
-from tabsieve.operators.tiles import (SLACK, Tiles, block_distance, build_tiles, fold_copies, fold_pairs, tile_pairs,
-                                      with_tags)
+from tabsieve.operators.tiles import (SLACK, Tiles, block_distance, box_reach, build_tiles, distance_strips,
+                                      fold_copies, fold_pairs, rows_in_reach, tile_pairs, with_tags)
 from tabsieve.session import materialise, spread_lookup
 
 NOISE = -1
@@ -25,8 +25,8 @@ def neighbour_degrees(tiles: Tiles, eps: Sequence[float], metric: str) -> DataFr
     Tile pairs that lie wholly within the smallest eps add their total weight
     without touching a row.
     """
-    inner = min(eps)
-    pairs = tile_pairs(tiles, tiles, metric, reach=max(eps)).withColumn(
+    inner, outer = min(eps), max(eps)
+    pairs = tile_pairs(tiles, tiles, metric, reach=outer).withColumn(
         "payload", (F.col("far") > inner * (1 - SLACK)) | (F.col("i") == F.col("j")))
 
     def start(a):
@@ -36,9 +36,16 @@ def neighbour_degrees(tiles: Tiles, eps: Sequence[float], metric: str) -> DataFr
         if b is None:
             deg += w_j
             return
-        d = block_distance(a.x, b.x, metric)
-        for e, limit in enumerate(eps):
-            deg[:, e] += (d <= limit) @ b.w
+        near_a, far_a = box_reach(a.x, b.x, metric)
+        inside = far_a <= inner * (1 - SLACK)
+        deg[inside] += b.w.sum()
+        ia = np.flatnonzero(~inside & (near_a <= outer * (1 + SLACK)))
+        if not len(ia):
+            return
+        ib = rows_in_reach(b.x, a.x[ia], outer, metric)
+        for rows, d in distance_strips(a.x[ia], b.x[ib], metric):
+            for e, limit in enumerate(eps):
+                deg[ia[rows], e] += (d <= limit) @ b.w[ib]
 
     def finish(deg, a):
         return pd.DataFrame([{"tile": a.tile, "tag": deg.tobytes()}])
@@ -120,7 +127,6 @@ def label_points(df: DataFrame, id_col: str, features: Sequence[str], configs: S
         return {c: set() for c, _, _ in cfg}
 
     def step_edges(links, a, b, near, far, w_j):
-        d = None
         for c, e, _ in cfg:
             if near > eps[e] * (1 + SLACK):
                 continue
@@ -133,12 +139,14 @@ def label_points(df: DataFrame, id_col: str, features: Sequence[str], configs: S
                 links[c].update((int(x), int(v[0])) for x in u)
                 links[c].update((int(u[0]), int(y)) for y in v)
                 continue
-            if d is None:
-                d = block_distance(a.x, b.x, metric)
-            hit_a, hit_b = np.nonzero(d[np.ix_(ia, ib)] <= eps[e])
-            if len(hit_a):
-                links[c].update((int(x), int(y)) for x, y in
-                                np.unique(np.stack([ra[ia][hit_a], rb[ib][hit_b]], axis=1), axis=0))
+            ia = ia[rows_in_reach(a.x[ia], b.x[ib], eps[e], metric)]
+            ib = ib[rows_in_reach(b.x[ib], a.x[ia], eps[e], metric)]
+            root_a, root_b = ra[ia], rb[ib]
+            for rows, d in distance_strips(a.x[ia], b.x[ib], metric):
+                hit_a, hit_b = np.nonzero(d <= eps[e])
+                if len(hit_a):
+                    both = np.unique(np.stack([root_a[rows][hit_a], root_b[hit_b]], axis=1), axis=0)
+                    links[c].update((int(x), int(y)) for x, y in both)
 
     def finish_edges(links, a):
         rows = [(c, u, v) for c in links for u, v in links[c] if u != v]
@@ -180,7 +188,6 @@ def label_points(df: DataFrame, id_col: str, features: Sequence[str], configs: S
         return np.where(a.tag >= 0, a.tag, np.inf)
 
     def step_labels(best, a, b, near, far, w_j):
-        d = None
         for c, e, _ in cfg:
             if near > eps[e] * (1 + SLACK):
                 continue
@@ -188,10 +195,14 @@ def label_points(df: DataFrame, id_col: str, features: Sequence[str], configs: S
             core = np.flatnonzero(b.tag[:, c] >= 0)
             if not len(open_rows) or not len(core):
                 continue
-            if d is None:
-                d = block_distance(a.x, b.x, metric)
-            found = np.where(d[np.ix_(open_rows, core)] <= eps[e], b.tag[core, c][None, :], np.inf).min(axis=1)
-            best[open_rows, c] = np.minimum(best[open_rows, c], found)
+            open_rows = open_rows[rows_in_reach(a.x[open_rows], b.x[core], eps[e], metric)]
+            core = core[rows_in_reach(b.x[core], a.x[open_rows], eps[e], metric)]
+            if not len(core):
+                continue
+            number = b.tag[core, c][None, :]
+            for rows, d in distance_strips(a.x[open_rows], b.x[core], metric):
+                found = np.where(d <= eps[e], number, np.inf).min(axis=1)
+                best[open_rows[rows], c] = np.minimum(best[open_rows[rows], c], found)
 
     def finish_labels(best, a):
         lab = np.where(np.isfinite(best), best, NOISE).astype(np.int32)

@@ -14,8 +14,8 @@ from tabsieve.functions.hashing import seeded_digest
 from tabsieve.functions.ranking import exact_quantiles, number_rows
 from tabsieve.operators.dbscan import neighbour_degrees
 from tabsieve.operators.scale import whiten
-from tabsieve.operators.tiles import (SLACK, Tiles, block_distance, build_tiles, fold_copies, fold_pairs, tile_pairs,
-                                      with_tags)
+from tabsieve.operators.tiles import (SLACK, Tiles, block_distance, box_reach, build_tiles, distance_strips,
+                                      fold_copies, fold_pairs, rows_in_reach, tile_pairs, with_tags)
 from tabsieve.session import materialise, spread_lookup
 
 
@@ -72,16 +72,22 @@ def eps_pairs(df: DataFrame, id_col: str, features: Sequence[str], eps: float, m
         return []
 
     def step(found, a, b, near, far, w_j):
-        d = block_distance(a.x, b.x, metric)
+        rows_a = rows_in_reach(a.x, b.x, eps, metric)
+        rows_b = rows_in_reach(b.x, a.x[rows_a], eps, metric)
+        if not len(rows_b):
+            return
+        d = block_distance(a.x[rows_a], b.x[rows_b], metric)
         r, c = np.nonzero(d <= eps)
+        dist = d[r, c]
+        r, c = rows_a[r], rows_b[c]
         if a.tile == b.tile:
             keep = a.ids[r] < b.ids[c]
-            r, c = r[keep], c[keep]
+            r, c, dist = r[keep], c[keep], dist[keep]
         ia, ib = a.ids[r], b.ids[c]
         swap = ia > ib
         wa, wb = a.w[r].astype(np.int64), b.w[c].astype(np.int64)
         found.append(pd.DataFrame({
-            "id_a": np.where(swap, ib, ia), "id_b": np.where(swap, ia, ib), "distance": d[r, c],
+            "id_a": np.where(swap, ib, ia), "id_b": np.where(swap, ia, ib), "distance": dist,
             "copies_a": np.where(swap, wb, wa), "copies_b": np.where(swap, wa, wb)}))
 
     def finish(found, a):
@@ -139,6 +145,10 @@ def _nearest(queries: Tiles, refs: Tiles, k: int, metric: str, skip_self: bool)
 
     def step(best, a, b, near, far, w_j):
         rows = np.flatnonzero(best["kth"] >= near * (1 - SLACK))
+        if not len(rows):
+            return
+        near_rows, _ = box_reach(a.x[rows], b.x, metric)
+        rows = rows[near_rows <= best["kth"][rows] * (1 + SLACK)]
         if not len(rows):
             return
         d = block_distance(a.x[rows], b.x, metric)
@@ -265,7 +275,9 @@ def ball_counts(queries: Tiles, centres: Tiles, metric: str = "euclidean") -> Da
         return np.zeros(len(a.ids))
 
     def step(n, a, b, near, far, w_j):
-        n += (block_distance(a.x, b.x, metric) < b.tag[:, 0][None, :]) @ b.w
+        rows_b = np.flatnonzero(box_reach(b.x, a.x, metric)[0] <= b.tag[:, 0] * (1 + SLACK))
+        for rows, d in distance_strips(a.x, b.x[rows_b], metric):
+            n[rows] += (d < b.tag[rows_b, 0][None, :]) @ b.w[rows_b]
 
     def finish(n, a):
         return pd.DataFrame({"pid": a.ids, "w": a.w.astype(np.int64), "n_balls": n.astype(np.int64)})
@@ -281,7 +293,8 @@ def kernel_sums(queries: Tiles, refs: Tiles, scale: float, metric: str = "euclid
         return np.zeros(len(a.ids))
 
     def step(acc, a, b, near, far, w_j):
-        acc += np.exp(-scale * block_distance(a.x, b.x, metric) ** 2) @ b.w
+        for rows, d in distance_strips(a.x, b.x, metric):
+            acc[rows] += np.exp(-scale * d ** 2) @ b.w
 
     def finish(acc, a):
         return pd.DataFrame({"pid": a.ids, "w": a.w.astype(np.int64), "total": acc})
@@ -326,11 +339,11 @@ def silhouette_points(tiles: Tiles, labels: DataFrame, metric: str = "euclidean"
         return [np.zeros((len(a.ids), len(lab))) if ok else None for lab, ok in zip(known, valid)]
 
     def step(sums, a, b, near, far, w_j):
-        d = block_distance(a.x, b.x, metric) * b.w[None, :]
-        for c in range(width):
-            if valid[c]:
-                member = b.tag[:, c, None] == known[c][None, :]
-                sums[c] += d @ member.astype(float)
+        member = [(b.tag[:, c, None] == known[c][None, :]) * b.w[:, None] if valid[c] else None for c in range(width)]
+        for rows, d in distance_strips(a.x, b.x, metric):
+            for c in range(width):
+                if valid[c]:
+                    sums[c][rows] += d @ member[c]
 
     def finish(sums, a):
         out = []

@@ -250,10 +250,36 @@ def fold_pairs(a: Tiles, b: Tiles, pairs: DataFrame, start: Callable, step: Call
 def block_distance(x: np.ndarray, y: np.ndarray, metric: str = "euclidean") -> np.ndarray:
     """Distances between two blocks, accumulated column by column (no cancellation)."""
     acc = np.zeros((len(x), len(y)))
+    diff = np.empty_like(acc)
     for j in range(x.shape[1]):
-        diff = x[:, j, None] - y[None, :, j]
-        acc += np.abs(diff) if metric == "manhattan" else diff * diff
-    return acc if metric == "manhattan" else np.sqrt(acc)
+        np.subtract(x[:, j, None], y[None, :, j], out=diff)
+        acc += np.abs(diff, out=diff) if metric == "manhattan" else np.multiply(diff, diff, out=diff)
+    return acc if metric == "manhattan" else np.sqrt(acc, out=acc)
+
+
+def distance_strips(x: np.ndarray, y: np.ndarray, metric: str = "euclidean", cells: int = 1 << 17):
+    """(row slice, distances) in strips small enough to stay in cache."""
+    step = max(1, cells // max(len(y), 1))
+    for at in range(0, len(x), step):
+        rows = slice(at, min(at + step, len(x)))
+        yield rows, block_distance(x[rows], y, metric)
+
+
+def box_reach(x: np.ndarray, other: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest and farthest distance from each row of ``x`` to the bounding box of ``other``."""
+    lo, hi = other.min(axis=0), other.max(axis=0)
+    gap = np.maximum(0.0, np.maximum(lo - x, x - hi))
+    far = np.maximum(np.abs(x - lo), np.abs(x - hi))
+    if metric == "manhattan":
+        return gap.sum(axis=1), far.sum(axis=1)
+    return np.sqrt((gap ** 2).sum(axis=1)), np.sqrt((far ** 2).sum(axis=1))
+
+
+def rows_in_reach(x: np.ndarray, other: np.ndarray, reach: float, metric: str) -> np.ndarray:
+    """Rows of ``x`` that can lie within ``reach`` of some row of ``other``."""
+    if not len(x) or not len(other):
+        return np.zeros(0, dtype=np.int64)
+    return np.flatnonzero(box_reach(x, other, metric)[0] <= reach * (1 + SLACK))
 
 
 def with_tags(tiles: Tiles, tagged: DataFrame, tags: int) -> Tiles:
