@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tabsieve.session import BROADCAST_BYTES, materialise, partitions
 
 MAX_TILES = 16_384          # bounds the box table that tasks hold in memory
-MAX_TILE_ROWS = 2_048       # preferred tile size; grows only past MAX_TILES tiles
+MAX_TILE_ROWS = 1_024       # preferred tile size; grows only past MAX_TILES tiles
 SAMPLE_PER_TILE = 24
 SLACK = 1e-9                # box tests are loosened so that rounding never prunes a true pair
 
