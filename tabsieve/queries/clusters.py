@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabsieve.operators import filters, neighbours, scale, search
+from tabsieve.operators import encode, filters, neighbours, scale, search
 from tabsieve.operators.centre import centre_distances, geometric_medians
 from tabsieve.operators.compare import tagged_union
 from tabsieve.operators.dbscan import dbscan
@@ -115,8 +115,7 @@ def median_vz(spark, folder):
 
 
 DIST = f"""{ROWS}, {medians_sql(60, 'plain')}, dist AS MATERIALIZED (
-  SELECT m.id, m.cluster, m.p_type, sqrt(0.75 * (m.z0 - c.z0) * (m.z0 - c.z0) + 0.25 * (m.z1 - c.z1) * (m.z1 - c.z1)) AS d,
-         sqrt(0.5 * (m.z0 - c.z0) * (m.z0 - c.z0) + 0.5 * (m.z1 - c.z1) * (m.z1 - c.z1)) AS distance
+  SELECT m.id, m.cluster, m.p_type, sqrt(0.75 * (m.z0 - c.z0) * (m.z0 - c.z0) + 0.25 * (m.z1 - c.z1) * (m.z1 - c.z1)) AS d
   FROM mem m JOIN c60 c ON m.cluster = c.cluster)"""
 
 
@@ -200,7 +199,10 @@ def flagship(spark, folder):
     return trimmed_strata(table(spark, folder, "part"), "p_partkey", FEATURES, "p_type", EPS, MIN_SAMPLES)
 
 
-GRID = [(e, m) for e in (0.1, 0.2) for m in (4, 8)]
+# The search runs over part sizes and coded part types, which separate into one cluster per type.
+GRID = [(e, m) for e in (0.1, 0.2) for m in (10, 30)]
+ENC = "(SELECT p_partkey, CAST(dense_rank() OVER (ORDER BY p_type) - 1 AS DOUBLE) AS p_type, CAST(p_size AS DOUBLE) AS p_size FROM part)"
+ZENC = z_sql(ENC, "p_partkey", ["p_type", "p_size"])
 
 
 def _grid_sql(metric: str, configs):
@@ -221,12 +223,13 @@ def _grid_sql(metric: str, configs):
 
 
 _GC, _GT = _grid_sql("euclidean", GRID)
-GRID_CTE = f"WITH RECURSIVE pz AS MATERIALIZED ({ZPART}), {_GC}, grid AS MATERIALIZED ({_GT})"
+GRID_CTE = f"WITH RECURSIVE pz AS MATERIALIZED ({ZENC}), {_GC}, grid AS MATERIALIZED ({_GT})"
 
 
 def part_grid(spark, folder, metrics=("euclidean",), **inert):
-    p = table(spark, folder, "part").select("p_partkey", *FEATURES)
-    return search.grid_search(p, "p_partkey", FEATURES, (0.1, 0.2), (4, 8), metrics, **inert)
+    p = table(spark, folder, "part").select("p_partkey", "p_type", "p_size")
+    coded = encode.ordinal_encode(p, encode.category_mapping(p))
+    return search.grid_search(coded, "p_partkey", ["p_type", "p_size"], (0.1, 0.2), (10, 30), metrics, **inert)
 
 
 @query("d2_grid_search", f"""{GRID_CTE}
@@ -315,7 +318,7 @@ SPEC = TableSpec(row_id="p_partkey", target="p_type", features=tuple(FEATURES))
 def capped(spark, folder):
     """Search table of the class-capped sanitiser over the part table."""
     p = table(spark, folder, "part").select("p_partkey", "p_type", *FEATURES)
-    out, _ = search.capped_search(p, "p_partkey", FEATURES, "p_type", GRID, min_kept_share=0.4)
+    out, _ = search.capped_search(p, "p_partkey", FEATURES, "p_type", [(e, m) for e in (0.1, 0.2) for m in (4, 8)], min_kept_share=0.4)
     return rounded(out.select("eps", "mp", "k", "noise", "sil", "kept", "overall_loss", "worst_excess", "cap_ok", "score"),
                    "noise", "sil", "overall_loss", "worst_excess", "score")
 
@@ -341,10 +344,12 @@ def thresholded(spark, folder):
     return threshold_sanitiser(p, spec, eps=0.2, min_samples=30, thresholds=th, max_iter=20)
 
 
-@query("a12_member_distances", f"{DIST} SELECT id AS p_partkey, cluster, round(distance, 3) AS distance FROM dist")
+@query("a12_member_distances", f"""{ROWS}, {medians_sql(STEPS, 'plain')}
+SELECT m.id AS p_partkey, m.cluster, round(sqrt(0.5 * (m.z0 - c.z0) * (m.z0 - c.z0) + 0.5 * (m.z1 - c.z1) * (m.z1 - c.z1)), 4) AS distance
+FROM mem m JOIN c{STEPS} c ON m.cluster = c.cluster""")
 def measured(spark, folder):
-    members, _ = label_and_measure(table(spark, folder, "part").select("p_partkey", *FEATURES), "p_partkey", FEATURES, EPS, MIN_SAMPLES)
-    return rounded(members.select("p_partkey", "cluster", "distance"), "distance", digits=3)
+    members, _ = label_and_measure(table(spark, folder, "part").select("p_partkey", *FEATURES), "p_partkey", FEATURES, EPS, MIN_SAMPLES, max_iter=STEPS)
+    return rounded(members.select("p_partkey", "cluster", "distance"), "distance")
 
 
 @query("o1_best_configuration", """
