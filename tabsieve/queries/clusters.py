@@ -71,23 +71,23 @@ def noise_split(spark, folder):
     return tagged_union(kept, noise)
 
 
-def medians_sql(steps: int, variant: str, source: str = "rows", where: str = "cluster >= 0") -> str:
+def medians_sql(steps: int, variant: str, source: str = "rows", where: str = "cluster >= 0", p: str = "") -> str:
     """CTEs c0 … c<steps>: the start (means) and each Weiszfeld step per cluster."""
-    out = [f"mem AS MATERIALIZED (SELECT * FROM {source} WHERE {where})",
-           "c0 AS MATERIALIZED (SELECT cluster, avg(z0) AS z0, avg(z1) AS z1 FROM mem GROUP BY cluster)"]
+    out = [f"{p}mem AS MATERIALIZED (SELECT * FROM {source} WHERE {where})",
+           f"{p}c0 AS MATERIALIZED (SELECT cluster, avg(z0) AS z0, avg(z1) AS z1 FROM {p}mem GROUP BY cluster)"]
     for k in range(1, steps + 1):
         d = distance_sql(2, a="m", b="c")
         inv = f"CASE WHEN {d} > 0 THEN 1.0 / {d} ELSE 0.0 END"
-        out.append(f"t{k} AS MATERIALIZED (SELECT m.cluster, sum(m.z0 * ({inv})) / sum({inv}) AS z0, sum(m.z1 * ({inv})) / sum({inv}) AS z1, "
+        out.append(f"{p}t{k} AS MATERIALIZED (SELECT m.cluster, sum(m.z0 * ({inv})) / sum({inv}) AS z0, sum(m.z1 * ({inv})) / sum({inv}) AS z1, "
                    f"sum({inv}) AS s, count(*) FILTER (WHERE {d} = 0) AS zeros, any_value(c.z0) AS o0, any_value(c.z1) AS o1 "
-                   f"FROM mem m JOIN c{k - 1} c ON m.cluster = c.cluster GROUP BY m.cluster)")
+                   f"FROM {p}mem m JOIN {p}c{k - 1} c ON m.cluster = c.cluster GROUP BY m.cluster)")
         if variant == "plain":
-            out.append(f"c{k} AS MATERIALIZED (SELECT cluster, coalesce(z0, o0) AS z0, coalesce(z1, o1) AS z1 FROM t{k})")
+            out.append(f"{p}c{k} AS MATERIALIZED (SELECT cluster, coalesce(z0, o0) AS z0, coalesce(z1, o1) AS z1 FROM {p}t{k})")
         else:
             r = "sqrt(((z0 - o0) * s) * ((z0 - o0) * s) + ((z1 - o1) * s) * ((z1 - o1) * s))"
             ratio = f"CASE WHEN zeros = 0 OR {r} = 0 THEN 0.0 ELSE zeros / {r} END"
-            out.append(f"c{k} AS MATERIALIZED (SELECT cluster, greatest(0, 1 - ({ratio})) * z0 + least(1, {ratio}) * o0 AS z0, "
-                       f"greatest(0, 1 - ({ratio})) * z1 + least(1, {ratio}) * o1 AS z1 FROM t{k})")
+            out.append(f"{p}c{k} AS MATERIALIZED (SELECT cluster, greatest(0, 1 - ({ratio})) * z0 + least(1, {ratio}) * o0 AS z0, "
+                       f"greatest(0, 1 - ({ratio})) * z1 + least(1, {ratio}) * o1 AS z1 FROM {p}t{k})")
     return ",\n".join(out)
 
 
@@ -148,7 +148,15 @@ def silhouette(spark, folder):
     return rounded(neighbours.silhouette(rows, "p_partkey", [f"z_{c}" for c in FEATURES]), "silhouette")
 
 
-@query("a9_silhouette_squared")
+_SQ = distance_sql(2).replace("sqrt(", "(", 1)
+
+
+@query("a9_silhouette_squared", f"""{LAB}, n AS (SELECT cluster, count(*) AS n FROM lab GROUP BY cluster),
+pl AS MATERIALIZED (SELECT p.id, p.z0, p.z1, l.cluster FROM pz p JOIN lab l ON p.id = l.id),
+s AS MATERIALIZED (SELECT a.id, a.cluster AS own, b.cluster AS oth, sum({_SQ}) AS s FROM pl a, pl b GROUP BY 1, 2, 3),
+i AS (SELECT s.id, s.own, max(CASE WHEN own = oth THEN s / greatest(n.n - 1, 1) END) AS a, min(CASE WHEN own <> oth THEN s / n.n END) AS b,
+             max(CASE WHEN own = oth THEN n.n END) AS n_own FROM s JOIN n ON s.oth = n.cluster GROUP BY 1, 2)
+SELECT round(avg(CASE WHEN n_own = 1 THEN 0.0 ELSE (b - a) / greatest(a, b) END), 4) AS silhouette_sq FROM i""")
 def squared(spark, folder):
     rows = materialise(labelled(spark, folder))
     return spark.createDataFrame([(round(silhouette_squared(rows, [f"z_{c}" for c in FEATURES]), 4),)], "silhouette_sq double")
@@ -208,8 +216,10 @@ ZENC = z_sql(ENC, "p_partkey", ["p_type", "p_size"])
 def _grid_sql(metric: str, configs):
     ctes, tails = [], []
     for i, (e, m) in enumerate(configs):
-        p = f"g{i}_"
-        ctes.append(dbscan_ctes(p, "pz", 2, e, m, metric))
+        p = f"{metric[:3]}{i}_"
+        # pw holds the same rows whitened, so that its Euclidean distance is the Mahalanobis one
+        plain, source = ("euclidean", "pw") if metric == "mahalanobis" else (metric, "pz")
+        ctes.append(dbscan_ctes(p, source, 2, e, m, plain))
         ctes.append(f"""{p}n AS (SELECT cluster, count(*) AS n FROM {p}lab GROUP BY cluster),
         {p}pl AS MATERIALIZED (SELECT p.id, p.z0, p.z1, l.cluster FROM pz p JOIN {p}lab l ON p.id = l.id),
         {p}s AS MATERIALIZED (SELECT a.id, a.cluster AS own, b.cluster AS oth, sum({distance_sql(2)}) AS s FROM {p}pl a, {p}pl b GROUP BY 1, 2, 3),
@@ -241,7 +251,16 @@ def grid_table(spark, folder):
     return rounded(out.withColumn("p", F.col("p").cast("int")), "percentage_outliers", "silhouette_score")
 
 
-@query("d2_grid_search_other_metrics")
+_MC, _MT = _grid_sql("manhattan", GRID)
+_HC, _HT = _grid_sql("mahalanobis", GRID)
+
+
+@query("d2_grid_search_other_metrics", f"""WITH RECURSIVE pz AS MATERIALIZED ({ZENC}),
+pc AS (SELECT var_pop(z0) AS a, covar_pop(z0, z1) AS b, var_pop(z1) AS d FROM pz),
+pw AS MATERIALIZED (SELECT id, z0 / sqrt(a) AS z0, (z1 - b / a * z0) / sqrt(d - b * b / a) AS z1 FROM pz, pc), {_MC}, {_HC},
+grid AS ({_MT} UNION ALL {_HT})
+SELECT metric, eps, min_samples, num_clusters, round(percentage_outliers, 4) AS percentage_outliers, round(silhouette_score, 4) AS silhouette_score,
+       'auto' AS algorithm, 30 AS leaf_size FROM grid""")
 def grid_metrics(spark, folder):
     out = part_grid(spark, folder, ("manhattan", "mahalanobis"))
     return rounded(out.drop("p"), "percentage_outliers", "silhouette_score")
@@ -314,11 +333,35 @@ def relative(spark, folder):
 SPEC = TableSpec(row_id="p_partkey", target="p_type", features=tuple(FEATURES))
 
 
-@query("d6_capped_search")
+CAP_GRID = [(e, m) for e in (0.1, 0.2) for m in (4, 8)]
+
+
+def _capped_sql() -> str:
+    grid, tails = _grid_sql("euclidean", CAP_GRID)
+    ctes = [grid]
+    for i, (e, m) in enumerate(CAP_GRID):
+        p = f"euc{i}_"
+        ctes.append(f"""{p}rows AS MATERIALIZED (SELECT l.id, l.cluster, p.p_type, CAST(p.p_size AS DOUBLE) AS z0, p.p_retailprice AS z1
+          FROM {p}lab l JOIN part p ON p.p_partkey = l.id), {medians_sql(60, 'plain', f'{p}rows', p=p)},
+        {p}d AS MATERIALIZED (SELECT m.id, m.cluster, m.p_type, sqrt(0.5 * (m.z0 - c.z0) * (m.z0 - c.z0) + 0.5 * (m.z1 - c.z1) * (m.z1 - c.z1)) AS d
+          FROM {p}mem m JOIN {p}c60 c ON m.cluster = c.cluster),
+        {p}kept AS MATERIALIZED (SELECT id, p_type FROM {p}d QUALIFY d <= quantile_cont(d, 0.9) OVER (PARTITION BY cluster, p_type)),
+        {p}loss AS (SELECT sum(k) AS kept, 1 - sum(k) / sum(n) AS overall_loss, max(1 - k / n) AS worst FROM
+          (SELECT r.p_type, count(*) AS n, count(k.id) AS k FROM {p}rows r LEFT JOIN {p}kept k ON r.id = k.id GROUP BY 1))""")
+    lines = " UNION ALL ".join(f"SELECT {e!r}::DOUBLE AS eps, {m} AS min_samples, kept, overall_loss, worst - overall_loss AS excess FROM euc{i}_loss"
+                               for i, (e, m) in enumerate(CAP_GRID))
+    return f"""WITH RECURSIVE pz AS MATERIALIZED ({ZPART}), {", ".join(ctes)}, grid AS ({tails}), l AS ({lines})
+    SELECT g.eps, g.min_samples AS mp, num_clusters AS k, round(percentage_outliers, 4) AS noise, round(silhouette_score, 4) AS sil, CAST(kept AS BIGINT) AS kept,
+      round(overall_loss, 4) AS overall_loss, round(excess, 4) AS worst_excess, excess <= 0.1 + 1e-9 AS cap_ok,
+      round((1 - greatest(silhouette_score, 0)) * abs(percentage_outliers - 0.1), 4) AS score
+    FROM grid g JOIN l ON g.eps = l.eps AND g.min_samples = l.min_samples WHERE num_clusters >= 2 AND kept >= 0.4 * (SELECT count(*) FROM part)"""
+
+
+@query("d6_capped_search", _capped_sql())
 def capped(spark, folder):
     """Search table of the class-capped sanitiser over the part table."""
     p = table(spark, folder, "part").select("p_partkey", "p_type", *FEATURES)
-    out, _ = search.capped_search(p, "p_partkey", FEATURES, "p_type", [(e, m) for e in (0.1, 0.2) for m in (4, 8)], min_kept_share=0.4)
+    out, _ = search.capped_search(p, "p_partkey", FEATURES, "p_type", CAP_GRID, min_kept_share=0.4)
     return rounded(out.select("eps", "mp", "k", "noise", "sil", "kept", "overall_loss", "worst_excess", "cap_ok", "score"),
                    "noise", "sil", "overall_loss", "worst_excess", "score")
 

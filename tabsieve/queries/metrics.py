@@ -32,13 +32,19 @@ def scaled(spark, folder):
     return proximity.scaled_pair(real, syn, "c_custkey", "c_custkey", PAIR_COLUMNS)
 
 
-@query("m1_data_mismatch", "SELECT 0.6::DOUBLE AS value")
+_KIND = """CASE WHEN typeof(any_value({c})) = 'VARCHAR' THEN 'text' ELSE 'number' END
+  || CASE WHEN count(DISTINCT {c}) < 2 THEN 'constant' WHEN count(DISTINCT {c}) <= 20 THEN 'discrete' ELSE 'continuous' END"""
+_SIDES = {"c_custkey": "s_name", "c_nationkey": "s_nationkey % 2", "c_acctbal": "s_acctbal", "c_mktsegment": "s_name", "1.0": "1.0"}
+
+
+@query("m1_data_mismatch", "SELECT round(avg(CASE WHEN a <> b THEN 1.0 ELSE 0.0 END), 6) AS value FROM (" + " UNION ALL ".join(
+    f"SELECT (SELECT {_KIND.format(c=a)} FROM customer) AS a, (SELECT {_KIND.format(c=b)} FROM supplier) AS b" for a, b in _SIDES.items()) + ")")
 def mismatch(spark, folder):
-    """Customers against suppliers with a text key and a fractional nation: 3 of 5 columns change kind."""
+    """Customers against suppliers with a text key and a binary nation."""
     c = table(spark, folder, "customer").select("c_custkey", "c_nationkey", "c_acctbal", F.col("c_mktsegment").alias("seg"), F.lit(1.0).alias("one"))
     s = table(spark, folder, "supplier").select(F.col("s_name").alias("c_custkey"), (F.col("s_nationkey") % 2).alias("c_nationkey"),
                                                 F.col("s_acctbal").alias("c_acctbal"), F.col("s_name").alias("seg"), F.lit(1.0).alias("one"))
-    return marginal.data_mismatch(c, s, c.columns)
+    return rounded(marginal.data_mismatch(c, s, c.columns), "value", digits=6)
 
 
 @query("m2_common_rows_proportion", """
@@ -94,7 +100,11 @@ def chi(spark, folder):
     return rounded(marginal.chi_squared_statistic(marginal.binned_counts(*lines(spark, folder), ALL)), "statistic", digits=3)
 
 
-@query("m7_chi_squared_p_value")
+# upper tail by Simpson's rule over the density on [0, statistic]
+@query("m7_chi_squared_p_value", f"""{BINS}, st AS (SELECT col, sum((s - ps * ns) * (s - ps * ns) / (ps * ns)) AS x, CAST(count(*) - 1 AS DOUBLE) AS k FROM p GROUP BY col),
+d AS (SELECT col, x, i, CASE WHEN i = 0 AND k = 2 THEN 0.5 WHEN i = 0 THEN 0.0 ELSE exp((k / 2 - 1) * ln(x * i / 4000.0::DOUBLE) - x * i / 8000.0::DOUBLE - k / 2 * ln(2.0::DOUBLE) - lgamma(k / 2)) END AS f
+  FROM st, range(0, 4001) t(i))
+SELECT col AS "column", round(greatest(1 - sum(CASE WHEN i = 0 OR i = 4000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * f) * any_value(x) / 12000.0::DOUBLE, 0), 4) AS p_value FROM d GROUP BY col""")
 def chi_p(spark, folder):
     out = marginal.chi_squared_p(marginal.chi_squared_statistic(marginal.binned_counts(*lines(spark, folder), ALL)))
     return rounded(out.select("column", "p_value"), "p_value")
@@ -145,9 +155,20 @@ def wasserstein(spark, folder):
     return rounded(marginal.wasserstein_columns(*lines(spark, folder), NUM), "value")
 
 
-@query("m12_wasserstein_sliced")
+SLICES = 4
+
+
+def _sliced_sql() -> str:
+    unit = marginal.slice_directions(SLICES, len(NUM))
+    views = ", ".join(" + ".join(f"{c} * ({float(u)!r}::DOUBLE)" for c, u in zip(NUM, unit[k])) + f" AS slice_{k}" for k in range(SLICES))
+    curves = " UNION ALL ".join(_ecdf(f"slice_{k}").replace("FROM lineitem", "FROM pj") for k in range(SLICES))
+    return f"""WITH pj AS MATERIALIZED (SELECT l_linestatus, {views} FROM lineitem), e AS MATERIALIZED ({curves})
+    SELECT col AS "column", round(sum(gap * (coalesce(nxt, v) - v)), 3) AS value FROM e GROUP BY col"""
+
+
+@query("m12_wasserstein_sliced", _sliced_sql())
 def sliced(spark, folder):
-    return rounded(marginal.wasserstein_sliced(*lines(spark, folder), NUM, projections=4), "value")
+    return rounded(marginal.wasserstein_sliced(*lines(spark, folder), NUM, projections=SLICES), "value", digits=3)
 
 
 PRDC = f"""{RS},

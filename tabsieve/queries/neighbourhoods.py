@@ -38,7 +38,18 @@ def eps_pairs(spark, folder):
 LINE = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 
-@query("j1_eps_join_lineitem")
+# the same neighbour counts by a cell join: cells as wide as eps, one side spread over adjacent cells
+_Z4 = z_sql("(SELECT l_quantity, l_extendedprice, l_discount, l_tax, row_number() OVER () AS rid FROM lineitem)", "rid", LINE)
+
+
+@query("j1_eps_join_lineitem", f"""
+WITH z AS MATERIALIZED ({_Z4}), p AS MATERIALIZED (SELECT count(*) AS w, min(id) AS id, z0, z1, z2, z3, CAST(floor(z0 / 0.3) AS INTEGER) AS c0, CAST(floor(z1 / 0.3) AS INTEGER) AS c1,
+  CAST(floor(z2 / 0.3) AS INTEGER) AS c2, CAST(floor(z3 / 0.3) AS INTEGER) AS c3 FROM z GROUP BY z0, z1, z2, z3),
+q AS (SELECT p.* REPLACE (c0 + a.o AS c0, c1 + b.o AS c1, c2 + c.o AS c2, c3 + d.o AS c3) FROM p, (VALUES (-1), (0), (1)) a(o), (VALUES (-1), (0), (1)) b(o),
+  (VALUES (-1), (0), (1)) c(o), (VALUES (-1), (0), (1)) d(o)),
+n AS (SELECT a.id, any_value(a.w) AS w, sum(b.w) AS n FROM q a JOIN p b ON a.c0 = b.c0 AND a.c1 = b.c1 AND a.c2 = b.c2 AND a.c3 = b.c3
+  WHERE {distance_sql(4)} <= 0.3 GROUP BY a.id)
+SELECT CAST(n AS BIGINT) AS n_neighbours, CAST(sum(w) AS BIGINT) AS n_rows FROM n GROUP BY n""")
 def eps_join_lines(spark, folder):
     """Neighbour counts over the largest table (4 columns), summed up per count."""
     lines = table(spark, folder, "lineitem").select(F.xxhash64("*").alias("id"), *LINE)
