@@ -18,7 +18,7 @@ from tabsieve.session import broadcast_if, materialise
 _INF = float("inf")
 
 
-def signed_change(df: DataFrame, old: str = "Orig", new: str = "PrivGen", direction: str = "direction") -> DataFrame:
+def signed_change(df: DataFrame, old: str = "Orig", new: str = "Sanitised", direction: str = "direction") -> DataFrame:
     """Add ``sgn`` and ``dpct``: change in the preferred direction, its sign and its per cent of |old|.
 
     A zero old value gives an infinite change, or null when nothing changed.
@@ -52,20 +52,20 @@ def compare_results(first: DataFrame, second: DataFrame, keys: Sequence[str] = (
     """
     keys = list(keys)
     a = first.select(*keys, "metric", F.col("mean").alias("orig"), "direction")
-    b = second.select(*keys, "metric", F.col("mean").alias("privgen"))
+    b = second.select(*keys, "metric", F.col("mean").alias("sanitised"))
     both = a.join(b, [*keys, "metric"], "left")
     truth = (both.where(F.col("metric").endswith(".gt"))
              .select(*keys, F.regexp_replace("metric", r"\.gt$", ".syn").alias("metric"),
-                     F.coalesce(F.col("orig") != F.col("privgen"), F.lit(True)).alias("differ")))
+                     F.coalesce(F.col("orig") != F.col("sanitised"), F.lit(True)).alias("differ")))
     rows = both.where(~F.col("metric").endswith(".gt")).join(truth, [*keys, "metric"], "left")
     error = F.coalesce("differ", F.lit(False))
-    gain = F.when(F.col("direction") == "minimize", F.col("privgen") - F.col("orig")) \
-        .when(F.col("direction") == "maximize", F.col("orig") - F.col("privgen"))
+    gain = F.when(F.col("direction") == "minimize", F.col("sanitised") - F.col("orig")) \
+        .when(F.col("direction") == "maximize", F.col("orig") - F.col("sanitised"))
     better = F.when(error, "Error").when(gain > 0, "results 1").when(gain.isNotNull(), "results 2").otherwise("N/A")
-    size = F.when(error, "Ground truth values differ").when(F.abs(F.col("orig") - F.col("privgen")) < marginal, "marginally") \
+    size = F.when(error, "Ground truth values differ").when(F.abs(F.col("orig") - F.col("sanitised")) < marginal, "marginally") \
         .otherwise("by far")
     return rows.select(*keys, F.col("metric").alias("Metric"), better.alias("Better Results"), size.alias("Magnitude"),
-                       F.when(~error, F.col("orig")).alias("orig"), F.when(~error, F.col("privgen")).alias("privgen"))
+                       F.when(~error, F.col("orig")).alias("orig"), F.when(~error, F.col("sanitised")).alias("sanitised"))
 
 
 def proportion_improved(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -195,14 +195,14 @@ def significance(df: DataFrame, dataset: str = "dataset", family: str = "family"
     return base.join(a, keys, "left").join(b, keys, "left")
 
 
-def melt_sources(df: DataFrame, values: Sequence[str] = ("orig", "privgen")) -> DataFrame:
+def melt_sources(df: DataFrame, values: Sequence[str] = ("orig", "sanitised")) -> DataFrame:
     """Unpivot the value columns into (Source, Value)."""
     ids = [c for c in df.columns if c not in set(values)]
     return df.unpivot(ids, list(values), "Source", "Value")
 
 
-def pair_arms(long: DataFrame, metrics: Sequence[str] | None = REPORTED, arms: Sequence[str] = ("base", "privgen"),
-              names: Sequence[str] = ("Orig", "PrivGen")) -> DataFrame:
+def pair_arms(long: DataFrame, metrics: Sequence[str] | None = REPORTED, arms: Sequence[str] = ("base", "sanitised"),
+              names: Sequence[str] = ("Orig", "Sanitised")) -> DataFrame:
     """Long results (dataset, arm, synth, metric, mean) to one row with both arms side by side."""
     rows = long if metrics is None else long.where(F.col("metric").isin(list(metrics)))
     wide = pivot_wide(rows, ["dataset", "synth", "metric"], "arm", arms, "mean")

@@ -77,7 +77,7 @@ def accuracy(spark, folder):
 @query("k6_attack_sweep")
 def sweep(spark, folder):
     real, syn = line_arms(spark, folder)
-    jobs = spark.createDataFrame([("lines", "base", "finished"), ("lines", "privgen", "constant"), ("lines", "base", "done")],
+    jobs = spark.createDataFrame([("lines", "base", "finished"), ("lines", "sanitised", "constant"), ("lines", "base", "done")],
                                  "dataset string, arm string, synth string")
     done = jobs.where(F.col("synth") == "done")
 

@@ -85,12 +85,12 @@ x AS (SELECT w.*, metric LIKE '%.syn' AND coalesce(round(g1, 1) <> round(g2, 1),
 SELECT dataset, synth, metric AS "Metric",
   CASE WHEN bad THEN 'Error' WHEN (CASE direction WHEN 'minimize' THEN v2 - v1 ELSE v1 - v2 END) > 0 THEN 'results 1' WHEN v1 - v2 IS NOT NULL THEN 'results 2' ELSE 'N/A' END AS "Better Results",
   CASE WHEN bad THEN 'Ground truth values differ' WHEN abs(v1 - v2) < 0.05 THEN 'marginally' ELSE 'by far' END AS "Magnitude",
-  CASE WHEN NOT bad THEN round(v1, 4) END AS orig, CASE WHEN NOT bad THEN round(v2, 4) END AS privgen FROM x""")
+  CASE WHEN NOT bad THEN round(v1, 4) END AS orig, CASE WHEN NOT bad THEN round(v2, 4) END AS sanitised FROM x""")
 def paired_comparison(spark, folder):
     rows = long_results(spark, folder).withColumn("direction", F.when(F.col("metric").startswith("sanity"), "minimize").otherwise("maximize"))
     rows = materialise(rows.withColumn("mean", F.when(F.col("metric").endswith(".gt"), F.round("mean", 1)).otherwise(F.col("mean"))))
     out = compare.compare_results(rows.where(F.col("arm") == "O"), rows.where(F.col("arm") == "F"), ["dataset", "synth"])
-    return rounded(out, "orig", "privgen")
+    return rounded(out, "orig", "sanitised")
 
 
 @query("j12_metric_model_lookup", f"""{CH}, want AS (SELECT DISTINCT 's' || CAST(s_suppkey AS VARCHAR) AS synthesizer, m.metric FROM supplier,
@@ -222,9 +222,9 @@ def times(spark, folder):
 
 
 @query("r1_unpivot_sources", f"""{CH} SELECT dataset, synthesizer, metric, direction, 'Orig' AS "Source", round(Orig, 4) AS "Value" FROM ch
-UNION ALL SELECT dataset, synthesizer, metric, direction, 'PrivGen', round(PrivGen, 4) FROM ch""")
+UNION ALL SELECT dataset, synthesizer, metric, direction, 'Sanitised', round(Sanitised, 4) FROM ch""")
 def melt(spark, folder):
-    return rounded(compare.melt_sources(paired(spark, folder), ("Orig", "PrivGen")), "Value")
+    return rounded(compare.melt_sources(paired(spark, folder), ("Orig", "Sanitised")), "Value")
 
 
 @query("r2_pivot_change", f"""{CH} SELECT dataset, synthesizer, round(max(dpct) FILTER (WHERE family = 'privacy'), 2) AS privacy,
@@ -235,15 +235,15 @@ def pivot(spark, folder):
 
 
 @query("r4_pair_arms", f"""WITH {LONG} SELECT dataset, synth, metric, round(max(mean) FILTER (WHERE arm = 'O'), 4) AS "Orig",
-  round(max(mean) FILTER (WHERE arm = 'F'), 4) AS "PrivGen", split_part(metric, '.', 1) AS metric_category FROM lg GROUP BY 1, 2, 3""")
+  round(max(mean) FILTER (WHERE arm = 'F'), 4) AS "Sanitised", split_part(metric, '.', 1) AS metric_category FROM lg GROUP BY 1, 2, 3""")
 def arms(spark, folder):
     out = compare.pair_arms(long_results(spark, folder), metrics=None, arms=("O", "F"))
-    return rounded(out, "Orig", "PrivGen")
+    return rounded(out, "Orig", "Sanitised")
 
 
-@query("r5_value_spread", f"""{CH}, m AS (SELECT metric, 'Orig' AS src, Orig AS v FROM ch UNION ALL SELECT metric, 'PrivGen', PrivGen FROM ch)
+@query("r5_value_spread", f"""{CH}, m AS (SELECT metric, 'Orig' AS src, Orig AS v FROM ch UNION ALL SELECT metric, 'Sanitised', Sanitised FROM ch)
 SELECT metric, src AS "Source", count(*) AS n_values, round(min(v), 4) AS low, round(quantile_cont(v, 0.25), 4) AS q1, round(quantile_cont(v, 0.5), 4) AS median,
   round(quantile_cont(v, 0.75), 4) AS q3, round(max(v), 4) AS high FROM m GROUP BY 1, 2""")
 def spread(spark, folder):
-    melted = compare.melt_sources(paired(spark, folder), ("Orig", "PrivGen"))
+    melted = compare.melt_sources(paired(spark, folder), ("Orig", "Sanitised"))
     return rounded(compare.value_spread(melted, ["metric", "Source"]), "low", "q1", "median", "q3", "high")

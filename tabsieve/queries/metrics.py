@@ -328,4 +328,4 @@ def arms(spark, folder):
 
     _, winners = two_arms(base, kept, generate, SPEC, {"sanity": ["common_rows_proportion"], "stats": ["ks_test"],
                                                        "privacy": ["k-anonymization", "delta-presence", "distinct l-diversity"]})
-    return rounded(winners, "orig", "privgen")
+    return rounded(winners, "orig", "sanitised")

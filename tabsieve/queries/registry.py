@@ -76,9 +76,9 @@ def paired(spark: SparkSession, folder: str) -> DataFrame:
     return (table(spark, folder, "lineitem")
             .groupBy(F.col("l_linestatus").alias("dataset"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("synthesizer"),
                      "l_returnflag")
-            .agg((cents("l_discount") / F.count(F.lit(1))).alias("Orig"), (cents("l_tax") / F.count(F.lit(1))).alias("PrivGen"))
+            .agg((cents("l_discount") / F.count(F.lit(1))).alias("Orig"), (cents("l_tax") / F.count(F.lit(1))).alias("Sanitised"))
             .select("dataset", "synthesizer", pick(METRIC_OF_FLAG).alias("metric"), pick(DIRECTION_OF_FLAG).alias("direction"),
-                    "Orig", "PrivGen"))
+                    "Orig", "Sanitised"))
 
 
 def _case(d):
@@ -89,13 +89,13 @@ PAIRED_SQL = f"""
     pr AS MATERIALIZED (SELECT l_linestatus AS dataset, 's' || CAST(l_suppkey AS VARCHAR) AS synthesizer, {_case(METRIC_OF_FLAG)} AS metric,
                   {_case(DIRECTION_OF_FLAG)} AS direction,
                   CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS DOUBLE) / count(*) AS Orig,
-                  CAST(sum(CAST(round(l_tax * 100) AS BIGINT)) AS DOUBLE) / count(*) AS PrivGen
+                  CAST(sum(CAST(round(l_tax * 100) AS BIGINT)) AS DOUBLE) / count(*) AS Sanitised
            FROM lineitem GROUP BY l_linestatus, l_suppkey, l_returnflag),
     ch AS MATERIALIZED (SELECT *, split_part(metric, '.', 1) AS family,
-                  sign(CASE direction WHEN 'maximize' THEN 1.0 ELSE -1.0 END * (PrivGen - Orig)) AS sgn,
-                  CASE WHEN Orig <> 0 THEN CASE direction WHEN 'maximize' THEN 1.0 ELSE -1.0 END * (PrivGen - Orig) / abs(Orig) * 100.0
-                       WHEN PrivGen = Orig THEN NULL
-                       WHEN (PrivGen > Orig) = (direction = 'maximize') THEN 'Infinity'::DOUBLE ELSE '-Infinity'::DOUBLE END AS dpct
+                  sign(CASE direction WHEN 'maximize' THEN 1.0 ELSE -1.0 END * (Sanitised - Orig)) AS sgn,
+                  CASE WHEN Orig <> 0 THEN CASE direction WHEN 'maximize' THEN 1.0 ELSE -1.0 END * (Sanitised - Orig) / abs(Orig) * 100.0
+                       WHEN Sanitised = Orig THEN NULL
+                       WHEN (Sanitised > Orig) = (direction = 'maximize') THEN 'Infinity'::DOUBLE ELSE '-Infinity'::DOUBLE END AS dpct
            FROM pr)"""
 
 
