@@ -48,7 +48,7 @@ def compare_results(first: DataFrame, second: DataFrame, keys: Sequence[str] = (
     """Which of two (metric, mean, direction) tables is better per metric.
 
     Ground-truth rows are skipped, a ``.syn`` row is only compared when its
-    ``.gt`` partner agrees, a tie goes to the second table.
+    ``.gt`` partner agrees, a tie or a missing value goes to the second table.
     """
     keys = list(keys)
     a = first.select(*keys, "metric", F.col("mean").alias("orig"), "direction")
@@ -61,7 +61,8 @@ def compare_results(first: DataFrame, second: DataFrame, keys: Sequence[str] = (
     error = F.coalesce("differ", F.lit(False))
     gain = F.when(F.col("direction") == "minimize", F.col("sanitised") - F.col("orig")) \
         .when(F.col("direction") == "maximize", F.col("orig") - F.col("sanitised"))
-    better = F.when(error, "Error").when(gain > 0, "results 1").when(gain.isNotNull(), "results 2").otherwise("N/A")
+    better = (F.when(error, "Error").when(gain > 0, "results 1")
+              .when(F.col("direction").isin("minimize", "maximize"), "results 2").otherwise("N/A"))
     size = F.when(error, "Ground truth values differ").when(F.abs(F.col("orig") - F.col("sanitised")) < marginal, "marginally") \
         .otherwise("by far")
     return rows.select(*keys, F.col("metric").alias("Metric"), better.alias("Better Results"), size.alias("Magnitude"),

@@ -62,7 +62,7 @@ def capped_sanitiser(df: DataFrame, spec: TableSpec, fractions: Sequence[float]
     for part in kept[1:]:
         ids = ids.unionByName(part)
     ids = ids.where(F.col("config") == best["config"]).select(spec.row_id)
-    table = df.join(ids, spec.row_id, "left_semi")
+    table = df.join(ids, spec.row_id, "left_semi").select(*df.columns)
     audit = removal_audit(df, table, spec.target, tau)
     if store is not None:
         store.write(table, 5)

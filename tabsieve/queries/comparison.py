@@ -83,7 +83,7 @@ w AS (SELECT dataset, synth, metric, direction, max(mean) FILTER (WHERE arm = 'O
 t AS (SELECT dataset, synth, v1 AS g1, v2 AS g2 FROM w WHERE metric LIKE '%.gt'),
 x AS (SELECT w.*, metric LIKE '%.syn' AND coalesce(round(g1, 1) <> round(g2, 1), true) AS bad FROM w JOIN t USING (dataset, synth) WHERE NOT metric LIKE '%.gt')
 SELECT dataset, synth, metric AS "Metric",
-  CASE WHEN bad THEN 'Error' WHEN (CASE direction WHEN 'minimize' THEN v2 - v1 ELSE v1 - v2 END) > 0 THEN 'results 1' WHEN v1 - v2 IS NOT NULL THEN 'results 2' ELSE 'N/A' END AS "Better Results",
+  CASE WHEN bad THEN 'Error' WHEN (CASE direction WHEN 'minimize' THEN v2 - v1 ELSE v1 - v2 END) > 0 THEN 'results 1' ELSE 'results 2' END AS "Better Results",
   CASE WHEN bad THEN 'Ground truth values differ' WHEN abs(v1 - v2) < 0.05 THEN 'marginally' ELSE 'by far' END AS "Magnitude",
   CASE WHEN NOT bad THEN round(v1, 4) END AS orig, CASE WHEN NOT bad THEN round(v2, 4) END AS sanitised FROM x""")
 def paired_comparison(spark, folder):
