@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabsieve.session import materialise
+from tabsieve.session import materialise, spread_lookup
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
@@ -23,11 +23,12 @@ def connected_components(nodes: DataFrame, edges: DataFrame, keys: list[str]) ->
             break
         seen = tuple(state)
         both = links.unionByName(links.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy(*keys, "u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = (both.where(F.col("v") > F.col("u")).join(low, [*keys, "u"])
+        # A component's smallest node gathers a large share of the links, hence the spread joins.
+        low = both.groupBy(*keys, "u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("_rows"))
+        large = (spread_lookup(both.where(F.col("v") > F.col("u")), low.drop("_rows"), [*keys, "u"], low.drop("m"), 2 * state[0])
                  .select(*keys, F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        parent = large.groupBy(*keys, "u").agg(F.min("v").alias("m"))
-        small = (large.join(parent, [*keys, "u"])
+        parent = large.groupBy(*keys, "u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_rows"))
+        small = (spread_lookup(large, parent.drop("_rows"), [*keys, "u"], parent.drop("m"), 2 * state[0])
                  .select(*keys, F.explode(F.array(F.col("u"), F.col("v"))).alias("u"), F.col("m").alias("v"))
                  .where(F.col("u") != F.col("v")).distinct())
         links = materialise(small)

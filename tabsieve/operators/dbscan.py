@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tabsieve.functions.ranking import number_rows
 from tabsieve.operators.components import connected_components
-from tabsieve.operators.tiles import (SLACK, Tiles, block_distance, box_reach, build_tiles, distance_strips,
+from tabsieve.operators.tiles import (MAX_TILE_ROWS, SLACK, Tiles, box_reach, build_tiles, distance_strips,
                                       fold_copies, fold_pairs, rows_in_reach, tile_pairs, with_tags)
 from tabsieve.session import materialise, spread_lookup
 
@@ -53,12 +53,17 @@ def neighbour_degrees(tiles: Tiles, eps: Sequence[float], metric: str) -> DataFr
     return fold_pairs(tiles, tiles, pairs, start, step, finish, "tile int, tag binary")
 
 
-def _local_roots(adj: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Smallest id reachable inside one block."""
+def _local_roots(x: np.ndarray, ids: np.ndarray, eps: float, metric: str) -> np.ndarray:
+    """Smallest id reachable inside one block, by repeated neighbour minima over strips."""
+    whole = [(rows, d <= eps) for rows, d in distance_strips(x, x, metric)] if len(x) <= 4 * MAX_TILE_ROWS else None
     root = ids.copy()
     while True:
-        nxt = np.where(adj, root[None, :], _FAR).min(axis=1)
-        nxt = np.minimum(nxt, root)
+        strips = whole if whole is not None else ((rows, d <= eps) for rows, d in distance_strips(x, x, metric))
+        nxt = root.copy()
+        for rows, adj in strips:
+            nxt[rows] = np.where(adj, root[None, :], _FAR).min(axis=1)
+        # a root found for a neighbour is also the root of whatever that neighbour points to
+        nxt = nxt[np.searchsorted(ids, nxt)]
         if (nxt == root).all():
             return root
         root = nxt
@@ -95,11 +100,10 @@ def label_points(df: DataFrame, id_col: str, features: Sequence[str], configs: S
         return np.full((len(a.ids), len(cfg)), -1, dtype=np.int64)
 
     def step_roots(roots, a, b, near, far, w_j):
-        d = block_distance(a.x, a.x, metric)
         for c, e, m in cfg:
             core = np.flatnonzero(a.tag[:, e] >= m)
             if len(core):
-                roots[core, c] = _local_roots(d[np.ix_(core, core)] <= eps[e], a.ids[core])
+                roots[core, c] = _local_roots(a.x[core], a.ids[core], eps[e], metric)
 
     def finish_roots(roots, a):
         return pd.DataFrame([{"tile": a.tile, "tag": roots.tobytes()}])

@@ -16,7 +16,7 @@ from tabsieve.operators.dbscan import neighbour_degrees
 from tabsieve.operators.scale import whiten
 from tabsieve.operators.tiles import (SLACK, Tiles, block_distance, box_reach, build_tiles, distance_strips,
                                       fold_copies, fold_pairs, rows_in_reach, tile_pairs, with_tags)
-from tabsieve.session import materialise, spread_lookup
+from tabsieve.session import materialise, spread_join, spread_lookup
 
 
 def metric_space(df: DataFrame, features: Sequence[str], metric: str) -> tuple[DataFrame, list[str], str]:
@@ -74,12 +74,11 @@ def eps_pairs(df: DataFrame, id_col: str, features: Sequence[str], eps: float, m
     def step(found, a, b, near, far, w_j):
         rows_a = rows_in_reach(a.x, b.x, eps, metric)
         rows_b = rows_in_reach(b.x, a.x[rows_a], eps, metric)
-        if not len(rows_b):
-            return
-        d = block_distance(a.x[rows_a], b.x[rows_b], metric)
-        r, c = np.nonzero(d <= eps)
-        dist = d[r, c]
-        r, c = rows_a[r], rows_b[c]
+        for part, d in distance_strips(a.x[rows_a], b.x[rows_b], metric):
+            r, c = np.nonzero(d <= eps)
+            keep_pairs(found, a, b, rows_a[part][r], rows_b[c], d[r, c])
+
+    def keep_pairs(found, a, b, r, c, dist):
         if a.tile == b.tile:
             keep = a.ids[r] < b.ids[c]
             r, c, dist = r[keep], c[keep], dist[keep]
@@ -147,11 +146,11 @@ def _nearest(queries: Tiles, refs: Tiles, k: int, metric: str, skip_self: bool)
         rows = np.flatnonzero(best["kth"] >= near * (1 - SLACK))
         if not len(rows):
             return
-        near_rows, _ = box_reach(a.x[rows], b.x, metric)
-        rows = rows[near_rows <= best["kth"][rows] * (1 + SLACK)]
-        if not len(rows):
-            return
-        d = block_distance(a.x[rows], b.x, metric)
+        rows = rows[box_reach(a.x[rows], b.x, metric)[0] <= best["kth"][rows] * (1 + SLACK)]
+        for part, d in distance_strips(a.x[rows], b.x, metric):
+            merge(best, a, b, rows[part], d)
+
+    def merge(best, a, b, rows, d):
         ids = np.broadcast_to(b.ids, d.shape)
         w = np.broadcast_to(b.w, d.shape)
         if skip_self:
@@ -214,7 +213,7 @@ def knn(df: DataFrame, id_col: str, features: Sequence[str], k: int, other: Data
         first = (member.withColumn("_r", F.row_number().over(Window.partitionBy(*names).orderBy("member")))
                  .where(F.col("_r") <= k))
         first = first.join(r_points.select(*names, F.col("pid").alias("nid")), names).select("nid", "member")
-        best = folded.join(first, "nid").select("pid", F.col("member").alias("nid"), "distance")
+        best = spread_join(folded, first, ["nid"]).select("pid", F.col("member").alias("nid"), "distance")
     order = Window.partitionBy("pid").orderBy("distance", "nid")
     ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     out = to_rows(df, id_col, features, q_points,

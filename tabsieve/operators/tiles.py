@@ -22,9 +22,10 @@ from pyspark.sql import functions as F
 
 from tabsieve.session import BROADCAST_BYTES, materialise, partitions
 
-MAX_TILES = 16_384          # bounds the box table that tasks hold in memory
+MAX_TILES = 131_072         # bounds the box table that tasks hold in memory
 MAX_TILE_ROWS = 1_024       # preferred tile size; grows only past MAX_TILES tiles
 SAMPLE_PER_TILE = 24
+MAX_SAMPLE_CELLS = 4_000_000  # numbers the driver may hold to learn the splits
 SLACK = 1e-9                # box tests are loosened so that rounding never prunes a true pair
 
 TILE_SCHEMA = ("tile int, n long, weight double, lo array<double>, hi array<double>, "
@@ -91,7 +92,7 @@ def build_tiles(points: DataFrame, dims: int, tags: int = 0, id_col: str = "pid"
                            (F.array(*[F.col(f"_t{i}") for i in range(tags)]) if tags
                             else F.array().cast("array<double>")).alias("t"))
     if depth:
-        wanted = SAMPLE_PER_TILE * 2 ** depth
+        wanted = min(SAMPLE_PER_TILE * 2 ** depth, MAX_SAMPLE_CELLS // dims)
         picked = packed.select("x").sample(fraction=min(1.0, 1.5 * wanted / n), seed=7).limit(wanted).collect()
         dim, cut = _split_tree(np.array([r.x for r in picked], dtype=float).reshape(-1, dims), depth)
 
@@ -211,19 +212,21 @@ def fold_pairs(a: Tiles, b: Tiles, pairs: DataFrame, start: Callable, step: Call
     """
     spark = a.df.sparkSession
     pay = ["ids", "x", "w", "tag"]
+    n = partitions(spark)
     left = a.df.select(F.col("tile").alias("i"), *[F.col(c).alias(f"a_{c}") for c in pay])
     right = b.df.select(F.col("tile").alias("j"), *[F.col(c).alias(f"b_{c}") for c in pay])
-    if a.bytes <= BROADCAST_BYTES:
-        left = F.broadcast(left)
+    need, bare = pairs, None
+    if "payload" in pairs.columns:
+        need, bare = pairs.where("payload").drop("payload"), pairs.where("not payload").drop("payload")
     if b.bytes <= BROADCAST_BYTES:
-        right = F.broadcast(right)
-    need = pairs.withColumn("_jj", F.when(F.col("payload"), F.col("j"))) if "payload" in pairs.columns \
-        else pairs.withColumn("_jj", F.col("j"))
-    right = right.withColumnRenamed("j", "_jj")
-    rows = (need.repartition(partitions(spark), "i").join(left, "i").join(right, "_jj", "left")
-            .drop("_jj", "payload"))
-    if a.bytes > BROADCAST_BYTES or b.bytes > BROADCAST_BYTES:
-        rows = rows.repartition(partitions(spark), "i")
+        rows = need.repartition(n, "i").join(F.broadcast(right), "j")
+    else:
+        # the payload of b travels once, straight to the task that holds tile i
+        rows = need.join(right, "j").repartition(n, "i")
+    if bare is not None:
+        rows = rows.unionByName(bare, allowMissingColumns=True).repartition(n, "i")
+    rows = rows.join(F.broadcast(left) if a.bytes <= BROADCAST_BYTES else left, "i")
+    rows = rows.select("i", "j", "near", "far", "w_j", *[f"{t}_{c}" for t in ("a", "b") for c in pay])
     rows = rows.sortWithinPartitions("i", "near", "j")
     ad, at, bd, bt = a.dims, a.tags, b.dims, b.tags
 

@@ -1,4 +1,4 @@
-"""Session helpers: reliable materialisation and size-checked broadcast."""
+"""Session helpers: reliable materialisation, size-checked broadcast and joins that survive hot keys."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Largest side, in estimated bytes, that is ever broadcast.
 BROADCAST_BYTES = 64 << 20
+#: Below this many rows no key can be hot enough to need its own path.
+SPREAD_FROM = 1_000_000
 
 
 def _ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -28,12 +30,32 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the reliable checkpoint folder and cut its lineage.
+    """Write ``df`` once to a table in the shared folder and continue from there.
 
-    The files survive the loss of executors, unlike cached blocks.
+    The lineage ends at files every executor can read, so lost executors cost
+    nothing but their own tasks. Unlike ``checkpoint`` the plan runs only once.
     """
-    _ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables written by ``materialise``; results built on them must be saved by then."""
+    jvm, root = spark.sparkContext._jvm, spark.sparkContext.getCheckpointDir()
+    if root is None:
+        return
+    fs = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{root}/tabsieve-*")) or []:
+        fs.delete(found.getPath(), True)
+
+
+def spread_join(rows: DataFrame, table: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """``spread_lookup`` with the key counts taken from ``rows`` when it is large enough to matter."""
+    n = rows.count()
+    if n < SPREAD_FROM:
+        return rows.join(table, on, how)
+    return spread_lookup(rows, table, on, rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows")), n, how)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -53,7 +75,7 @@ def spread_lookup(rows: DataFrame, table: DataFrame, on: list[str], counts: Data
     over a thousandth of all rows number fewer than 1000, so their part of
     ``table`` can be broadcast; everything else takes the shuffled join.
     """
-    if n_rows < 1_000_000:
+    if n_rows < SPREAD_FROM:
         return rows.join(table, on, how)
     hot = counts.where(F.col("_rows") > n_rows / 1000.0).select(*on)
     hot_table = table.join(F.broadcast(hot), on, "left_semi")
