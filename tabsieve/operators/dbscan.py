@@ -19,12 +19,15 @@ NOISE = -1
 _FAR = np.iinfo(np.int64).max
 
 
-def neighbour_degrees(tiles: Tiles, eps: Sequence[float], metric: str) -> DataFrame:
+def neighbour_degrees(tiles: Tiles, eps: Sequence[float], metric: str, enough: Sequence[int] | None = None) -> DataFrame:
     """(tile, tag): weighted neighbour count per row and eps, the row itself included.
 
     Tile pairs that lie wholly within the smallest eps add their total weight
-    without touching a row.
+    without touching a row. ``enough`` names per eps the count beyond which the
+    exact number no longer matters; rows that reach it take no further part, so
+    a dense region costs little more than its own tiles.
     """
+    need = None if enough is None else np.asarray(enough, dtype=float)
     inner, outer = min(eps), max(eps)
     pairs = tile_pairs(tiles, tiles, metric, reach=outer).withColumn(
         "payload", (F.col("far") > inner * (1 - SLACK)) | (F.col("i") == F.col("j")))
@@ -39,7 +42,10 @@ def neighbour_degrees(tiles: Tiles, eps: Sequence[float], metric: str) -> DataFr
         near_a, far_a = box_reach(a.x, b.x, metric)
         inside = far_a <= inner * (1 - SLACK)
         deg[inside] += b.w.sum()
-        ia = np.flatnonzero(~inside & (near_a <= outer * (1 + SLACK)))
+        wanted = ~inside & (near_a <= outer * (1 + SLACK))
+        if need is not None:
+            wanted &= (deg < need[None, :]).any(axis=1)
+        ia = np.flatnonzero(wanted)
         if not len(ia):
             return
         ib = rows_in_reach(b.x, a.x[ia], outer, metric)
@@ -88,7 +94,8 @@ def label_points(df: DataFrame, id_col: str, features: Sequence[str], configs: S
     tiles = build_tiles(points, len(features))
     eps = sorted({float(e) for e, _ in configs})
     cfg = [(c, eps.index(float(e)), int(m)) for c, (e, m) in enumerate(configs)]
-    degrees = materialise(neighbour_degrees(tiles, eps, metric))
+    most = [max(m for _, at, m in cfg if at == e) for e in range(len(eps))]
+    degrees = materialise(neighbour_degrees(tiles, eps, metric, most))
     cored = with_tags(tiles, degrees, len(eps))
 
     # Core rows joined inside their own tile: only component roots leave the tile.
@@ -145,12 +152,19 @@ def label_points(df: DataFrame, id_col: str, features: Sequence[str], configs: S
                 continue
             ia = ia[rows_in_reach(a.x[ia], b.x[ib], eps[e], metric)]
             ib = ib[rows_in_reach(b.x[ib], a.x[ia], eps[e], metric)]
-            root_a, root_b = ra[ia], rb[ib]
+            if not len(ib):
+                continue
+            # rows closest to the other tile first: most pairs of roots meet in the first strip
+            ia = ia[np.argsort(box_reach(a.x[ia], b.x[ib], metric)[0], kind="stable")]
+            root_a, at_a = np.unique(ra[ia], return_inverse=True)
+            root_b, at_b = np.unique(rb[ib], return_inverse=True)
+            met = np.zeros((len(root_a), len(root_b)), dtype=bool)
             for rows, d in distance_strips(a.x[ia], b.x[ib], metric):
                 hit_a, hit_b = np.nonzero(d <= eps[e])
-                if len(hit_a):
-                    both = np.unique(np.stack([root_a[rows][hit_a], root_b[hit_b]], axis=1), axis=0)
-                    links[c].update((int(x), int(y)) for x, y in both)
+                met[at_a[rows][hit_a], at_b[hit_b]] = True
+                if met.all():
+                    break
+            links[c].update((int(root_a[u]), int(root_b[v])) for u, v in np.argwhere(met))
 
     def finish_edges(links, a):
         rows = [(c, u, v) for c in links for u, v in links[c] if u != v]

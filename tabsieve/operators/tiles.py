@@ -163,6 +163,7 @@ def tile_pairs(a: Tiles, b: Tiles, metric: str = "euclidean", reach: float | Non
         boxes = boxes.mapInPandas(radii, "tile int, weight double, lo array<double>, hi array<double>, r double")
     # At most 2 * MAX_TILES boxes exist, whatever the table size.
     got = boxes.toPandas().sort_values("tile")
+    same = a is b
     shared = spark.sparkContext.broadcast({
         "tile": got["tile"].to_numpy(), "weight": got["weight"].to_numpy(dtype=float),
         "lo": np.stack(got["lo"].to_numpy()) if len(got) else np.zeros((0, a.dims)),
@@ -184,6 +185,8 @@ def tile_pairs(a: Tiles, b: Tiles, metric: str = "euclidean", reach: float | Non
                     enough = np.searchsorted(np.cumsum(box["weight"][order]), k)
                     if enough < len(order):
                         keep = near <= far[order[enough]] * (1 + SLACK)
+                if same:
+                    near = np.where(box["tile"] == tile, -1.0, near)  # a tile meets itself first
                 yield pd.DataFrame({"i": np.int32(tile), "j": box["tile"][keep].astype(np.int32),
                                     "near": near[keep], "far": far[keep], "w_j": box["weight"][keep]})
 
