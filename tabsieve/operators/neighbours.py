@@ -216,11 +216,10 @@ def knn(df: DataFrame, id_col: str, features: Sequence[str], k: int, other: Data
         best = spread_join(folded, first, ["nid"]).select("pid", F.col("member").alias("nid"), "distance")
     order = Window.partitionBy("pid").orderBy("distance", "nid")
     ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    out = to_rows(df, id_col, features, q_points,
-                  ranked.select("pid", "rank", F.col("nid").alias("neighbour"), "distance")) \
-        if q_points.agg(F.max("copies")).first()[0] == 1 else None
-    if out is not None:
-        return out
+    if q_points.agg(F.max("copies")).first()[0] == 1:
+        return to_rows(df, id_col, features, q_points,
+                       ranked.select("pid", "rank", F.col("nid").alias("neighbour"), "distance"))
+    # k entries per point, carried to all copies of the point as one array
     packed = ranked.groupBy("pid").agg(F.collect_list(F.struct("rank", F.col("nid").alias("neighbour"), "distance")).alias("nn"))
     return to_rows(df, id_col, features, q_points, packed).select(id_col, F.inline("nn"))
 
@@ -263,7 +262,7 @@ def tag_tiles(tiles: Tiles, values: DataFrame, column: str) -> Tiles:
     tagged = (located.join(values.select("pid", F.col(column).cast("double").alias("v")), "pid")
               .groupBy("tile").applyInPandas(pack, "tile int, tag binary"))
     out = with_tags(tiles, tagged, 1)
-    return Tiles(materialise(out.df), out.dims, out.rows, 1)
+    return Tiles(materialise(out.df), out.dims, out.rows, 1, out.n_tiles)
 
 
 def ball_counts(queries: Tiles, centres: Tiles, metric: str = "euclidean") -> DataFrame:

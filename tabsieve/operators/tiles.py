@@ -38,6 +38,7 @@ class Tiles:
     dims: int
     rows: int
     tags: int = 0
+    n_tiles: int = 1
 
     @property
     def bytes(self) -> int:
@@ -130,7 +131,8 @@ def build_tiles(points: DataFrame, dims: int, tags: int = 0, id_col: str = "pid"
             "ids": rows["pid"].to_numpy(dtype=np.int64).tobytes(), "x": x.tobytes(),
             "w": w.tobytes(), "tag": t.tobytes()}])
 
-    return Tiles(materialise(tiled.groupBy("tile").applyInPandas(pack, TILE_SCHEMA)), dims, n, tags)
+    return Tiles(materialise(tiled.groupBy("tile").applyInPandas(pack, TILE_SCHEMA)), dims, n, tags,
+                 max(1, sum(pieces.values())))
 
 
 def _box_span(lo_a, hi_a, lo_b, hi_b, metric):
@@ -190,7 +192,7 @@ def tile_pairs(a: Tiles, b: Tiles, metric: str = "euclidean", reach: float | Non
                 yield pd.DataFrame({"i": np.int32(tile), "j": box["tile"][keep].astype(np.int32),
                                     "near": near[keep], "far": far[keep], "w_j": box["weight"][keep]})
 
-    return (a.df.select("tile", "lo", "hi").repartition(partitions(spark), "tile")
+    return (a.df.select("tile", "lo", "hi").repartition(min(partitions(spark), a.n_tiles), "tile")
             .mapInPandas(match, "i int, j int, near double, far double, w_j double"))
 
 
@@ -215,7 +217,7 @@ def fold_pairs(a: Tiles, b: Tiles, pairs: DataFrame, start: Callable, step: Call
     """
     spark = a.df.sparkSession
     pay = ["ids", "x", "w", "tag"]
-    n = partitions(spark)
+    n = min(partitions(spark), a.n_tiles)  # a task holds at least one tile
     left = a.df.select(F.col("tile").alias("i"), *[F.col(c).alias(f"a_{c}") for c in pay])
     right = b.df.select(F.col("tile").alias("j"), *[F.col(c).alias(f"b_{c}") for c in pay])
     need, bare = pairs, None
@@ -290,4 +292,4 @@ def rows_in_reach(x: np.ndarray, other: np.ndarray, reach: float, metric: str) -
 
 def with_tags(tiles: Tiles, tagged: DataFrame, tags: int) -> Tiles:
     """Replace the tag payload by ``tagged`` (tile, tag), rows in id order."""
-    return Tiles(tiles.df.drop("tag").join(tagged, "tile"), tiles.dims, tiles.rows, tags)
+    return Tiles(tiles.df.drop("tag").join(tagged, "tile"), tiles.dims, tiles.rows, tags, tiles.n_tiles)

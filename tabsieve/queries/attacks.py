@@ -10,7 +10,7 @@ from tabsieve.operators.filters import known_label_rows
 from tabsieve.operators.generate import split_train_holdout
 from tabsieve.plans.sweep import attack_sweep
 from tabsieve.queries.neighbourhoods import customer_supplier
-from tabsieve.queries.registry import distance_sql, query, rounded, table
+from tabsieve.queries.registry import query, rounded, table
 from tabsieve.queries.transforms import SPLIT_SQL
 
 COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_returnflag"]
