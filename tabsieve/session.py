@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,9 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
     if sc.getCheckpointDir() is not None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    # Only a session that names no shared folder (tests) gets a local one.
+    if shared is None and not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    # Only a local session that names no folder (tests) gets one of its own.
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tabsieve-ckpt-"))
 
 
@@ -40,6 +43,15 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """A block whose intermediate tables are deleted at its end; save the results inside."""
+    try:
+        yield spark
+    finally:
+        release(spark)
+
+
 def release(spark: SparkSession) -> None:
     """Delete the tables written by ``materialise``; results built on them must be saved by then."""
     jvm, root = spark.sparkContext._jvm, spark.sparkContext.getCheckpointDir()
@@ -77,7 +89,8 @@ def spread_lookup(rows: DataFrame, table: DataFrame, on: list[str], counts: Data
     """
     if n_rows < SPREAD_FROM:
         return rows.join(table, on, how)
+    # Null keys match nothing, so they stay in the part that ``how`` decides.
     hot = counts.where(F.col("_rows") > n_rows / 1000.0).select(*on)
     hot_table = table.join(F.broadcast(hot), on, "left_semi")
-    return (rows.join(F.broadcast(hot_table), on)
+    return (rows.join(F.broadcast(hot), on, "left_semi").join(F.broadcast(hot_table), on, how)
             .unionByName(rows.join(F.broadcast(hot), on, "left_anti").join(table, on, how)))

@@ -92,3 +92,13 @@ def test_spread_lookup_splits_hot_keys(spark):
     from tabsieve import session
     out = session.spread_lookup(rows, table.where("k % 2 = 1"), ["k"], counts.withColumn("_rows", F.col("_rows") * 1000), 1_000_000, "left")
     assert out.count() == 3000 and out.where("v is not null and v != 2 * k").count() == 0
+
+
+@pytest.mark.parametrize("n_rows", [999_999, 1_000_000])
+@pytest.mark.parametrize("how,expected", [("left", 6), ("inner", 1)])
+def test_spread_lookup_keeps_join_kind_for_absent_hot_key(spark, n_rows, how, expected):
+    rows = spark.createDataFrame([("hot",)] * 4 + [("a",), (None,)], "k string")
+    table = spark.createDataFrame([("a", 1.0)], "k string, code double")
+    counts = rows.where("k is not null").groupBy("k").agg((F.count("*") * 1000).alias("_rows"))
+    out = spread_lookup(rows, table, ["k"], counts, n_rows, how)
+    assert out.count() == expected and out.where("code is not null").count() == 1
