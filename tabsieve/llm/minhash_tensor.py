@@ -133,7 +133,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
 
 def near_components(df: DataFrame, id_col: str, text_col: str, width: int = 5, percent: int = 80, half_keys: int = 10,
                     rows: int = 2) -> DataFrame:
-    """``id_col, n_shingles, cls, component_id, kept`` per row of ``df``.
+    """``id_col, n_shingles, text_md5, group, component_id, kept`` per row of ``df``; ``group`` numbers components.
 
     Rows are linked when ``100 * intersection >= percent * union`` of their shingle sets; the component id
     is the smallest id reachable. Equal sets form one class and are never expanded into pairs. Rows without
@@ -195,24 +195,26 @@ def near_components(df: DataFrame, id_col: str, text_col: str, width: int = 5, p
         done = limit
     members = classes.join(found.select(F.col("node").alias("cls"), "comp"), "cls")
     smallest = members.groupBy("comp").agg(F.min("id").alias("component_id"))
-    fate = materialise(members.select("cls", "_rows", "comp").join(smallest, "comp").select("cls", "_rows", "component_id"))
-    out = spread_lookup(sketched, fate.select("cls", "component_id"), ["cls"], fate.select("cls", "_rows"), sketched.count(), "left")
+    fate = materialise(members.select("cls", "_rows", "comp").join(smallest, "comp").select("cls", "_rows", F.col("comp").alias("group"), "component_id"))
+    out = spread_lookup(sketched, fate.select("cls", "group", "component_id"), ["cls"], fate.select("cls", "_rows"), sketched.count(), "left")
     component = F.when(F.col("cls").isNull(), F.col(id_col)).otherwise(F.col("component_id"))
-    return out.select(id_col, "n_shingles", "text_md5", "cls", component.alias("component_id"), F.col(id_col).eqNullSafe(component).alias("kept"))
+    return out.select(id_col, "n_shingles", "text_md5", "group", component.alias("component_id"), F.col(id_col).eqNullSafe(component).alias("kept"))
 
 
 def one_of_each(df: DataFrame, id_col: str, text_col: str, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``df`` that stay, one per component, with all their columns.
 
-    Rows that repeat an id and text are one document and leave one row; so do null ids of one component.
+    The row with the smallest id stays, of equal ids the one with the smallest digest of its text. Rows
+    that repeat an id and text are one document and leave one row; documents without words all stay.
     """
     verdicts = near_components(df, id_col, text_col, width, percent)
-    stay = F.col("kept") & F.col("component_id").isNotNull() | F.col("component_id").isNull()
-    # One row per document that stays: of equal classes under one id, and of all null ids of a class, the smallest digest.
-    kept = (verdicts.where(stay).groupBy(id_col, "cls").agg(F.min("text_md5").alias("_md5"), F.count(F.lit(1)).alias("_n"))
-            .select(F.col(id_col).alias("_id"), "_md5", "_n"))
-    kept = materialise(kept)
+    folded = verdicts.groupBy("group", F.col(id_col).alias("_id"), F.col("text_md5").alias("_md5")).agg(F.count(F.lit(1)).alias("_n"))
+    first = F.min(F.struct(F.col("_id").isNull().alias("no_id"), "_id", "_md5", "_n")).alias("b")
+    stay = materialise(folded.where("group IS NULL").select("_id", "_md5", "_n")
+                       .unionByName(folded.where("group IS NOT NULL").groupBy("group").agg(first).select("b._id", "b._md5", "b._n")))
     rows = df.withColumn("_digest", F.md5(text_col))
-    out = rows.join(kept, F.col(id_col).eqNullSafe(F.col("_id")) & F.col("_digest").eqNullSafe(F.col("_md5")))
-    single = out.where("_n = 1").select(*df.columns)
-    return single.unionByName(out.where("_n > 1").dropDuplicates(["_id", "_digest"]).select(*df.columns))
+    out = rows.join(broadcast_if(stay, stay.count() * 96), F.col(id_col).eqNullSafe(F.col("_id")) & F.col("_digest").eqNullSafe(F.col("_md5")))
+    if stay.where("_n > 1").isEmpty():
+        return out.select(*df.columns)
+    once = out.where("_n > 1").dropDuplicates(["_id", "_digest"])
+    return out.where("_n = 1").select(*df.columns).unionByName(once.select(*df.columns))
