@@ -10,63 +10,37 @@ import bisect
 import json
 import zlib
 from collections import Counter
-from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tabsieve.llm.batches import map_rows
-from tabsieve.llm.token_counts import CACHE_ENTRIES, is_plain, load_tokenizer
+from tabsieve.llm.token_counts import encoded_slices
 from tabsieve.session import broadcast_if, materialise
 
 #: Pieces of one length that are numbered within one group.
 RANK_GROUP = 20_000
 
 
-class PieceIds(dict):
-    """White-space separated piece -> little-endian unsigned 32-bit ids, filled on demand."""
-
-    def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenizer = tokenizer
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.asarray(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(self) >= CACHE_ENTRIES // 2:
-            self.clear()
-        self[piece] = ids
-        return ids
-
-
 def token_pieces(df: DataFrame, id_col: str, text_col: str, path: str, capacity: int, end_id: int = 0,
                  with_ids: bool = False) -> DataFrame:
     """``id_col, piece, start, length, ids_crc32`` (and ``ids``): each text's ids and ``end_id``, cut at ``capacity``.
 
-    Only documents longer than ``capacity`` are cut. A null or empty text is the end id alone. ``row_key``
-    tells repeated rows of one id apart.
+    Only documents longer than ``capacity`` are cut. A null or empty text is the end id alone.
     """
-    kind = df.schema[id_col].dataType.simpleString()
+    end = np.asarray([end_id], dtype="<u4").tobytes()
 
-    def make():
-        tokenizer = load_tokenizer(path)
-        pieces, end = PieceIds(tokenizer), np.asarray([end_id], dtype="<u4").tobytes()
+    def emit(values, text, parts, numbers):
+        ids = (numbers if parts is None else parts.join(numbers)).astype("<u4").tobytes() + end
+        for k, start in enumerate(range(0, len(ids), 4 * capacity)):
+            part = ids[start:start + 4 * capacity]
+            made = values[0], k, start // 4, len(part) // 4, zlib.crc32(part)
+            yield (*made, np.frombuffer(part, "<u4").tolist()) if with_ids else made
 
-        def row(doc_id, text) -> Iterable[tuple]:
-            text = text or ""
-            if is_plain(text):
-                ids = b"".join(map(pieces.__getitem__, text.lower().split())) + end
-            else:
-                ids = np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes() + end
-            for k, start in enumerate(range(0, len(ids), 4 * capacity)):
-                part = ids[start:start + 4 * capacity]
-                made = doc_id, k, start // 4, len(part) // 4, zlib.crc32(part)
-                yield (*made, np.frombuffer(part, "<u4").tolist()) if with_ids else made
-        return row
-
-    return map_rows(df.select(F.col(id_col), F.col(text_col)),
-                    f"{id_col} {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids, make)
+    kind = df.schema[id_col].dataType.simpleString()
+    return encoded_slices(df, [id_col, text_col], path,
+                          f"{id_col} {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids, emit)
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:

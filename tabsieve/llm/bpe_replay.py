@@ -1,24 +1,17 @@
-"""Byte-level BPE by replaying merges over all distinct words of a slice of the corpus at once.
-
-An inverted index from merge rank to word positions applies every merge in rank order to all words
-that hold it, and each merge updates only the two touched neighbours.
-"""
+"""Byte-level BPE by replaying merges over all distinct words of a slice of the corpus at once."""
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
-from collections.abc import Iterable
-from itertools import chain
+from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabsieve.llm.batches import map_rows
-
-#: Cached pieces per Python worker; a full cache starts anew, results do not change.
-CACHE_ENTRIES = 250_000
+from tabsieve.llm.merges import Merges, Numbering, Parts, cut_all, in_slices
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -26,146 +19,67 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
 
 
-def replay(words: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
-    """Ids of every word: lowest rank first, leftmost first, as merging each word on its own would give.
-
-    All words lie one after the other in one position space. ``index`` maps a rank to the positions whose
-    symbol and right neighbour merge into it; positions that changed since are recognised and skipped. A
-    merge that makes room for a lower rank sends its word through ``merge_one``; with trained vocabularies
-    this is rare.
-    """
-    symbols: list[bytes] = []
-    word_of: list[int] = []
-    after: list[int] = []
-    before: list[int] = []
-    starts: list[int] = []
-    for w, word in enumerate(words):
-        start, n = len(symbols), len(word)
-        starts.append(start)
-        symbols.extend(word[i:i + 1] for i in range(n))
-        word_of.extend([w] * n)
-        before.extend(range(start - 1, start + n - 1))
-        after.extend(range(start + 1, start + n + 1))
-        if n:
-            before[start], after[start + n - 1] = -1, -1
-    index: dict[int, list[int]] = {}
-    get = ranks.get
-    for p, q in enumerate(after):
-        if q >= 0:
-            rank = get(symbols[p] + symbols[q])
-            if rank is not None:
-                index.setdefault(rank, []).append(p)
-    queue, odd = list(index), set()
-    heapq.heapify(queue)
-    while queue:
-        rank = heapq.heappop(queue)
-        positions = index.pop(rank, None)
-        if positions is None:
-            continue
-        positions.sort()
-        for p in positions:
-            left = symbols[p]
-            if not left or word_of[p] in odd:
-                continue
-            q = after[p]
-            if q < 0:
-                continue
-            merged = left + symbols[q]
-            if get(merged) != rank:
-                continue
-            symbols[p], symbols[q] = merged, b""
-            r = after[p] = after[q]
-            if r >= 0:
-                before[r] = p
-                new = get(merged + symbols[r])
-                if new is not None:
-                    if new < rank:
-                        odd.add(word_of[p])
-                    if new in index:
-                        index[new].append(p)
-                    else:
-                        index[new] = [p]
-                        heapq.heappush(queue, new)
-            o = before[p]
-            if o >= 0:
-                new = get(symbols[o] + merged)
-                if new is not None:
-                    if new < rank:
-                        odd.add(word_of[p])
-                    if new in index:
-                        index[new].append(o)
-                    else:
-                        index[new] = [o]
-                        heapq.heappush(queue, new)
-    out = []
-    for w, word in enumerate(words):
-        out.append(merge_one(word, ranks) if w in odd
-                   else [ranks[s] for s in symbols[starts[w]:starts[w] + len(word)] if s])
-    return out
-
-
-def merge_one(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one word, lowest rank first, leftmost first; a heap keeps long words near linear."""
-    n = len(word)
-    symbols = [word[i:i + 1] for i in range(n)]
-    before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-    heap = [(r, i) for i in range(n - 1) if (r := ranks.get(symbols[i] + symbols[i + 1])) is not None]
-    heapq.heapify(heap)
-    while heap:
-        rank, p = heapq.heappop(heap)
-        q = after[p]
-        if not symbols[p] or q < 0 or ranks.get(symbols[p] + symbols[q]) != rank:
-            continue
-        symbols[p] += symbols[q]
-        symbols[q] = b""
-        r = after[p] = after[q]
-        if r >= 0:
-            before[r] = p
-        for a, b in ((before[p], p), (p, r)):
-            if a >= 0 and b >= 0 and (new := ranks.get(symbols[a] + symbols[b])) is not None:
-                heapq.heappush(heap, (new, a))
-    return [ranks[s] for s in symbols if s]
+def merges_of(ranks: dict[bytes, int]) -> Merges:
+    """Every way to put a listed entry together from two listed ones; the entry's rank decides."""
+    found = [(left, right, rank) for entry, rank in ranks.items() for i in range(1, len(entry))
+             if (left := ranks.get(entry[:i])) is not None and (right := ranks.get(entry[i:])) is not None]
+    left, right, rank = np.array(found, np.int64).T if found else np.zeros((3, 1), np.int64) - 1
+    return Merges(left, right, np.maximum(rank, 0), np.maximum(rank, 0))
 
 
 class Codec:
-    """Encoder of whole texts; new pieces are gathered per group of texts and replayed together."""
+    """Encoder of whole texts after the pattern; a listed word is its own id, as in the library."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
-        self.ranks, self.pieces = ranks, {}
+        self.ranks, self.merges = ranks, merges_of(ranks)
+        self.first = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.cut = regex.compile(pattern).findall
-        self.runs = regex.compile(r"\s \s|  |^\s|\s$").search
-        self.by_id = {i: b for b, i in ranks.items()}
+        self.spaced = regex.compile(r"\s \s").search
+        self.near = [chr(c) + " " for c in range(0x3001) if c != 32 and chr(c).isspace()]
+        entries = [b""] * (max(ranks.values()) + 1)
+        for entry, i in ranks.items():
+            entries[i] = entry
+        self.bytes = Parts(np.frombuffer(b"".join(entries), np.uint8), np.fromiter(map(len, entries), np.int64))
 
     def split(self, text: str) -> list[str]:
         """Pieces that the pattern never joins: each starts with the single space before it.
 
         Where white space meets white space the whole text is cut by the pattern itself.
         """
-        if self.runs(text):
+        if not text:
+            return []
+        if text[0].isspace() or text[-1].isspace() or "  " in text or any(n in text for n in self.near) and self.spaced(text):
             return self.cut(text)
         first, *rest = text.split(" ")
-        return [first, *[" " + r for r in rest]] if text else []
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        parted = [self.split(t) for t in texts]
-        if len(self.pieces) >= CACHE_ENTRIES:
-            self.pieces.clear()
-        unseen = [p for p in set(chain.from_iterable(parted)) if p not in self.pieces]
-        cuts = [self.cut(p) for p in unseen]
-        words = list(dict.fromkeys(chain.from_iterable(cuts)))
-        ids = dict(zip(words, replay([w.encode() for w in words], self.ranks)))
-        ids |= {w: [i] for w in words if (i := self.ranks.get(w.encode())) is not None}  # as the library: a listed word is its own id
-        for piece, cut in zip(unseen, cuts):
-            self.pieces[piece] = tuple(chain.from_iterable(ids[c] for c in cut))
-        get = self.pieces.__getitem__
-        return [list(chain.from_iterable(map(get, p))) for p in parted]
-
-    def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.by_id.__getitem__, ids))
-
-
-def encode_texts(df: DataFrame, id_col: str, text_col: str, path: str, pattern: str, slice_chars: int = 2_000_000,
+        return [first, *[" " + r for r in rest]]
+
+    def words(self, words: list[bytes]) -> Parts:
+        """Ids of words (pattern matches)."""
+        listed = np.array([self.ranks.get(w, -1) for w in words], np.int64)
+        rest = [w for w, i in zip(words, listed.tolist()) if i < 0]
+        sizes = np.fromiter(map(len, rest), np.int64, len(rest))
+        ids, counts = self.merges.replay(self.first[np.frombuffer(b"".join(rest), np.uint8)], sizes)
+        n = np.ones(len(words), np.int64)
+        n[listed < 0] = counts
+        out = np.empty(int(n.sum()), np.int32)
+        alone = np.repeat(listed >= 0, n)
+        out[alone], out[~alone] = listed[listed >= 0], ids
+        return Parts(out, n)
+
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Ids of each text; all distinct words of the texts are merged together."""
+        pieces = Numbering()
+        numbers = [pieces.of(self.split(t)) for t in texts]
+        words, flat, sizes = cut_all(pieces, self.cut, " ")
+        ids = self.words([w.encode() for w in words]).merged(flat, sizes)
+        return map(ids.join, numbers)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        return self.bytes.join(ids).tobytes()
+
+
+def encode_texts(df: DataFrame, id_col: str, text_col: str, path: str, pattern: str, slice_chars: int = 10_000_000,
                  digests: bool = False) -> DataFrame:
     """``id_col, ids`` per row: the ids of the whole text without special tokens.
 
@@ -177,29 +91,17 @@ def encode_texts(df: DataFrame, id_col: str, text_col: str, path: str, pattern:
     kind = df.schema[id_col].dataType.simpleString()
 
     def make():
-        codec, waiting, held = Codec(load_ranks(path), pattern), [], 0
-        names = {i: str(i) for i in codec.by_id}
+        codec = Codec(load_ranks(path), pattern)
+        names = [str(i) for i in range(len(codec.bytes.counts))]
 
-        def flush():
-            nonlocal waiting, held
-            rows, waiting, held = waiting, [], 0
-            for (doc_id, _), ids in zip(rows, codec.encode([t for _, t in rows])):
+        def emit(rows, texts):
+            for (doc_id,), ids in zip(rows, codec.encode(texts)):
                 if digests:
-                    joined = " ".join(map(names.__getitem__, ids))
-                    yield (doc_id, len(ids), hashlib.sha256(joined.encode()).hexdigest(),
-                           hashlib.sha256(codec.decode(ids)).hexdigest())
+                    joined = " ".join(map(names.__getitem__, ids.tolist()))
+                    yield (doc_id, len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest())
                 else:
-                    yield doc_id, ids
-
-        def row(*values):
-            nonlocal held
-            if values:
-                waiting.append((values[0], values[1] or ""))
-                held += len(waiting[-1][1])
-                if held < slice_chars:
-                    return
-            yield from flush()
-        return row
+                    yield doc_id, ids.tolist()
+        return in_slices(emit, slice_chars)
 
     shape = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>"
     return map_rows(df.select(F.col(id_col), F.col(text_col)), f"{id_col} {kind}, {shape}", make, finish=True)

@@ -96,10 +96,13 @@ def count_models(df: DataFrame, text_col: str, target: Column, words: list[str],
     return {"uni_target": out[0][:n_uni], "uni_back": out[1][:n_uni], "bi_target": out[0][n_uni:], "bi_back": out[1][n_uni:]}
 
 
-def score_documents(df: DataFrame, id_col: str, text_col: str, words: list[str], models: dict[str, np.ndarray], slots: int,
-                    weight: float = 16.0) -> DataFrame:
+def score_documents(df: DataFrame, id_col: str, text_col: str, target: Column, words: list[str], models: dict[str, np.ndarray],
+                    slots: int, weight: float = 16.0) -> DataFrame:
     """``id_col, n_tokens, ce_target, ce_background, ce_difference`` per row, in nats per word.
 
+    Every document is held out: its own counts are taken off the background, and off the target when
+    ``target`` says that it is in there.
+
     Each model mixes its bigrams with its own words, and these with a uniform share: matched order,
     smoothing and vocabulary. Background counts are scaled to the number of target words first, so that
     the smoothing weighs the same in both. Documents without words have null losses.
@@ -110,32 +113,39 @@ def score_documents(df: DataFrame, id_col: str, text_col: str, words: list[str],
     tables = {}
     for name, factor in (("target", 1.0), ("back", scale)):
         uni = models[f"uni_{name}"] * factor
-        tables[name] = ((uni + 1.0) / (uni.sum() + n_uni), uni, models[f"bi_{name}"] * factor)
+        tables[name] = (uni, uni.sum(), models[f"bi_{name}"] * factor, factor)
     shared = df.sparkSession.sparkContext.broadcast((words, tables))
 
     def make():
         names, both = shared.value
         numbers = Numbers(names)
 
-        def losses(ids, spots, table):
-            p_uni, uni, bi = table
-            context = uni[np.concatenate([np.zeros(1, np.int64), ids[:-1]])]
+        def losses(ids, spots, table, inside):
+            uni, total, bi, factor = table
+            before = np.concatenate([np.zeros(1, np.int64), ids[:-1]])
+            words_n, context_n, seen, n = uni[ids], uni[before], bi[spots], total
+            if inside:
+                names, at, times = np.unique(ids, return_inverse=True, return_counts=True)
+                mine = np.append(times[at], times[0] if names[0] == 0 else 0)  # the first word follows number 0
+                _, at, pairs = np.unique(spots, return_inverse=True, return_counts=True)
+                words_n, context_n = words_n - factor * mine[:-1], context_n - factor * np.roll(mine, 1)[:-1]
+                seen, n = seen - factor * pairs[at], n - factor * len(ids)
+            share = (words_n + 1.0) / (n + n_uni)
             # Slots are shared, so a slot can exceed its context; the larger of the two keeps a probability.
-            seen = bi[spots]
-            p = (seen + weight * p_uni[ids]) / (np.maximum(context, seen) + weight)
+            p = (seen + weight * share) / (np.maximum(context_n, seen) + weight)
             return float(-np.log(p).mean())
 
-        def row(doc_id, text):
+        def row(doc_id, text, inside):
             ids = numbers.of(text)
             if not len(ids):
                 return [(doc_id, 0, None, None, None)]
             spots = bigram_slots(ids, slots)
-            t, b = losses(ids, spots, both["target"]), losses(ids, spots, both["back"])
+            t, b = losses(ids, spots, both["target"], inside), losses(ids, spots, both["back"], True)
             return [(doc_id, len(ids), t, b, t - b)]
         return row
 
     kind = df.schema[id_col].dataType.simpleString()
-    return map_rows(df.select(F.col(id_col), F.col(text_col)),
+    return map_rows(df.select(F.col(id_col), F.col(text_col), F.coalesce(target, F.lit(False)).alias("_target")),
                     f"{id_col} {kind}, n_tokens long, ce_target double, ce_background double, ce_difference double", make)
 
 
@@ -152,5 +162,6 @@ def cross_entropy_difference(df: DataFrame, labels: DataFrame, id_col: str, text
     chosen = labels.where(target).select(F.col(id_col)).distinct().withColumn("_t", F.lit(True))
     marked = df.select(F.col(id_col), F.col(text_col))
     words = vocabulary(marked, text_col, vocabulary_size)
-    models = count_models(marked.join(chosen, id_col, "left"), text_col, F.col("_t"), words, slots)
-    return score_documents(marked, id_col, text_col, words, models, slots)
+    marked = marked.join(chosen, id_col, "left")
+    models = count_models(marked, text_col, F.col("_t"), words, slots)
+    return score_documents(marked, id_col, text_col, F.col("_t"), words, models, slots)

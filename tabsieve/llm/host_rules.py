@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,29 +9,28 @@ from pyspark.sql import functions as F
 from tabsieve.llm.batches import map_rows
 from tabsieve.session import broadcast_if, materialise, spread_lookup
 
-_SPACE = re.compile("[\\x20\\x09-\\x0d]+")
+#: Documents that the prior weighs at least.
+LEAST_WEIGHT = 8.0
 _SYMBOLS = "#*$%&|<>"
 _WINDOW = 8
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
                  0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
 
-def repeated_words(words: list[str]) -> int:
+def repeated_words(words: list[bytes]) -> int:
     """Number of words inside an 8-word window that occurs at least twice, first occurrences included."""
     n = len(words) - _WINDOW + 1
     if n < 2:
         return 0
-    number: dict[str, int] = {}
-    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.uint64, len(words))
-    mixed = (ids + np.uint64(1)) * _ODD[0]
-    mixed ^= mixed >> np.uint64(29)
+    mixed = np.fromiter(map(hash, words), np.int64, len(words)).astype(np.uint64)  # equal within this process, which is all that counts
     sums = np.zeros(n, np.uint64)
     for k in range(_WINDOW):
         sums += mixed[k:k + n] * _ODD[k]
+    order = np.sort(sums)
+    if not (order[1:] == order[:-1]).any():
+        return 0
     order = np.argsort(sums, kind="stable")
     same = sums[order][1:] == sums[order][:-1]
-    if not same.any():
-        return 0
     maybe = np.zeros(n, bool)
     maybe[order[1:][same]] = True
     maybe[order[:-1][same]] = True
@@ -52,16 +49,17 @@ def repeated_words(words: list[str]) -> int:
 def base_measures(text: str | None) -> tuple[int, int, int, int, int, bool]:
     """``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed`` of a whole text; null counts as empty."""
     text = text or ""
-    words = [w for w in _SPACE.split(text) if w]
+    words = text.encode().split()  # splits at the six ASCII white-space characters only
+    chars = len(text) - sum(map(text.count, " \t\n\v\f\r"))
     symbols = sum(map(text.count, _SYMBOLS))
     seen, dup = set(), 0
     for line in text.split("\n"):
         if line in seen:
             dup += 1
-        elif _SPACE.sub("", line):
+        elif line.strip(" \t\v\f\r"):
             seen.add(line)
     repeated = repeated_words(words)
-    return len(words), sum(map(len, words)), symbols, dup, repeated, len(words) < 20 or 100 * repeated > 30 * len(words)
+    return len(words), chars, symbols, dup, repeated, len(words) < 20 or 100 * repeated > 30 * len(words)
 
 
 def rule_measures(df: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
@@ -76,7 +74,8 @@ def host_rates(measured: DataFrame, host_col: str, max_rate: float = 0.5) -> Dat
     """``host_col, n, failed, rate, rejected`` per host: the failure rate shrunk by a beta prior.
 
     The prior has the mean of all documents; its weight comes from the spread of the hosts' rates beyond
-    what chance gives (moments). Hosts without spread share the mean. A host is rejected when its shrunk
+    what chance gives (moments), and is at least ``LEAST_WEIGHT`` documents, so that a few pages alone never
+    condemn a host. Hosts without spread share the mean. A host is rejected when its shrunk
     rate exceeds ``max_rate``. Documents without a host belong to none.
     """
     hosts = materialise(measured.where(F.col(host_col).isNotNull()).groupBy(host_col)
@@ -91,7 +90,7 @@ def host_rates(measured: DataFrame, host_col: str, max_rate: float = 0.5) -> Dat
         # E[scatter] = mean (1 - mean) ((k - 1) + rho (n - k - (squares / n - 1)))  with rho = 1 / (alpha + beta + 1)
         room = n - squares / n - (k - 1)
         rho = (scatter / (mean * (1 - mean)) - (k - 1)) / room if k > 1 and room > 0 else 0.0
-        weight = 1 / min(max(rho, 1e-6), 0.999999) - 1
+        weight = max(LEAST_WEIGHT, 1 / min(max(rho, 1e-6), 0.999999) - 1)
         alpha, beta = mean * weight, (1 - mean) * weight
     rate = (F.col("failed") + F.lit(alpha)) / (F.col("n") + F.lit(alpha + beta))
     return hosts.withColumn("rate", rate).withColumn("rejected", rate > max_rate)

@@ -8,6 +8,7 @@ from collections.abc import Iterable
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from tabsieve.llm.batches import map_rows
 from tabsieve.operators.components import connected_components
@@ -22,11 +23,12 @@ BLOCK_MEMBERS = 256
 
 
 class WordHashes(dict):
+    """Word -> 64-bit hash; a full memory starts anew."""
+
     def __missing__(self, word: bytes) -> int:
-        import xxhash
         if len(self) >= CACHE_ENTRIES:
             self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = self[word] = xxh3_64_intdigest(word)
         return h
 
 
@@ -44,7 +46,8 @@ def shingle_set(text: str | None, hashes: WordHashes, width: int) -> np.ndarray:
     for k in range(min(n, width)):
         out = (out ^ ids[k:k + len(out)]) * _GOLD
         out ^= out >> _U(32)
-    return np.unique(out)
+    out.sort()
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 class Sketcher:

@@ -29,7 +29,7 @@ ho AS (SELECT source, CAST(count(*) AS DOUBLE) AS n, CAST(sum(CASE WHEN base_fai
 mm AS (SELECT count(*) AS k, sum(n) AS nn, (sum(x) + 0.5) / (sum(n) + 1.0) AS mu, sum(n * n) AS sq FROM ho),
 sc AS (SELECT sum(n * pow(x / n - mu, 2)) AS sc, any_value(mu) AS mu, any_value(k) AS k, any_value(nn - sq / nn - (k - 1)) AS room FROM ho, mm),
 rh AS (SELECT mu, CASE WHEN k > 1 AND room > 0 THEN (sc / (mu * (1 - mu)) - (k - 1)) / room ELSE 0 END AS rho FROM sc),
-pr AS (SELECT mu, 1 / least(greatest(rho, 1e-6), 0.999999) - 1 AS wt FROM rh),
+pr AS (SELECT mu, greatest(8.0, 1 / least(greatest(rho, 1e-6), 0.999999) - 1) AS wt FROM rh),
 bad AS (SELECT source FROM ho, pr WHERE (x + mu * wt) / (n + wt) > 0.5)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        coalesce(source IN (SELECT source FROM bad), false) AS host_rejected,

@@ -6,6 +6,7 @@ DataFrame functions only.
 from __future__ import annotations
 
 import json
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,6 +60,38 @@ def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
             .when(F.least(n, m) < F.greatest(n, m) * F.lit(float(least)), 0.0).otherwise(exact).cast("double"))
 
 
+def spot_links(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8) -> dict[str, DataFrame]:
+    """Near-duplicate search: ``members`` (id, class_id) and ``links`` (u, v) between class representatives.
+
+    A class holds the rows with one signature set; its id is the smallest id, and copies are not expanded.
+    Sets are partitioned by length: a range of lengths meets only itself and the next, as others cannot
+    reach ``threshold``. Inside, two sets meet on their rarest signatures only: sets that reach the
+    threshold share one among the first ``n - ceil(threshold * n) + 1`` by rising frequency. Pairs are
+    confirmed on the whole sets. Rows without signatures are classes of their own and have no links.
+    """
+    signed = with_signatures(df.select(F.col(id_col), F.col(text_col)), F.col(text_col), "_sig").select(id_col, "_sig")
+    signed = materialise(signed.withColumn("_cls", F.when(F.size("_sig") > 0, F.md5(fingerprint(F.col("_sig"))))))
+    named = signed.where("_cls IS NOT NULL").groupBy("_cls").agg(F.min(id_col).alias("class_id"), F.count(F.lit(1)).alias("_rows"))
+    heads = materialise(named.join(signed.select("_cls", "_sig").dropDuplicates(["_cls"]), "_cls"))
+    rarity = heads.select(F.explode("_sig").alias("sig")).groupBy("sig").agg(F.count(F.lit(1)).alias("df"))
+    # Ranges of lengths grow by 1 / threshold, so a set reaches into the next range at most.
+    part = F.floor(F.log(F.size("_sig").cast("double")) / F.lit(-math.log(threshold)))
+    ranked = (spread_join(heads.select("class_id", F.size("_sig").alias("n"), part.alias("part"), F.explode("_sig").alias("sig")), rarity, ["sig"])
+              .withColumn("r", F.row_number().over(Window.partitionBy("class_id").orderBy("df", "sig"))))
+    first = materialise(ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("class_id", "n", "part", "sig"))
+    left = first.withColumn("_p", F.explode(F.array("part", F.col("part") + 1)))
+    a, b = left.alias("a"), first.alias("b")
+    met = (a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a._p") == F.col("b.part")) & (F.col("a.n") <= F.col("b.n"))
+                  & (F.col("a.n") >= F.col("b.n") * threshold - 1e-9) & (F.col("a.class_id") != F.col("b.class_id")))
+           .select(F.least("a.class_id", "b.class_id").alias("u"), F.greatest("a.class_id", "b.class_id").alias("v")).distinct())
+    pairs = (met.join(heads.select(F.col("class_id").alias("u"), F.col("_sig").alias("_a")), "u")
+             .join(heads.select(F.col("class_id").alias("v"), F.col("_sig").alias("_b")), "v"))
+    links = pairs.where(likeness(F.col("_a"), F.col("_b"), threshold - 1e-9) >= threshold).select("u", "v")
+    members = (signed.select(id_col, "_cls").join(named.select("_cls", "class_id"), "_cls", "left")
+               .select(id_col, F.coalesce("class_id", id_col).alias("class_id")))
+    return {"members": members, "links": links}
+
+
 def fingerprint(signature: Column) -> Column:
     """The whole signature set as text: 16 hex digits a signature, in order."""
     return F.array_join(F.transform(signature, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), " ")
