@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tabsieve.session import materialise
+from tabsieve.session import materialise, null_safe_join
 
 
 def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], weights: Sequence[str],
@@ -39,7 +39,7 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], wei
         *[F.sum(f"_s_{w}").over(group).alias(f"total_{w}") for w in weights])
     local = (Window.partitionBy(*keys, "_range").orderBy(*order)
              .rowsBetween(Window.unboundedPreceding, -1))
-    out = ranged.join(offsets, [*keys, "_range"])
+    out = null_safe_join(ranged, offsets, [*keys, "_range"])
     for w in weights:
         out = out.withColumn(f"before_{w}", F.col(f"_o_{w}") + F.coalesce(F.sum(w).over(local), F.lit(0)))
     if following:

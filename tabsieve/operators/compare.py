@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from tabsieve.functions.ranking import exact_quantiles, number_rows, value_positions
 from tabsieve.operators.filters import finite_non_zero, finite_or_null
 from tabsieve.operators.metric_names import REPORTED
-from tabsieve.session import broadcast_if, materialise
+from tabsieve.session import broadcast_if, materialise, null_safe_join
 
 _INF = float("inf")
 
@@ -86,20 +86,31 @@ def win_loss(df: DataFrame, keys: Sequence[str]) -> DataFrame:
           for a, c in (("wins", F.col("sgn") > 0), ("losses", F.col("sgn") < 0))])
     counts = counts.withColumn("ties", F.col("n") - F.col("wins") - F.col("losses"))
     med = exact_quantiles(df.withColumn("_d", finite_or_null("dpct")), keys, "_d", [0.5], ["median_change"]).drop("n_values")
-    return counts.join(med, list(keys), "left")
+    return null_safe_join(counts, med, list(keys), "left")
+
+
+def _log_gamma(x: Column) -> Column:
+    """Stirling's series, shifted by eight so that it holds from 1 on."""
+    y = x + 8
+    series = 1 / (12 * y) - 1 / (360 * F.pow(y, 3)) + 1 / (1260 * F.pow(y, 5)) - 1 / (1680 * F.pow(y, 7))
+    shift = F.log(x)
+    for k in range(1, 8):
+        shift = shift + F.log(x + k)
+    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + series - shift
 
 
 def sign_test(wins: str = "wins", losses: str = "losses") -> Column:
     """Exact two-sided sign test p-value, from the binomial tail at one half.
 
-    The tail is built outwards from its largest term, which keeps it finite for
-    any number of pairs; that term comes from a sum of logarithms.
+    The tail is built outwards from its largest term, which comes from log-gamma.
+    Terms fall at least like ``exp(-2 j^2 / n)``, so those beyond ten square roots
+    of ``n`` are below the last digit of the sum; no array grows with the pairs.
     """
-    n, m = (F.col(wins) + F.col(losses)).cast("double"), F.least(F.col(wins), F.col(losses)).cast("int")
-    log_top = F.aggregate(F.sequence(F.lit(0), m), F.lit(0.0),
-                          lambda acc, j: acc + F.when(j > 0, F.log((n - m + j) / j)).otherwise(0.0)) - n * math.log(2.0)
+    n, m = (F.col(wins) + F.col(losses)).cast("double"), F.least(F.col(wins), F.col(losses)).cast("double")
+    log_top = _log_gamma(n + 1) - _log_gamma(m + 1) - _log_gamma(n - m + 1) - n * math.log(2.0)
+    last = F.least(m, F.ceil(10 * F.sqrt(n)) + 50).cast("int")
     start = F.struct(F.lit(0.0).alias("s"), F.lit(1.0).alias("t"))
-    tail = F.aggregate(F.sequence(F.lit(0), m), start,
+    tail = F.aggregate(F.sequence(F.lit(0), last), start,
                        lambda acc, j: F.struct((acc["s"] + acc["t"]).alias("s"),
                                                (acc["t"] * (m - j) / (n - m + j + 1)).alias("t")))["s"]
     return F.when(n > 0, F.least(F.lit(1.0), 2.0 * F.exp(log_top) * tail))
@@ -121,7 +132,7 @@ def signed_ranks(df: DataFrame, keys: Sequence[str], value: str = "dpct") -> Dat
     ranks = value_positions(rows, keys, "_abs").withColumn("avg_rank", F.col("before") + (F.col("n") + 1) / F.lit(2.0))
     sides = rows.groupBy(*keys, "_abs").agg(F.sum(F.when(F.col(value) > 0, 1).otherwise(0)).alias("n_pos"),
                                             F.sum(F.when(F.col(value) < 0, 1).otherwise(0)).alias("n_neg"))
-    return ranks.join(sides, [*keys, "_abs"])
+    return null_safe_join(ranks, sides, [*keys, "_abs"])
 
 
 def wilcoxon(df: DataFrame, keys: Sequence[str], value: str = "dpct") -> DataFrame:
@@ -219,7 +230,7 @@ def value_spread(melted: DataFrame, keys: Sequence[str] = ("Metric", "Source"),
 
 def run_times(results: DataFrame, keys: Sequence[str] = ("dataset", "synth"), value: str = "secs") -> DataFrame:
     base = results.groupBy(*keys).agg(F.count(F.lit(1)).alias("runs"), F.sum(value).alias("total_secs"), F.max(value).alias("max_secs"))
-    return base.join(exact_quantiles(results, keys, value, [0.5], ["median_secs"]).drop("n_values"), list(keys), "left")
+    return null_safe_join(base, exact_quantiles(results, keys, value, [0.5], ["median_secs"]).drop("n_values"), list(keys), "left")
 
 
 def point_lookup(wanted: DataFrame, table: DataFrame, keys: Sequence[str], table_rows: int) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tabsieve.functions.ranking import exact_quantiles
 from tabsieve.operators.encode import columns_of_type
-from tabsieve.session import broadcast_if, materialise
+from tabsieve.session import broadcast_if, materialise, null_safe_join
 
 
 def split_noise(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -46,7 +46,7 @@ def stratified_trim(df: DataFrame, tau: float, strata: Sequence[str] = ("cluster
     cuts = materialise(tail_quantiles(df, tau, strata))
     # One row per stratum; strata are far fewer than rows, the size is checked all the same.
     cuts = broadcast_if(cuts, cuts.count() * 48 * len(strata))
-    return df.join(cuts, list(strata)).where(F.col("distance") <= F.col("cut")).drop("cut").select(*df.columns)
+    return null_safe_join(df, cuts, list(strata)).where(F.col("distance") <= F.col("cut")).drop("cut").select(*df.columns)
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str], approximate: bool = False) -> dict[str, int]:

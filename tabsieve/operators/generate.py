@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabsieve.functions.hashing import seeded_digest, seeded_uniform
-from tabsieve.functions.ranking import number_rows, value_positions
+from tabsieve.functions.ranking import number_rows, running_totals
 from tabsieve.operators.filters import distinct_counts
-from tabsieve.session import broadcast_if, materialise
+from tabsieve.session import broadcast_if, materialise, null_safe_join
 
 
 def split_train_holdout(df: DataFrame, id_col: str, share: float = 0.7, seed: int | str = 42) -> DataFrame:
@@ -35,14 +35,16 @@ def _draw(draws: DataFrame, steps: DataFrame, keys: Sequence[str], column: str,
         F.floor(F.col("_lo") * buckets).cast("int"), F.least(F.floor(F.col("_hi") * buckets).cast("int"), F.lit(buckets - 1)))))
     groups = steps.select(*keys).distinct().count() if keys else 1
     side = broadcast_if(keyed, (steps.count() + groups * buckets) * 64)
-    return (draws.withColumn("_b", F.floor(F.col("_u") * buckets).cast("int")).join(side, [*keys, "_b"])
+    return (null_safe_join(draws.withColumn("_b", F.floor(F.col("_u") * buckets).cast("int")), side, [*keys, "_b"])
             .where((F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_hi"))).drop("_b", "_lo", "_hi", "_u"))
 
 
 def _steps(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
-    pos = value_positions(df, keys, column)
-    return pos.select(*keys, column, (F.col("before") / F.col("total")).alias("_lo"),
-                      ((F.col("before") + F.col("n")) / F.col("total")).alias("_hi"))
+    """Share of the unit interval per value; null is a value of its own, before all others."""
+    counted = df.groupBy(*keys, column).agg(F.count(F.lit(1)).alias("n"))
+    pos = running_totals(counted, keys, [column], ["n"])
+    return pos.select(*keys, column, (F.col("before_n") / F.col("total_n")).alias("_lo"),
+                      ((F.col("before_n") + F.col("n")) / F.col("total_n")).alias("_hi"))
 
 
 def sample_marginal(df: DataFrame, column: str, n: int, seed: int | str = 42, buckets: int = 4096) -> DataFrame:
@@ -61,17 +63,21 @@ def independent_marginals(df: DataFrame, columns: Sequence[str], n: int, seed: i
 
 
 def uniform_sampler(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], n: int, seed: int | str = 42) -> DataFrame:
-    """n rows: numbers uniform over the observed range, categories uniform over those present."""
+    """n rows: numbers uniform over the observed range, categories uniform over those present; null where none is."""
     spark = df.sparkSession
     row = df.agg(*[f(c).cast("double").alias(f"{t}{i}") for i, c in enumerate(numeric) for f, t in ((F.min, "l"), (F.max, "h"))]
                  or [F.lit(1)]).first()
     out = spark.range(n).select(
         F.col("id").alias("gen_id"),
-        *[(F.lit(row[f"l{i}"]) + seeded_uniform(f"{seed}|{c}", F.col("id")) * F.lit(row[f"h{i}"] - row[f"l{i}"])).alias(c)
+        *[F.lit(None).cast("double").alias(c) if row[f"l{i}"] is None
+          else (F.lit(row[f"l{i}"]) + seeded_uniform(f"{seed}|{c}", F.col("id")) * F.lit(row[f"h{i}"] - row[f"l{i}"])).alias(c)
           for i, c in enumerate(numeric)])
     for c in categorical:
         cats = materialise(number_rows(df.where(F.col(c).isNotNull()).select(c).distinct(), [c], name="_rn"))
         size = cats.count()
+        if not size:
+            out = out.withColumn(c, F.lit(None).cast(df.schema[c].dataType))
+            continue
         out = (out.withColumn("_rn", (F.floor(seeded_uniform(f"{seed}|{c}", F.col("gen_id")) * size) + 1).cast("long"))
                .join(broadcast_if(cats, size * 64), "_rn").drop("_rn"))
     return out
@@ -87,15 +93,15 @@ def bootstrap(df: DataFrame, id_col: str, n: int, seed: int | str = 42) -> DataF
 
 
 def mutual_information(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(col_a, col_b, mi) over discrete columns, from pair counts; pairs in column order."""
+    """(col_a, col_b, mi) over discrete columns, from pair counts; pairs in column order, null is a value of its own."""
     n = df.count()
     single = {c: df.groupBy(F.col(c).alias("v")).agg(F.count(F.lit(1)).alias("n")) for c in columns}
     parts = []
     for i, a in enumerate(columns):
         for b in columns[i + 1:]:
             pair = df.groupBy(F.col(a).alias("va"), F.col(b).alias("vb")).agg(F.count(F.lit(1)).alias("nab"))
-            joined = (pair.join(single[a].select(F.col("v").alias("va"), F.col("n").alias("na")), "va")
-                      .join(single[b].select(F.col("v").alias("vb"), F.col("n").alias("nb")), "vb"))
+            joined = null_safe_join(null_safe_join(pair, single[a].select(F.col("v").alias("va"), F.col("n").alias("na")), ["va"]),
+                                    single[b].select(F.col("v").alias("vb"), F.col("n").alias("nb")), ["vb"])
             term = F.col("nab") / n * F.log(F.col("nab") * F.lit(float(n)) / (F.col("na") * F.col("nb")))
             parts.append(joined.agg(F.sum(term).alias("mi")).select(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), "mi"))
     out = parts[0]
@@ -124,7 +130,7 @@ def bayesian_network(df: DataFrame, columns: Sequence[str], n: int, seed: int |
     drawn as the bin's observed mean.
     """
     spark = df.sparkSession
-    counts = distinct_counts(df, columns, approximate=True)
+    counts = distinct_counts(df, columns)
     numeric = {f.name for f in df.schema if f.dataType.typeName() in ("double", "float", "integer", "long", "short", "byte")
                or f.dataType.typeName().startswith("decimal")}
     work = df.select(*columns)
@@ -133,7 +139,7 @@ def bayesian_network(df: DataFrame, columns: Sequence[str], n: int, seed: int |
             lo, hi = df.agg(F.min(c).cast("double"), F.max(c).cast("double")).first()
             cut = F.least(F.floor((F.col(c) - lo) / F.lit((hi - lo) / bins)), F.lit(bins - 1))
             means = df.groupBy(cut.alias("_bin")).agg(F.avg(c).alias("_mean"))
-            work = work.withColumn("_bin", cut).join(F.broadcast(means), "_bin").withColumn(c, F.col("_mean")).drop("_bin", "_mean")
+            work = null_safe_join(work.withColumn("_bin", cut), F.broadcast(means), ["_bin"]).withColumn(c, F.col("_mean")).drop("_bin", "_mean")
     work = materialise(work)
     mi = [(r["col_a"], r["col_b"], r["mi"]) for r in mutual_information(work, columns).collect()] if len(columns) > 1 else []
     out = spark.range(n).select(F.col("id").alias("gen_id"))

@@ -15,6 +15,9 @@ from tabsieve.operators.neighbours import median_pair_distance, metric_space, pr
 from tabsieve.operators.scale import standardise
 from tabsieve.session import materialise
 
+# Default grid of the search.
+DEFAULT_EPS = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
+DEFAULT_MIN_SAMPLES = (3, 4, 5, 6, 7, 8, 9)
 #: Configurations labelled together; bounds the rows one pass multiplies out.
 CONFIG_BATCH = 32
 
@@ -34,8 +37,8 @@ def _labelled(z: DataFrame, id_col: str, zcols: Sequence[str], configs: Sequence
         yield at, points, labels, tiles
 
 
-def grid_search(df: DataFrame, id_col: str, features: Sequence[str], eps_values: Sequence[float],
-                min_samples_values: Sequence[int], metrics: Sequence[str] = ("euclidean", "manhattan", "mahalanobis"),
+def grid_search(df: DataFrame, id_col: str, features: Sequence[str], eps_values: Sequence[float] = DEFAULT_EPS,
+                min_samples_values: Sequence[int] = DEFAULT_MIN_SAMPLES, metrics: Sequence[str] = ("euclidean", "manhattan", "mahalanobis"),
                 algorithms: Sequence[str] = ("auto",), leaf_sizes: Sequence[int] = (30,),
                 p_values: Sequence[float | None] = (None,)) -> DataFrame:
     """One row per configuration: clusters, noise share and silhouette on standardised columns.

@@ -20,6 +20,10 @@ from tabsieve.sources.stages import StageStore
 from tabsieve.spec import TableSpec
 
 
+# Default eps fractions of the capped search.
+FRACTIONS = (0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.5, 0.6, 0.7, 0.8, 1.0, 1.2)
+
+
 @dataclass
 class Sanitised:
     table: DataFrame | None
@@ -43,14 +47,17 @@ def encode_table(df: DataFrame, spec: TableSpec, impute: bool = True) -> tuple[D
 def capped_sanitiser(df: DataFrame, spec: TableSpec, fractions: Sequence[float] | None = None,
                      eps_values: Sequence[float] | None = None, min_samples: Sequence[int] = (3, 5, 8, 10, 15, 20, 30, 45),
                      tau: float = 0.10, impute: bool = True, min_kept_share: float | None = 0.4,
-                     min_kept: int | None = None, store: StageStore | None = None) -> Sanitised:
-    """Search the grid, keep the best configuration that meets the class cap, return its raw rows."""
+                     min_kept: int | None = None, store: StageStore | None = None, pairs: int = 1200, seed: int = 0) -> Sanitised:
+    """Search the grid, keep the best configuration that meets the class cap, return its raw rows.
+
+    Eps values default to twelve fractions of the median distance between ``pairs`` drawn rows.
+    """
     spec.validate(df)
     encoded, _, features = encode_table(df, spec, impute)
     encoded = materialise(encoded)
     if eps_values is None:
         z = standardise(encoded, features)
-        eps_values = relative_eps(z, spec.row_id, [f"z_{c}" for c in features], fractions or (0.5, 0.6, 0.7))
+        eps_values = relative_eps(z, spec.row_id, [f"z_{c}" for c in features], fractions or FRACTIONS, pairs, seed)
     configs = [(e, m) for e in eps_values for m in min_samples]
     search, kept = capped_search(encoded, spec.row_id, features, spec.target, configs, tau, min_kept_share, min_kept)
     search = materialise(search)

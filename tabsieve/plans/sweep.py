@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from tabsieve.operators.attack import attribute_inference
+from tabsieve.operators.attack import RESULT, attribute_inference
 from tabsieve.operators.compare import union_all
 from tabsieve.sources.stages import open_jobs, run_jobs
 
@@ -29,5 +29,7 @@ def attack_sweep(jobs: DataFrame, load: Callable[[Row], tuple[DataFrame, DataFra
 
     parts = run_jobs(todo, work, path)
     if not parts:
-        return jobs.where(F.lit(False))
+        keys = jobs.select("dataset", "arm", "synth").where(F.lit(False))
+        none = jobs.sparkSession.createDataFrame([], RESULT).withColumnRenamed("error", "fit_error")
+        return none.join(keys, F.lit(True), "left").withColumns({"status": F.lit("ok"), "error": F.lit(None).cast("string")})
     return union_all(parts)

@@ -8,6 +8,7 @@ from tabsieve.operators import attack, utility
 from tabsieve.operators.encode import shared_label_codes
 from tabsieve.operators.filters import known_label_rows
 from tabsieve.operators.generate import split_train_holdout
+from tabsieve.plans.membership import holdout_slices, membership_inference
 from tabsieve.plans.sweep import attack_sweep
 from tabsieve.queries.neighbourhoods import customer_supplier
 from tabsieve.queries.registry import query, rounded, table
@@ -100,10 +101,12 @@ def membership(spark, folder):
 
 
 PARTS = """
-sp AS MATERIALIZED (SELECT c_custkey AS id, CAST(c_nationkey AS DOUBLE) AS z0, c_acctbal AS z1, CASE WHEN row_number() OVER (ORDER BY md5('42|' || c_custkey), c_custkey)
-  <= floor(count(*) OVER () * 0.7) THEN 1 ELSE 0 END AS member FROM customer),
+al AS MATERIALIZED (SELECT c_custkey AS id, CAST(c_nationkey AS DOUBLE) AS z0, c_acctbal AS z1, CASE WHEN row_number() OVER (ORDER BY md5('42|' || c_custkey), c_custkey)
+  <= floor(count(*) OVER () * 0.7) THEN 1 ELSE 0 END AS train FROM customer),
+ho AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY md5('slice|' || id), id) AS r, count(*) OVER () // 2 AS half FROM al WHERE train = 0),
+sp AS MATERIALIZED (SELECT id, z0, z1, 1 AS member FROM al WHERE train = 1 AND KEPT UNION ALL SELECT id, z0, z1, 0 FROM ho WHERE r <= half),
 sy AS MATERIALIZED (SELECT s_suppkey AS id, CAST(s_nationkey AS DOUBLE) AS z0, s_acctbal AS z1 FROM supplier),
-rf AS MATERIALIZED (SELECT * FROM sp WHERE member = 0)"""
+rf AS MATERIALIZED (SELECT id, z0, z1 FROM ho WHERE r > half AND r <= 2 * half)"""
 
 
 def _kde(src, name):
@@ -112,37 +115,54 @@ def _kde(src, name):
   FROM sp x, {src} y, (SELECT count(*)::DOUBLE AS n, var_samp(z0) AS a, covar_samp(z0, z1) AS b, var_samp(z1) AS d FROM {src}) c GROUP BY x.id)"""
 
 
-KDE = f"WITH {PARTS}, {_kde('sy', 'ps')}, {_kde('rf', 'pr')}, sc AS MATERIALIZED (SELECT sp.id, sp.member, ps.p / (pr.p + 1e-10) AS score FROM sp JOIN ps USING (id) JOIN pr USING (id))"
+KDE = f"WITH {PARTS.replace('KEPT', 'true')}, {_kde('sy', 'ps')}, {_kde('rf', 'pr')}, sc AS MATERIALIZED (SELECT sp.id, sp.member, ps.p / (pr.p + 1e-10) AS score FROM sp JOIN ps USING (id) JOIN pr USING (id))"
 SCORES = """, rk AS (SELECT member, score, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0::DOUBLE AS r, median(score) OVER () AS m FROM sc)
 SELECT round((sum(r) FILTER (WHERE member = 1) - sum(member) * (sum(member) + 1) / 2) / (sum(member) * (count(*) - sum(member))), 4) AS auroc,
   round(avg(CASE WHEN (score > m) = (member = 1) THEN 1.0 ELSE 0.0 END), 4) AS accuracy, CAST(sum(member) AS BIGINT) AS n_pos, CAST(count(*) - sum(member) AS BIGINT) AS n_neg FROM rk"""
 
 
 def membership_inputs(spark, folder):
+    """Members, non-members and reference rows, which share no row, and the synthetic table."""
     real, syn = customer_supplier(spark, folder)
     parts = split_train_holdout(real, "c_custkey")
-    return parts.where("part = 'train'").drop("part"), parts.where("part = 'holdout'").drop("part"), syn
+    hold = parts.where("part = 'holdout'").drop("part")
+    outsiders, reference = holdout_slices(hold, "c_custkey", hold.count() // 2)
+    return parts.where("part = 'train'").drop("part"), outsiders, reference, syn
 
 
 @query("k8_domias_kde", KDE + SCORES)
 def domias(spark, folder):
-    """Members = customers of the training part, outsiders and reference = the holdout, synthetic = suppliers."""
-    members, hold, syn = membership_inputs(spark, folder)
-    scored = attack.domias(members, hold, syn, hold, "c_custkey", "c_custkey", ["c_nationkey", "c_acctbal"])
+    """Members = customers of the training part, outsiders and reference = the halves of the holdout, synthetic = suppliers."""
+    members, outsiders, reference, syn = membership_inputs(spark, folder)
+    scored = attack.domias(members, outsiders, syn, reference, "c_custkey", "c_custkey", ["c_nationkey", "c_acctbal"])
     return rounded(attack.membership_scores(scored), "auroc", "accuracy")
 
 
-@query("k9_domias_gaussian_prior", f"""WITH {PARTS}, {_kde('sy', 'ps')}, pr AS (SELECT x.id,
+@query("k9_domias_gaussian_prior", f"""WITH {PARTS.replace('KEPT', 'true')}, {_kde('sy', 'ps')}, pr AS (SELECT x.id,
   exp(-0.5 * (c.d * (x.z0 - c.m0) * (x.z0 - c.m0) - 2 * c.b * (x.z0 - c.m0) * (x.z1 - c.m1) + c.a * (x.z1 - c.m1) * (x.z1 - c.m1)) / (c.a * c.d - c.b * c.b))
   / sqrt(power(2 * pi(), 2) * (c.a * c.d - c.b * c.b)) AS p
   FROM sp x, (SELECT avg(z0) AS m0, avg(z1) AS m1, var_samp(z0) AS a, covar_samp(z0, z1) AS b, var_samp(z1) AS d FROM rf) c),
 sc AS MATERIALIZED (SELECT sp.id, sp.member, ps.p / (pr.p + 1e-10) AS score FROM sp JOIN ps USING (id) JOIN pr USING (id))""" + SCORES)
 def domias_prior(spark, folder):
-    members, hold, syn = membership_inputs(spark, folder)
-    scored = attack.domias(members, hold, syn, hold, "c_custkey", "c_custkey", ["c_nationkey", "c_acctbal"], prior="gaussian")
+    members, outsiders, reference, syn = membership_inputs(spark, folder)
+    scored = attack.domias(members, outsiders, syn, reference, "c_custkey", "c_custkey", ["c_nationkey", "c_acctbal"], prior="gaussian")
     return rounded(attack.membership_scores(scored), "auroc", "accuracy")
 
 
+@query("k7_membership_inference", KDE.replace("train = 1 AND true", "train = 1 AND z1 <= 9000") + SCORES.replace("SELECT round(", """, res AS (SELECT round(""", 1) + """)
+SELECT 'customer' AS dataset, n_pos AS n_members, n_neg AS n_nonmembers, n_neg AS reference_size, 0 AS n_cols_dropped, auroc, accuracy, 'ok' AS status FROM res
+UNION ALL SELECT 'nation', CAST(floor(count(*) * 0.7) AS BIGINT), CAST((count(*) - floor(count(*) * 0.7)) // 2 AS BIGINT),
+  CAST((count(*) - floor(count(*) * 0.7)) // 2 AS BIGINT), 0, NULL, NULL, 'too small' FROM nation""")
+def membership_end_to_end(spark, folder):
+    """Customers up to a balance are the arm; the nations are too few to be scored."""
+    real, syn = customer_supplier(spark, folder)
+    nation = table(spark, folder, "nation").select("n_nationkey", F.col("n_regionkey").cast("double").alias("n_regionkey"))
+    big = membership_inference(real, real.where("c_acctbal <= 9000"), lambda _: syn, "c_custkey", "c_custkey")
+    small = membership_inference(nation, nation, lambda m: m, "n_nationkey", "n_nationkey")
+    both = big.withColumn("dataset", F.lit("customer")).unionByName(small.withColumn("dataset", F.lit("nation")))
+    return rounded(both.drop("error"), "auroc", "accuracy")
+
+
 @query("k8_auroc_by_ranks", """
 WITH r AS (SELECT CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y, rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0::DOUBLE AS r FROM lineitem)
 SELECT round((sum(r) FILTER (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))), 6) AS auroc, CAST(sum(y) AS BIGINT) AS n_pos,

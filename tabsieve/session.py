@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 from contextlib import contextmanager
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,6 +73,13 @@ def spread_join(rows: DataFrame, table: DataFrame, on: list[str], how: str = "in
     return spread_lookup(rows, table, on, rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows")), n, how)
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join in which null keys are equal; key columns come from ``left`` (``inner``, ``left``, ``left_semi``, ``left_anti``)."""
+    marked = right.select(*[F.col(c).alias(f"_key_{c}") if c in on else F.col(c) for c in right.columns])
+    same = [F.col(c).eqNullSafe(F.col(f"_key_{c}")) for c in on]
+    return left.join(marked, reduce(and_, same, F.lit(True)), how).drop(*[f"_key_{c}" for c in on])
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

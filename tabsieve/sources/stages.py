@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from tabsieve.session import materialise
+
 # Stage number -> stage name.
 STAGES = {1: "encoded_data", 2: "cleaned_by_DBSCAN", 3: "outliers_by_DBSCAN", 4: "weighted_distances",
           5: "final_cleaned", 6: "outliers_by_distance", 7: "before_decoding", 8: "decoded_data"}
@@ -73,11 +75,12 @@ def run_jobs(jobs: DataFrame, work: Callable[[Row], DataFrame], path: str | None
         tags = [F.lit(job[k]).alias(k) for k in keys]
         try:
             got = work(job)
-            got = got.select("*", *tags, F.lit("ok").alias("status"), F.lit(None).cast("string").alias("error"))
+            # Stored here, so that a failure inside the data is caught too.
+            got = materialise(got.select("*", *tags, F.lit("ok").alias("status"), F.lit(None).cast("string").alias("error")))
             if path:
                 append_results(got, path, keys)
             out.append(got)
         except Exception as e:  # noqa: BLE001 - any failure becomes a status row
-            text = f"{type(e).__name__}: {str(e)[:200]}"
+            text = f"{type(e).__name__}: {e}"
             out.append(spark.range(1).select(*tags, F.lit("failed").alias("status"), F.lit(text).alias("error")))
     return out
