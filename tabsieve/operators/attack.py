@@ -62,9 +62,11 @@ def _guess(column: str):
 
 
 def attribute_inference(real: DataFrame, syn: DataFrame, column: str, models: Sequence[str] = ("logreg", "rf"),
-                        seed: int = 42, **sizes) -> DataFrame:
+                        seed: int = 42, fit_rows: int | None = None, **sizes) -> DataFrame:
     """Fit on synthetic rows, predict ``column`` on real rows: one result row per model.
 
+    ``fit_rows`` bounds the synthetic rows of a fit to those first in a hash order; all real rows are predicted.
+
     Categories of the other columns are coded by the real table; accuracy covers
     real rows whose class occurs in the synthetic table, the baseline all real rows.
     """
@@ -80,7 +82,10 @@ def attribute_inference(real: DataFrame, syn: DataFrame, column: str, models: Se
         coded = shared_label_codes(syn, df.select(*others, column), column, name="label").drop(column)
         return assemble(encode_against(coded, real.select(*others)), others, "label")
 
-    train, test = materialise(ready(syn)), materialise(known_label_rows(ready(real)))
+    fitted = syn
+    if fit_rows is not None:
+        fitted = syn.orderBy(F.xxhash64(F.lit(seed), *[F.col(c).cast("string") for c in syn.columns])).limit(fit_rows)
+    train, test = materialise(ready(fitted)), materialise(known_label_rows(ready(real)))
     n_classes = int(train.agg(F.max("label")).first()[0]) + 1
     n_train, rows = train.count(), []
     for name in models:

@@ -9,10 +9,10 @@ sys.path.insert(0, str(ROOT))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     s = (SparkSession.builder.master("local[8]").appName("tabsieve-tests")
          .config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
-         .config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC")
+         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared"))).config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC")
          .config("spark.ui.showConsoleProgress", "false").getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     yield s
