@@ -45,7 +45,7 @@ def with_signatures(df: DataFrame, text: Column, name: str) -> DataFrame:
     opening = F.xxhash64(*[F.get("_c", F.lit(k)) for k in range(CHAIN)], F.get("_w", F.lit(0)))
     found = F.filter(F.transform(spots, chain), lambda h: h.isNotNull())
     every = F.when(F.size("_w") > 0, F.array_append(found, opening)).otherwise(F.array().cast("array<long>"))
-    return out.withColumn(name, F.array_sort(F.array_distinct(every))).drop("_w", "_c")
+    return out.withColumn(name, F.sort_array(F.array_distinct(every))).drop("_w", "_c")
 
 
 def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
