@@ -30,9 +30,10 @@ def _combine(pulled, inv_sum, on_centre, any_off, centre, variant):
     target = pulled / inv_sum
     if variant == "plain" or on_centre == 0:
         return target
-    pull = float(np.sqrt((((target - centre) * inv_sum) ** 2).sum()))
-    ratio = 0.0 if pull == 0 else on_centre / pull
-    return max(0.0, 1.0 - ratio) * target + min(1.0, ratio) * centre
+    # Vardi and Zhang (2000): rows on the centre hold it back by their weight against the pull of the others.
+    pull = inv_sum * float(np.linalg.norm(target - centre))
+    held = min(1.0, on_centre / pull) if pull > 0 else 1.0
+    return centre + (1.0 - held) * (target - centre)
 
 
 def _iterate(x, w, variant, tol, max_iter):
@@ -52,7 +53,9 @@ def geometric_medians(df: DataFrame, features: Sequence[str], keys: Sequence[str
 
     ``plain`` skips rows on the current centre; ``vardi_zhang`` lets them hold the
     centre back. Copies are folded to weights first, so ``local_rows`` bounds what
-    one task holds. All larger groups advance together, one aggregate per step.
+    one task holds. All larger groups advance together, one aggregate per step, and
+    leave once they move less than ``tol``; ``max_iter`` steps end the search at the
+    centre reached, in both variants.
     """
     if variant not in ("plain", "vardi_zhang"):
         raise ValueError(variant)
@@ -79,7 +82,7 @@ def geometric_medians(df: DataFrame, features: Sequence[str], keys: Sequence[str
         return out
     # Each large group holds over local_rows rows, so few of them exist and their
     # centres (groups x features) are the only state on the driver.
-    active = folded.join(broadcast_if(large, sizes.count() * 64), keys)
+    active = materialise(folded.join(broadcast_if(large, sizes.count() * 64), keys))
     start = active.groupBy(*keys).agg(*[(F.sum(F.col(n) * F.col("_w")) / F.sum("_w")).alias(n) for n in names]).collect()
     centres = {tuple(r[k] for k in keys): np.array([r[n] for n in names]) for r in start}
     spark, done = df.sparkSession, {}

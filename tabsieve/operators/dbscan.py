@@ -19,7 +19,8 @@ NOISE = -1
 _FAR = np.iinfo(np.int64).max
 
 
-def neighbour_degrees(tiles: Tiles, eps: Sequence[float], metric: str, enough: Sequence[int] | None = None) -> DataFrame:
+def neighbour_degrees(tiles: Tiles, eps: Sequence[float], metric: str, enough: Sequence[int] | None = None,
+                      pairs: DataFrame | None = None) -> DataFrame:
     """(tile, tag): weighted neighbour count per row and eps, the row itself included.
 
     Tile pairs that lie wholly within the smallest eps add their total weight
@@ -29,7 +30,7 @@ def neighbour_degrees(tiles: Tiles, eps: Sequence[float], metric: str, enough: S
     """
     need = None if enough is None else np.asarray(enough, dtype=float)
     inner, outer = min(eps), max(eps)
-    pairs = tile_pairs(tiles, tiles, metric, reach=outer).withColumn(
+    pairs = (tile_pairs(tiles, tiles, metric, reach=outer) if pairs is None else pairs).withColumn(
         "payload", (F.col("far") > inner * (1 - SLACK)) | (F.col("i") == F.col("j")))
 
     def start(a):
@@ -95,28 +96,27 @@ def label_points(df: DataFrame, id_col: str, features: Sequence[str], configs: S
     eps = sorted({float(e) for e, _ in configs})
     cfg = [(c, eps.index(float(e)), int(m)) for c, (e, m) in enumerate(configs)]
     most = [max(m for _, at, m in cfg if at == e) for e in range(len(eps))]
-    degrees = materialise(neighbour_degrees(tiles, eps, metric, most))
+    pairs = materialise(tile_pairs(tiles, tiles, metric, reach=max(eps)))
+    degrees = materialise(neighbour_degrees(tiles, eps, metric, most, pairs))
     cored = with_tags(tiles, degrees, len(eps))
 
     # Core rows joined inside their own tile: only component roots leave the tile.
     # Roots are 64-bit ids, so that tag holds integers until clusters are numbered.
-    self_pairs = cored.df.select(F.col("tile").alias("i"), F.col("tile").alias("j"), F.lit(0.0).alias("near"),
-                                 F.lit(0.0).alias("far"), F.lit(0.0).alias("w_j"))
+    dims = tiles.dims
 
-    def start_roots(a):
-        return np.full((len(a.ids), len(cfg)), -1, dtype=np.int64)
-
-    def step_roots(roots, a, b, near, far, w_j):
-        for c, e, m in cfg:
-            core = np.flatnonzero(a.tag[:, e] >= m)
-            if len(core):
-                roots[core, c] = _local_roots(a.x[core], a.ids[core], eps[e], metric)
-
-    def finish_roots(roots, a):
-        return pd.DataFrame([{"tile": a.tile, "tag": roots.tobytes()}])
-
-    roots = materialise(fold_pairs(cored, cored, self_pairs, start_roots, step_roots, finish_roots,
-                                   "tile int, tag binary"))
+    def inside_tiles(batches):
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                ids = np.frombuffer(row.ids, dtype=np.int64)
+                x, degree = (np.frombuffer(v).reshape(len(ids), n) for v, n in ((row.x, dims), (row.tag, len(eps))))
+                roots = np.full((len(ids), len(cfg)), -1, dtype=np.int64)
+                for c, e, m in cfg:
+                    core = np.flatnonzero(degree[:, e] >= m)
+                    if len(core):
+                        roots[core, c] = _local_roots(x[core], ids[core], eps[e], metric)
+                yield pd.DataFrame([{"tile": row.tile, "tag": roots.tobytes()}])
+
+    roots = materialise(cored.df.select("tile", "ids", "x", "tag").mapInPandas(inside_tiles, "tile int, tag binary"))
     rooted = with_tags(tiles, roots, len(cfg))
     width = len(cfg)
 
@@ -131,9 +131,6 @@ def label_points(df: DataFrame, id_col: str, features: Sequence[str], configs: S
 
     nodes = materialise(roots.mapInPandas(list_roots, "tile int, config_id int, node long"))
 
-    reach = max(eps)
-    pairs = materialise(tile_pairs(tiles, tiles, metric, reach=reach))
-
     def start_edges(a):
         return {c: set() for c, _, _ in cfg}
 

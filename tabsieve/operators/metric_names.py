@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Recorded metric name -> evaluator name, and evaluator name -> direction.
+# Recorded metric name -> evaluator name.
 METRIC_NAMES = {
     "sanity.data_mismatch.score": "DataMismatchScore",
     "sanity.common_rows_proportion.score": "CommonRowsProportion",
@@ -51,19 +51,39 @@ METRIC_NAMES = {
     "privacy.identifiability_score.score": "IdentifiabilityScore",
     "privacy.identifiability_score.score_OC": "IdentifiabilityScore",
 }
-LOWER_IS_BETTER = {
-    "CommonRowsProportion", "DataMismatchScore", "DistantValuesProbability", "NearestSyntheticNeighborDistance",
-    "JensenShannonDistance", "MaximumMeanDiscrepancy", "SurvivalKMDistance", "WassersteinDistance",
-    "FeatureImportanceRankDistance", "SyntheticDetectionXGB", "SyntheticDetectionMLP", "SyntheticDetectionGMM",
-    "SyntheticDetectionLinear", "IdentifiabilityScore", "FeatureCorrelation",
+# Evaluator name -> preferred direction in each version.
+VERSIONS = ("recorded", "tables", "tables_first")
+DIRECTIONS = {
+    "DataMismatchScore": ("minimize", "minimize", "minimize"),
+    "CommonRowsProportion": ("minimize", "minimize", "minimize"),
+    "NearestSyntheticNeighborDistance": ("minimize", "minimize", "minimize"),
+    "CloseValuesProbability": ("maximize", "maximize", "maximize"),
+    "DistantValuesProbability": ("minimize", "minimize", "minimize"),
+    "JensenShannonDistance": ("minimize", "minimize", "minimize"),
+    "ChiSquaredTest": ("maximize", "maximize", "maximize"),
+    "FeatureCorrelation": ("minimize", "minimize", "minimize"),
+    "InverseKLDivergence": ("maximize", "maximize", "minimize"),
+    "KolmogorovSmirnovTest": ("maximize", "maximize", "minimize"),
+    "MaximumMeanDiscrepancy": ("minimize", "minimize", "minimize"),
+    "WassersteinDistance": ("minimize", "minimize", "minimize"),
+    "PRDCScore": ("maximize", "maximize", "maximize"),
+    "AlphaPrecision": ("maximize", "maximize", "maximize"),
+    "SurvivalKMDistance": ("minimize", "minimize", "minimize"),
+    "AugmentationPerformanceEvaluatorLinear": ("maximize", "maximize", "maximize"),
+    "AugmentationPerformanceEvaluatorMLP": ("maximize", "maximize", "maximize"),
+    "AugmentationPerformanceEvaluatorXGB": ("maximize", "maximize", "maximize"),
+    "FeatureImportanceRankDistance": ("minimize", "minimize", "minimize"),
+    "SyntheticDetectionXGB": ("minimize", "minimize", "minimize"),
+    "SyntheticDetectionMLP": ("minimize", "minimize", "minimize"),
+    "SyntheticDetectionGMM": ("minimize", "minimize", "minimize"),
+    "SyntheticDetectionLinear": ("minimize", "minimize", "minimize"),
+    "DeltaPresence": ("maximize", "minimize", "minimize"),
+    "kAnonymization": ("maximize", "maximize", "maximize"),
+    "kMap": ("maximize", "maximize", "maximize"),
+    "lDiversityDistinct": ("maximize", "maximize", "maximize"),
+    "IdentifiabilityScore": ("minimize", "minimize", "minimize"),
 }
-# Direction versions differ in these evaluators only.
-FLIPPED_TO_LOWER = {
-    "recorded": set(),
-    "tables": {"DeltaPresence"},
-    "tables_first": {"DeltaPresence", "InverseKLDivergence", "KolmogorovSmirnovTest"},
-}
-# The 17 metrics of the comparison tables.
+# The 17 metrics of the comparison tables.
 REPORTED = (
     "privacy.delta-presence.score", "privacy.distinct l-diversity.syn", "privacy.k-anonymization.syn",
     "privacy.k-map.score", "sanity.close_values_probability.score", "sanity.nearest_syn_neighbor_distance.mean",
@@ -75,15 +95,13 @@ REPORTED = (
 
 
 def direction(metric: str, version: str = "recorded") -> str:
-    name = METRIC_NAMES[metric]
-    lower = name in LOWER_IS_BETTER or name in FLIPPED_TO_LOWER[version]
-    return "minimize" if lower else "maximize"
+    return DIRECTIONS[METRIC_NAMES[metric]][VERSIONS.index(version)]
 
 
 def metric_dimension(spark: SparkSession) -> DataFrame:
     """(metric, short_metric, family, name, direction, direction_version)."""
     rows = [(m, m.split(".", 1)[1], m.split(".", 1)[0], n, direction(m, v), v)
-            for m, n in METRIC_NAMES.items() for v in FLIPPED_TO_LOWER]
+            for m, n in METRIC_NAMES.items() for v in VERSIONS]
     return spark.createDataFrame(rows, "metric string, short_metric string, family string, name string, "
                                        "direction string, direction_version string")
 

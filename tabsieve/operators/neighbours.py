@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -69,14 +70,16 @@ def eps_pairs(df: DataFrame, id_col: str, features: Sequence[str], eps: float, m
     pairs = tile_pairs(tiles, tiles, metric, reach=eps).where(F.col("i") <= F.col("j"))
 
     def start(a):
-        return []
+        return None
 
-    def step(found, a, b, near, far, w_j):
+    def step(_, a, b, near, far, w_j):
+        found = []
         rows_a = rows_in_reach(a.x, b.x, eps, metric)
         rows_b = rows_in_reach(b.x, a.x[rows_a], eps, metric)
         for part, d in distance_strips(a.x[rows_a], b.x[rows_b], metric):
             r, c = np.nonzero(d <= eps)
             keep_pairs(found, a, b, rows_a[part][r], rows_b[c], d[r, c])
+        return pd.concat(found) if found else None
 
     def keep_pairs(found, a, b, r, c, dist):
         if a.tile == b.tile:
@@ -89,8 +92,8 @@ def eps_pairs(df: DataFrame, id_col: str, features: Sequence[str], eps: float, m
             "id_a": np.where(swap, ib, ia), "id_b": np.where(swap, ia, ib), "distance": dist,
             "copies_a": np.where(swap, wb, wa), "copies_b": np.where(swap, wa, wb)}))
 
-    def finish(found, a):
-        return pd.concat(found) if found else None
+    def finish(_, a):
+        return None
 
     return fold_pairs(tiles, tiles, pairs, start, step, finish,
                       "id_a long, id_b long, distance double, copies_a long, copies_b long")
@@ -285,7 +288,8 @@ def ball_counts(queries: Tiles, centres: Tiles, metric: str = "euclidean") -> Da
 
 def kernel_sums(queries: Tiles, refs: Tiles, scale: float, metric: str = "euclidean") -> DataFrame:
     """(pid, w, total): sum over all reference rows of exp(-scale * d^2)."""
-    pairs = tile_pairs(queries, refs, metric)
+    # Beyond this distance the kernel is exactly zero in double precision; a tile without a partner keeps its nearest.
+    pairs = tile_pairs(queries, refs, metric, reach=math.sqrt(746.0 / scale), nearest_too=True)
 
     def start(a):
         return np.zeros(len(a.ids))

@@ -145,10 +145,10 @@ def _box_span(lo_a, hi_a, lo_b, hi_b, metric):
 
 
 def tile_pairs(a: Tiles, b: Tiles, metric: str = "euclidean", reach: float | None = None, k: int | None = None,
-               reach_of_b: bool = False) -> DataFrame:
+               reach_of_b: bool = False, nearest_too: bool = False) -> DataFrame:
     """Tile pairs (i, j) that can matter, with their nearest and farthest distance.
 
-    ``reach``: pairs within that distance. ``k``: pairs able to hold one of the k
+    ``reach``: pairs within that distance, and with ``nearest_too`` the nearest one where none is. ``k``: pairs able to hold one of the k
     nearest rows. ``reach_of_b``: each tile of b reaches as far as its largest
     first tag. None of them: every pair (for sums over the whole table).
     """
@@ -180,6 +180,8 @@ def tile_pairs(a: Tiles, b: Tiles, metric: str = "euclidean", reach: float | Non
                 keep = np.ones(len(near), dtype=bool)
                 if reach is not None:
                     keep = near <= reach * (1 + SLACK)
+                    if nearest_too and len(near) and not keep.any():
+                        keep[np.argmin(near)] = True
                 elif box["r"] is not None:
                     keep = near <= box["r"] * (1 + SLACK)
                 elif k is not None and len(far):
@@ -212,8 +214,8 @@ def fold_pairs(a: Tiles, b: Tiles, pairs: DataFrame, start: Callable, step: Call
     """Stream every tile of a past its partner tiles of b, nearest first.
 
     ``start(A)`` opens a state, ``step(state, A, B, near, far, w_j)`` updates it
-    (B is None where the pair row carries no payload) and ``finish(state, A)``
-    returns the rows for that tile. One tile plus its state is held at a time.
+    (B is None where the pair row carries no payload) and may return rows at once,
+    and ``finish(state, A)`` returns the rows for that tile. One tile plus its state is held at a time.
     """
     spark = a.df.sparkSession
     pay = ["ids", "x", "w", "tag"]
@@ -246,7 +248,9 @@ def fold_pairs(a: Tiles, b: Tiles, pairs: DataFrame, start: Callable, step: Call
                             yield out
                     current = _unpack(row, "a", ad, at)
                     state = start(current)
-                step(state, current, _unpack(row, "b", bd, bt), row.near, row.far, row.w_j)
+                made = step(state, current, _unpack(row, "b", bd, bt), row.near, row.far, row.w_j)
+                if made is not None and len(made):
+                    yield made
         if current is not None:
             out = finish(state, current)
             if out is not None and len(out):
