@@ -145,7 +145,8 @@ def near_components(df: DataFrame, id_col: str, text_col: str, width: int = 5, p
     table gives an empty table.
 
     Inside a bucket, members meet pivots and not each other. The first pivot is the smallest class; while a
-    bucket holds several components, further members become pivots, eight times as many each round, and
+    bucket holds several components, further members become pivots (two, then eight times as many each
+    round, in one order for all buckets, so that buckets of the same members pick the same pivots), and
     members that are connected already are not compared again. The rounds end when every bucket is one
     component or all its members were pivots, so no pair that shares a bucket is missed.
     """
@@ -177,9 +178,9 @@ def near_components(df: DataFrame, id_col: str, text_col: str, width: int = 5, p
     nodes = classes.select(F.col("cls").alias("node"))
     done, most = 0, buckets.agg(F.max("_members")).first()[0] or 0
     found = materialise(connected_components(nodes, links, [])) if links is not None else nodes.withColumn("comp", F.col("node"))
-    place = F.floor(F.pmod(F.xxhash64("cls", "key"), F.lit(1 << 20)) / F.lit(float(1 << 20)) * F.col("_members"))
+    place = F.floor(F.pmod(F.xxhash64("cls"), F.lit(1 << 20)) / F.lit(float(1 << 20)) * F.col("_members"))
     while done < most - 1:
-        limit = max(8, 8 * done)
+        limit = max(2, 8 * done)
         placed = (buckets.select("key", "cls", "_members", place.alias("place")).where(F.col("place") >= done)
                   .join(found.select(F.col("node").alias("cls"), "comp"), "cls"))
         unsettled = placed.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a != b").select("key")
