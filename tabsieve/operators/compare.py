@@ -160,7 +160,11 @@ def _exact_tail(n: int, w: float) -> float:
     return sum(ways[:int(math.floor(w)) + 1]) / 2 ** n
 
 
-def with_wilcoxon_p(tests: DataFrame, exact_up_to: int = 0) -> DataFrame:
+#: Largest untied group whose Wilcoxon p-value is exact by default.
+EXACT_UP_TO = 50
+
+
+def with_wilcoxon_p(tests: DataFrame, exact_up_to: int = EXACT_UP_TO) -> DataFrame:
     """Add ``p_wilcoxon``: exact for small untied groups, else the normal tail. Runs on one row per group."""
     @F.pandas_udf("double")
     def p_value(n: pd.Series, w: pd.Series, z: pd.Series, free: pd.Series) -> pd.Series:
@@ -199,12 +203,11 @@ def holm(df: DataFrame, keys: Sequence[str], p: str, order: Sequence[str], name:
 def significance(df: DataFrame, dataset: str = "dataset", family: str = "family") -> DataFrame:
     """The full test table per (dataset, family) from rows with sgn and dpct."""
     keys = [dataset, family]
-    base = materialise(win_loss(df, keys).withColumn("p_sign", sign_test())
-                       .withColumn("ci_low", wilson()[0]).withColumn("ci_high", wilson()[1])
-                       .join(with_wilcoxon_p(wilcoxon(df, keys)), keys, "left"))
+    signs = win_loss(df, keys).withColumn("p_sign", sign_test()).withColumn("ci_low", wilson()[0]).withColumn("ci_high", wilson()[1])
+    base = materialise(null_safe_join(signs, with_wilcoxon_p(wilcoxon(df, keys)), keys, "left"))
     a = holm(base.select(*keys, "p_sign"), [dataset], "p_sign", [family], "p_sign_holm").drop("p_sign")
     b = holm(base.select(*keys, "p_wilcoxon"), [dataset], "p_wilcoxon", [family], "p_wilcoxon_holm").drop("p_wilcoxon")
-    return base.join(a, keys, "left").join(b, keys, "left")
+    return null_safe_join(null_safe_join(base, a, keys, "left"), b, keys, "left")
 
 
 def melt_sources(df: DataFrame, values: Sequence[str] = ("orig", "sanitised")) -> DataFrame:
