@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabsieve.llm.batches import map_rows
-from tabsieve.session import broadcast_if, materialise, shared_folder, spread_lookup
+from tabsieve.session import broadcast_if, materialise, partitions, shared_folder, spread_lookup
 
 #: A writer starts a new archive after so many bytes of records, which bounds the work of normalising one.
 ARCHIVE_BYTES = 64 << 20
@@ -235,7 +235,9 @@ def read_records(index: DataFrame) -> DataFrame:
         return row
 
     spread = index.withColumn("_turn", F.expr(f"offset div {READ_BYTES}"))
-    placed = spread.repartition("path", "_turn").sortWithinPartitions("path", "offset")
+    # An index is far smaller than its archives, so the number of tasks follows the bytes they read.
+    tasks = min(max(1, spread.select("path", "_turn").distinct().count()), 32 * partitions(index.sparkSession))
+    placed = spread.repartition(tasks, "path", "_turn").sortWithinPartitions("path", "offset")
     return map_rows(placed.select("path", "offset", "length"), shape, make)
 
 
