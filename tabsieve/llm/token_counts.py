@@ -97,7 +97,7 @@ class WordEncoder:
         return self.words(list(words)).merged(flat, sizes), numbers
 
 
-def encoded_slices(df: DataFrame, columns: list[str], path: str, schema: str, emit: Callable, slice_chars: int = 10_000_000) -> DataFrame:
+def encoded_slices(df: DataFrame, columns: list[str], path: str, schema: str, emit: Callable, slice_chars: int = 16_000_000) -> DataFrame:
     """``emit(values, text, ids)`` over rows of ``columns``, the last being the text; ``ids`` are those of the library.
 
     ``ids`` is a pair (Parts, numbers) for plain texts, whose counts need no joined ids, and (None, array) for
