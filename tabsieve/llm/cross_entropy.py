@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabsieve.llm.batches import map_rows
+from tabsieve.session import broadcast_if, materialise
 
 _FLUSH = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -19,7 +20,12 @@ def _words(text: str | None) -> list[bytes]:
 
 
 def vocabulary(df: DataFrame, text_col: str, size: int) -> list[str]:
-    """The ``size`` most frequent words of all texts (A-Z lower-cased), ties in word order; index 0 stands for all others."""
+    """At most ``size`` words (A-Z lower-cased), most frequent first; index 0 stands for all others.
+
+    Every word as frequent as the threshold is in: the lowest step of a ladder (16 steps per doubling) that
+    at most ``size`` words of all texts reach. So the driver gets a histogram and the words themselves, however
+    many tasks count.
+    """
     def make():
         held: Counter[bytes] = Counter()
 
@@ -36,7 +42,17 @@ def vocabulary(df: DataFrame, text_col: str, size: int) -> list[str]:
         return row
 
     counted = map_rows(df.select(text_col), "word string, n long", make, finish=True).groupBy("word").agg(F.sum("n").alias("n"))
-    return [r[0] for r in counted.orderBy(F.desc("n"), "word").limit(size).collect()]
+    counted = materialise(counted.withColumn("step", F.floor(F.log2(F.col("n").cast("double")) * 16 + 1e-9).cast("int")))
+    steps = sorted(counted.groupBy("step").count().collect(), reverse=True)
+    reached, lowest = 0, None
+    for step, n in steps:
+        reached += n
+        if reached > size:
+            break
+        lowest = step
+    if lowest is None:
+        return []
+    return [w for w, _ in sorted(counted.where(F.col("step") >= lowest).select("word", "n").collect(), key=lambda r: (-r[1], r[0]))]
 
 
 class Numbers(dict):
@@ -162,6 +178,7 @@ def cross_entropy_difference(df: DataFrame, labels: DataFrame, id_col: str, text
     chosen = labels.where(target).select(F.col(id_col)).distinct().withColumn("_t", F.lit(True))
     marked = df.select(F.col(id_col), F.col(text_col))
     words = vocabulary(marked, text_col, vocabulary_size)
-    marked = marked.join(chosen, id_col, "left")
+    chosen = materialise(chosen)
+    marked = marked.join(broadcast_if(chosen, chosen.count() * 32), id_col, "left")
     models = count_models(marked, text_col, F.col("_t"), words, slots)
     return score_documents(marked, id_col, text_col, F.col("_t"), words, models, slots)
