@@ -224,3 +224,39 @@ def test_cross_entropy_separates_held_out_documents(spark):
                                                  "doc_id", "text", F.col("q") == 1, 1 << 10, 1 << 14).where("doc_id >= 200").collect()
     assert len(out) == 200
     assert max(r["ce_difference"] for r in out if r["doc_id"] % 2) < min(r["ce_difference"] for r in out if not r["doc_id"] % 2)
+
+
+def test_cross_entropy_counts_every_word_and_pair(spark):
+    # More distinct words and pairs than the bounded models held (65,536 and 524,288 slots), in many slices and buckets.
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(150_000) if rng.random() < 0.5 else int(rng.paretovariate(1))}"
+    texts = [(i, " ".join(word() for _ in range(2_000))) for i in range(400)]
+    texts += [(900, "a b c A b"), (901, "a b d"), (901, "a b d"), (902, None), (903, ""), (None, "a x"), (904, "\u65e5 w1 \u65e5")]
+    inside = {i for i in range(0, 400, 3)} | {901}
+    words = [(d, (t or "").encode().lower().split()) for d, t in texts]
+    assert len({w for _, ws in words for w in ws}) > 1 << 16 and len({p for _, ws in words for p in zip([None, *ws], ws)}) > 1 << 19
+    count = lambda chosen: (Counter(w for _, ws in chosen for w in [*ws, *[None] * bool(ws)]),
+                            Counter(p for _, ws in chosen for p in zip([None, *ws], ws)))
+    models = [(*count([r for r in words if r[0] in inside]), 1.0), (*count(words), None)]
+    total = [sum(uni.values()) - uni[None] for uni, _, _ in models]
+    models[1] = (*models[1][:2], total[0] / total[1])
+    size, want = len(models[1][0]) - 1, []
+    for d, ws in words:
+        means = []
+        own, pairs = count([(d, ws)])
+        for (uni, bi, factor), n, held in zip(models, total, (d in inside, True)):
+            loss = [-np.log((factor * (bi[v, w] - held * pairs[v, w]) + 16 * (factor * (uni[w] - held * own[w]) + 1)
+                             / (factor * (n - held * len(ws)) + size + 1)) / (factor * (uni[v] - held * own[v]) + 16)) for v, w in zip([None, *ws], ws)]
+            means.append(np.mean(loss) if ws else None)
+        want.append((d, len(ws), *means, means[0] - means[1] if ws else None))
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, 1) for i in inside], "doc_id long, q int")
+    key = lambda r: (r[0] is None, r[0] or 0)
+    whole = cross_entropy.cross_entropy_difference(df, labels, "doc_id", "text", F.col("q") == 1)
+    cut = cross_entropy.score_exactly(df.join(labels, "doc_id", "left"), "doc_id", "text", F.col("q") == 1, slice_chars=300_000, bucket_words=50_000)
+    for got in (whole, cut):
+        for g, w in zip(sorted(map(tuple, got.collect()), key=key), sorted(want, key=key), strict=True):
+            assert g[:2] == w[:2] and g[2:] == (pytest.approx(w[2:], abs=1e-9) if w[1] else (None, None, None))
+    assert cross_entropy.cross_entropy_difference(df.limit(0), labels, "doc_id", "text", F.col("q") == 1).count() == 0
+    none = cross_entropy.cross_entropy_difference(df, labels.limit(0), "doc_id", "text", F.col("q") == 1).where("n_tokens > 0")
+    assert none.count() == 405 and none.where(F.abs(F.col("ce_target") - np.log(size + 1)) > 1e-9).count() == 0
