@@ -179,7 +179,7 @@ def near_components(df: DataFrame, id_col: str, text_col: str, width: int = 5, p
     done, most = 0, buckets.agg(F.max("_members")).first()[0] or 0
     found = materialise(connected_components(nodes, links, [])) if links is not None else nodes.withColumn("comp", F.col("node"))
     place = F.floor(F.pmod(F.xxhash64("cls"), F.lit(1 << 20)) / F.lit(float(1 << 20)) * F.col("_members"))
-    while done < most - 1:
+    while done < most:
         limit = max(2, 8 * done)
         placed = (buckets.select("key", "cls", "_members", place.alias("place")).where(F.col("place") >= done)
                   .join(found.select(F.col("node").alias("cls"), "comp"), "cls"))

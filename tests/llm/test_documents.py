@@ -260,3 +260,17 @@ def test_cross_entropy_counts_every_word_and_pair(spark):
     assert cross_entropy.cross_entropy_difference(df.limit(0), labels, "doc_id", "text", F.col("q") == 1).count() == 0
     none = cross_entropy.cross_entropy_difference(df, labels.limit(0), "doc_id", "text", F.col("q") == 1).where("n_tokens > 0")
     assert none.count() == 405 and none.where(F.abs(F.col("ce_target") - np.log(size + 1)) > 1e-9).count() == 0
+
+
+def test_last_place_of_a_bucket_becomes_pivot(spark, monkeypatch):
+    # One bucket of three classes: the smallest is far from the others, which share place 2 and are near each other.
+    near = [" ".join([f"a{i}" for i in range(80)] + [f"end{k}"]) for k in range(40)]
+    far = [" ".join(f"b{k}x{i}" for i in range(80)) for k in range(40)]
+    df = spark.createDataFrame(list(enumerate([*near, *far])), "doc_id long, text string")
+    place = F.floor(F.pmod(F.xxhash64("cls"), F.lit(1 << 20)) / F.lit(float(1 << 20)) * 3)
+    cls = {r["doc_id"]: (r["cls"], r["place"]) for r in minhash_tensor.sketches(df, "doc_id", "text", 3, 8, 2).select("doc_id", "cls", place.alias("place")).collect()}
+    smallest = min(range(40, 80), key=lambda d: cls[d][0])
+    u, v = [d for d in range(40) if cls[d][1] == 2 and cls[d][0] > cls[smallest][0]][:2]
+    monkeypatch.setattr(minhash_tensor, "table_keys", lambda *_: F.array(F.lit(1)))
+    got = minhash_tensor.near_components(df.where(F.col("doc_id").isin(smallest, u, v)), "doc_id", "text", width=3, percent=85, half_keys=8)
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {smallest: smallest, u: u, v: u}
