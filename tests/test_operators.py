@@ -178,3 +178,25 @@ def test_stage_store_and_open_jobs(spark, tmp_path):
     assert store.read_config().first()["mp"] == 4
     jobs = spark.createDataFrame([("a", "b", "c"), ("a", "b", "d")], "dataset string, arm string, synth string")
     assert open_jobs(jobs, jobs.limit(1)).count() == 1
+
+
+def test_registered_suites_ask_for_every_family(spark, small, monkeypatch):
+    """Both queries ask for all families; a few quick model metrics of them are run."""
+    from tabsieve.plans.suite import FAMILIES
+    from tabsieve.queries import QUERIES, metrics
+    quick, asked = {"performance": ["linear_model"], "detection": ["detection_linear"]}, []
+
+    def noted(run, place):
+        def call(*values):
+            asked.append(values[place])
+            return run(*values[:place], quick)
+        return call
+    monkeypatch.setattr(metrics, "evaluate", noted(metrics.evaluate, 3))
+    monkeypatch.setattr(metrics, "two_arms", noted(metrics.two_arms, 4))
+    names = {"performance.linear_model.syn_id", "performance.linear_model.syn_ood", "detection.detection_linear.mean"}
+    rows = QUERIES["m31_metric_suite"](spark, small).collect()
+    assert {r["metric"] for r in rows if r["status"] == "ok" and 0 <= r["mean"] <= 1} == names
+    assert {r["Metric"] for r in QUERIES["m31_two_arm_comparison"](spark, small).collect()} == names
+    for wanted in asked:
+        assert (wanted if isinstance(wanted, dict) else {f: FAMILIES[f] for f in wanted}) == FAMILIES
+    assert len(asked) == 2
