@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsieve.llm import (best_fit, bpe_replay, cross_entropy, histogram_sort, host_rules, minhash_tensor, secret_scan, spot_signatures,
-                          token_counts, warc)
+from tabsieve.llm import (best_fit, bpe_replay, chat_format, cross_entropy, histogram_sort, host_rules, minhash_tensor, periodic_runs, secret_scan,
+                          spelling_variants, spot_signatures, token_counts, warc)
 from tabsieve.llm.oracles import SQL  # noqa: F401
 
 
@@ -71,5 +73,39 @@ def op10_bpe_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
                                    digests=True)
 
 
+def looped(doc_id, words: list) -> list:
+    """The words of a tenth of all documents, by the CRC-32 of the id, as a loop from some word on (null id: empty)."""
+    h, n = zlib.crc32(str("" if doc_id is None else doc_id).encode()), len(words)
+    if h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a:a + p] * ((n - a) // p + 1))[:n - a]
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic_runs.periodic_runs(_table(spark, sf_dir, "documents"), "doc_id", "text", looped)
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("m"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", *[r[k].cast("string") for k in ("start", "length", "period")]))
+    text = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, F.lit("\n")).otherwise(F.lit("")))
+    return out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("b"), F.sha2(text, 256).alias("runs_sha256"),
+                      F.sha2("collapsed", 256).alias("collapsed_sha256")).select(
+        "doc_id", "n_runs", F.col("b.start").alias("start"), (-F.col("b.m")).alias("length"), F.col("b.period").alias("period"),
+        F.expr("1000 * -b.m div b.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planted = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                    F.when(F.col("id") == 0, F.lit("user")).otherwise(F.lit("assistant")).alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
+    facts = chat_format.conversation_facts(chat_format.format_conversations(turns, "conv_id", "turn", "role", "text"))
+    return facts.select(F.col("conv").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "accepted")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.spelling_variants(spelling_variants.word_counts(_table(spark, sf_dir, "documents"), "doc_id", "text", delete_every=199))
+
+
 QUERIES = {f.__name__: f for f in (op1_warc, op2_histogram_sort, op3_spotsigs, op4_host_rules, op5_best_fit, op6_cross_entropy, op7_minhash,
-                                   op8_token_counts, op9_secret_scan, op10_bpe_replay)}
+                                   op8_token_counts, op9_secret_scan, op10_bpe_replay, op11_periodic_runs, op12_chat_format, op13_spelling_variants)}
