@@ -9,6 +9,8 @@ from tabsieve.llm.queries import tokenizer_path
 from tabsieve.session import materialise
 
 CAPACITY = 2048
+#: Characters a task tokenises at once: after other stages a worker has less memory left than in a query of its own.
+SLICE_CHARS = 4_000_000
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +30,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of all documents with their place in sequences of ``CAPACITY`` tokens."""
-    return best_fit.pack_documents(docs, "doc_id", "text", tokenizer_path("word_bpe_49k.json"), CAPACITY)
+    return best_fit.pack_documents(docs, "doc_id", "text", tokenizer_path("word_bpe_49k.json"), CAPACITY, slice_chars=SLICE_CHARS)
 
 
 STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("secret_scans", secret_scans), ("packing", packing)]

@@ -5,12 +5,26 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: Output rows per batch; the input batch bounds the texts held.
 OUT_ROWS = 2048
 
 
+def boxed(df: DataFrame) -> Column:
+    """All columns of ``df`` in one struct ``row``, where no name of theirs meets a name of an operator."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+
+
+def free_name(columns: list[str], wanted: str) -> str:
+    """``wanted``, longer where ``columns`` have it already in upper or lower case."""
+    taken = {c.lower() for c in columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[..., Iterator[tuple]]], finish: bool = False) -> DataFrame:
     """``mapInArrow`` from rows to rows.
 

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tabsieve.llm.batches import boxed
 from tabsieve.llm.token_counts import encoded_slices
 from tabsieve.session import broadcast_if, materialise
 
@@ -24,10 +25,11 @@ RANK_GROUP = 20_000
 
 
 def token_pieces(df: DataFrame, id_col: str, text_col: str, path: str, capacity: int, end_id: int = 0,
-                 with_ids: bool = False) -> DataFrame:
+                 with_ids: bool = False, slice_chars: int = 16_000_000) -> DataFrame:
     """``id_col, piece, start, length, ids_crc32`` (and ``ids``): each text's ids and ``end_id``, cut at ``capacity``.
 
-    Only documents longer than ``capacity`` are cut. A null or empty text is the end id alone.
+    Only documents longer than ``capacity`` are cut. A null or empty text is the end id alone. Null ids and
+    repeated rows stay; other columns are ignored; an empty table gives an empty table.
     """
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
@@ -40,7 +42,7 @@ def token_pieces(df: DataFrame, id_col: str, text_col: str, path: str, capacity:
 
     kind = df.schema[id_col].dataType.simpleString()
     return encoded_slices(df, [id_col, text_col], path,
-                          f"{id_col} {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids, emit)
+                          f"{id_col} {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids, emit, slice_chars)
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -139,12 +141,12 @@ def pack(pieces: DataFrame, order: list[str], capacity: int, length: str = "leng
 
     ``order`` should tell rows apart; rows equal in it are interchangeable. ``pieces`` is read several
     times and must be a stored table, or be as deterministic as one. Offsets of a sequence are gapless
-    from 0; sequence numbers are gapless from 0. An empty table gives an empty table. Clashing columns
-    ``rank``, ``sequence_id`` and ``offset`` of the input are replaced.
+    from 0; sequence numbers are gapless from 0. An empty table gives an empty table. Columns
+    ``sequence_id`` and ``offset`` of the input are replaced, all others stay, whatever their names.
     """
-    pieces = pieces.drop("rank", "sequence_id", "offset")
+    pieces = pieces.drop("sequence_id", "offset")
     spark = pieces.sparkSession
-    counts = {r[0]: r[1] for r in pieces.groupBy(length).count().collect()}  # one row per length: at most ``capacity``
+    counts = {r[0]: r[1] for r in pieces.groupBy(length).agg(F.count(F.lit(1))).collect()}  # one row per length: at most ``capacity``
     if any(not 1 <= n <= capacity for n in counts):
         raise ValueError(f"lengths must be 1 to {capacity}")
     ranges = plan(counts, capacity)
@@ -156,15 +158,20 @@ def pack(pieces: DataFrame, order: list[str], capacity: int, length: str = "leng
               .select(F.inline(F.from_json("j", shape)))
               .withColumn("_block", F.explode(F.sequence(F.expr(f"r div {block}"), F.expr(f"(r + n - 1) div {block}")))))
     n_placed = sum((r + n - 1) // block - r // block + 1 for _, r, n, _, _ in ranges)
-    ranked = (rank_within(pieces, length, [F.col(c) for c in order]).withColumn("_block", F.expr(f"rank div {block}"))
-              .withColumnRenamed("rank", "_rank"))
-    inside = (F.col("_rank") >= F.col("r")) & (F.col("_rank") < F.col("r") + F.col("n"))
-    joined = ranked.withColumn("l", F.col(length).cast("int")).join(broadcast_if(placed, n_placed * 64), ["l", "_block"]).where(inside)
-    return joined.select(*pieces.columns, (F.col("b") + F.col("_rank") - F.col("r")).alias("sequence_id"),
-                         F.col("o").cast("long").alias("offset"))
+    keys = [f"_order{i}" for i in range(len(order))]
+    rows = pieces.select(boxed(pieces), F.col(length).cast("int").alias("l"), *[F.col(c).alias(k) for c, k in zip(order, keys)])
+    ranked = rank_within(rows, "l", [F.col(k) for k in keys]).withColumn("_block", F.expr(f"rank div {block}"))
+    inside = (F.col("rank") >= F.col("r")) & (F.col("rank") < F.col("r") + F.col("n"))
+    joined = ranked.join(broadcast_if(placed, n_placed * 64), ["l", "_block"]).where(inside)
+    return joined.select("row.*", (F.col("b") + F.col("rank") - F.col("r")).alias("sequence_id"), F.col("o").cast("long").alias("offset"))
 
 
-def pack_documents(df: DataFrame, id_col: str, text_col: str, path: str, capacity: int, with_ids: bool = False) -> DataFrame:
-    """Tokenise, cut and pack: one row per piece with its place; see ``token_pieces`` and ``pack``."""
-    pieces = materialise(token_pieces(df, id_col, text_col, path, capacity, with_ids=with_ids))
+def pack_documents(df: DataFrame, id_col: str, text_col: str, path: str, capacity: int, with_ids: bool = False,
+                   slice_chars: int = 16_000_000) -> DataFrame:
+    """Tokenise, cut and pack: one row per piece with its place; see ``token_pieces`` and ``pack``.
+
+    Null ids and repeated rows are documents of their own; other columns are ignored; an empty table gives an
+    empty table. A task holds some ``slice_chars`` characters at a time: fewer take less memory and more time.
+    """
+    pieces = materialise(token_pieces(df, id_col, text_col, path, capacity, with_ids=with_ids, slice_chars=slice_chars))
     return pack(pieces, [id_col, "piece", "ids_crc32"], capacity)

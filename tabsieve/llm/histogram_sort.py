@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tabsieve.llm.batches import boxed
 from tabsieve.session import materialise, partitions
 
 #: Cells of the first histogram, of the first one inside a single ``k1``, and most cells of a later round.
@@ -166,13 +167,14 @@ def histogram_shards(df: DataFrame, id_col: str, text_col: str, shards: int, tol
     ``size`` is the UTF-8 length of the text (null: 0) plus 1. Equal texts are neighbours, and only a
     group across a boundary is split. A shard differs from its share by ``tolerance`` of it or by the
     largest single row. Slots are gapless from 0. Nulls, ties and repeated rows are rows like others;
-    existing columns named ``size``, ``shard`` or ``slot`` are replaced; an empty table gives an empty table.
+    existing columns named ``size``, ``shard`` or ``slot`` are replaced, all others stay, whatever their names;
+    an empty table gives an empty table.
     The text is exchanged once; the probing rounds read two hashes and a size per row.
     """
     columns = [c for c in df.columns if c not in ("size", "shard", "slot")]
-    rows = df.select(*columns).withColumns({
-        "_size": (F.coalesce(F.octet_length(text_col), F.lit(0)) + 1).cast("long"),
-        "_k1": hash62(F.col(text_col)), "_k2": hash62(*[F.col(c) for c in columns])})
+    own = df.select(*[F.col(f"`{c}`") for c in columns])
+    rows = own.select(boxed(own), (F.coalesce(F.octet_length(text_col), F.lit(0)) + 1).cast("long").alias("_size"),
+                      hash62(F.col(text_col)).alias("_k1"), hash62(*[F.col(f"`{c}`") for c in columns]).alias("_k2"))
     keys = materialise(rows.select(F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), F.col("_size").alias("size")))
     total = keys.agg(F.sum("size")).first()[0] or 0
     each = max(1, -(-partitions(df.sparkSession) // shards))
@@ -186,7 +188,7 @@ def histogram_shards(df: DataFrame, id_col: str, text_col: str, shards: int, tol
         cut = df.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps([{"_k1": a, "_k2": b} for a, b in hot])),
                                                                    "array<struct<_k1:long,_k2:long>>")))
         folded = rows.join(F.broadcast(cut), ["_k1", "_k2"], "left_semi").groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_n"))
-        before = Window.partitionBy("_k1", "_k2").orderBy(*columns).rowsBetween(Window.unboundedPreceding, -1)
+        before = Window.partitionBy("_k1", "_k2").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
         blocks = (folded.withColumn("_from", F.coalesce(F.sum("_n").over(before), F.lit(0)))
                   .withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_n - 1) div {COPY_BLOCK}L")))).repartition("_k1", "_k2", "_b"))
         first = F.col("_b") * COPY_BLOCK
@@ -201,4 +203,4 @@ def histogram_shards(df: DataFrame, id_col: str, text_col: str, shards: int, tol
     inside = F.row_number().over(Window.partitionBy("_part").orderBy("_k1", "_k2", "_copy")) - 1
     return (parts.withColumn("_part", range_of(splitters, F.col("_k1"), F.col("_k2"), F.col("_copy")))
             .withColumn("_inside", inside).withColumn("shard", shard_of(F.col("_part")))
-            .select(*columns, F.col("_size").alias("size"), "shard", (first_row + F.col("_inside") - shard_row).cast("long").alias("slot")))
+            .select("row.*", F.col("_size").alias("size"), "shard", (first_row + F.col("_inside") - shard_row).cast("long").alias("slot")))

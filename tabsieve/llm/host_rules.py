@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabsieve.llm.batches import map_rows
+from tabsieve.llm.batches import free_name, map_rows
 from tabsieve.session import broadcast_if, materialise, spread_lookup
 
 #: Documents that the prior weighs at least.
@@ -102,9 +102,9 @@ def rejected_hosts(measured: DataFrame, host_col: str, max_rate: float = 0.5) ->
     return bad, bad.agg(F.sum(F.octet_length(F.col(host_col).cast("string")) + 48)).first()[0] or 0
 
 
-def _with_verdict(rows: DataFrame, bad: DataFrame, size: float, host_col: str) -> DataFrame:
-    """Adds ``_bad``: true for rows of a rejected host, null for others."""
-    verdict = bad.select(host_col, F.lit(True).alias("_bad"))
+def _with_verdict(rows: DataFrame, bad: DataFrame, size: float, host_col: str, flag: str = "_bad") -> DataFrame:
+    """Adds ``flag``: true for rows of a rejected host, null for others."""
+    verdict = bad.select(host_col, F.lit(True).alias(flag))
     if broadcast_if(verdict, size) is not verdict:
         return rows.join(F.broadcast(verdict), host_col, "left")
     total = bad.agg(F.sum("n")).first()[0]
@@ -127,7 +127,11 @@ def host_verdicts(df: DataFrame, id_col: str, text_col: str, host_col: str, max_
 
 
 def keep_documents(df: DataFrame, text_col: str, host_col: str, max_rate: float = 0.5) -> DataFrame:
-    """The rows of ``df`` that pass, with all their columns. Texts are read twice rather than shuffled."""
+    """The rows of ``df`` that pass, with all their columns, whatever their names. Texts are read twice rather than shuffled.
+
+    Null and empty texts fail; a null host is no host; repeated rows pass or fail together; an empty table
+    gives an empty table.
+    """
     import pyarrow as pa
 
     at, columns, schema = df.columns.index(text_col), df.columns, df.schema
@@ -139,4 +143,5 @@ def keep_documents(df: DataFrame, text_col: str, host_col: str, max_rate: float
         for batch in batches:
             yield batch.filter(pa.array([not base_measures(v.as_py())[-1] for v in batch.column(at)], pa.bool_()))
 
-    return _with_verdict(df.mapInArrow(run, schema), bad, size, host_col).where(F.col("_bad").isNull()).select(*columns)
+    flag = free_name(columns, "_bad")
+    return _with_verdict(df.mapInArrow(run, schema), bad, size, host_col, flag).where(F.col(flag).isNull()).select(*[F.col(f"`{c}`") for c in columns])

@@ -123,7 +123,8 @@ def secret_digests(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def mask_secrets(df: DataFrame, text_col: str, mask: str = "[masked]", length_col: str | None = None) -> DataFrame:
     """``df`` with secrets in ``text_col`` masked; null texts, texts without secrets and other columns stay as they are.
 
-    ``length_col`` gets the code points of a text that changed.
+    ``length_col`` gets the code points of a text that changed. Repeated rows stay; column names do not matter,
+    as no column is added; an empty table gives an empty table.
     """
     import pyarrow as pa
 
