@@ -118,18 +118,6 @@ def label_points(df: DataFrame, id_col: str, features: Sequence[str], configs: S
 
     roots = materialise(cored.df.select("tile", "ids", "x", "tag").mapInPandas(inside_tiles, "tile int, tag binary"))
     rooted = with_tags(tiles, roots, len(cfg))
-    width = len(cfg)
-
-    def list_roots(batches):
-        for pdf in batches:
-            for tile, blob in zip(pdf["tile"], pdf["tag"]):
-                mat = np.frombuffer(blob, dtype=np.int64).reshape(-1, width)
-                for c in range(width):
-                    found = np.unique(mat[:, c])
-                    found = found[found >= 0]
-                    yield pd.DataFrame({"tile": np.int32(tile), "config_id": np.int32(c), "node": found})
-
-    nodes = materialise(roots.mapInPandas(list_roots, "tile int, config_id int, node long"))
 
     def start_edges(a):
         return {c: set() for c, _, _ in cfg}
@@ -169,6 +157,26 @@ def label_points(df: DataFrame, id_col: str, features: Sequence[str], configs: S
 
     edges = fold_pairs(rooted, rooted, pairs.where(F.col("i") < F.col("j")), start_edges, step_edges, finish_edges,
                        "config_id int, u long, v long")
+    return points, label_roots(tiles, pairs, roots, edges, cfg, eps, metric), tiles
+
+
+def label_roots(tiles: Tiles, pairs: DataFrame, roots: DataFrame, edges: DataFrame, cfg: Sequence[tuple[int, int, int]], eps: Sequence[float],
+                metric: str) -> DataFrame:
+    """Labels (pid, config_id, cluster) from ``roots`` (tile, tag: per row and configuration the smallest core id reached in
+    the tile, -1 off core) and ``edges`` (config_id, u, v) between roots of different tiles; ``cfg`` as (config, eps index, min_samples)."""
+    width = len(cfg)
+
+    def list_roots(batches):
+        for pdf in batches:
+            for tile, blob in zip(pdf["tile"], pdf["tag"]):
+                mat = np.frombuffer(blob, dtype=np.int64).reshape(-1, width)
+                for c in range(width):
+                    found = np.unique(mat[:, c])
+                    found = found[found >= 0]
+                    yield pd.DataFrame({"tile": np.int32(tile), "config_id": np.int32(c), "node": found})
+
+    nodes = materialise(roots.mapInPandas(list_roots, "tile int, config_id int, node long"))
+
     comps = connected_components(nodes.select("config_id", F.col("node")).distinct(), edges, ["config_id"])
     # Number clusters by their smallest core id.
     numbers = number_rows(comps.select("config_id", "comp").distinct(), ["comp"], ["config_id"], "cluster")
@@ -203,30 +211,32 @@ def label_points(df: DataFrame, id_col: str, features: Sequence[str], configs: S
         return np.where(a.tag >= 0, a.tag, np.inf)
 
     def step_labels(best, a, b, near, far, w_j):
-        for c, e, _ in cfg:
-            if near > eps[e] * (1 + SLACK):
-                continue
-            open_rows = np.flatnonzero(a.tag[:, c] < 0)
-            core = np.flatnonzero(b.tag[:, c] >= 0)
-            if not len(open_rows) or not len(core):
-                continue
-            open_rows = open_rows[rows_in_reach(a.x[open_rows], b.x[core], eps[e], metric)]
-            core = core[rows_in_reach(b.x[core], a.x[open_rows], eps[e], metric)]
-            if not len(core):
-                continue
-            number = b.tag[core, c][None, :]
-            for rows, d in distance_strips(a.x[open_rows], b.x[core], metric):
-                found = np.where(d <= eps[e], number, np.inf).min(axis=1)
-                best[open_rows[rows], c] = np.minimum(best[open_rows[rows], c], found)
+        near_enough = [c for c, e, _ in cfg if near <= eps[e] * (1 + SLACK)]
+        if not near_enough:
+            return
+        reach = max(eps[cfg[c][1]] for c in near_enough)
+        open_any = np.flatnonzero((a.tag[:, near_enough] < 0).any(axis=1))
+        core_any = np.flatnonzero((b.tag[:, near_enough] >= 0).any(axis=1))
+        open_any = open_any[rows_in_reach(a.x[open_any], b.x[core_any], reach, metric)]
+        core_any = core_any[rows_in_reach(b.x[core_any], a.x[open_any], reach, metric)]
+        if not len(core_any):
+            return
+        # Distances are the same for all configurations, which differ in who is open and who is core.
+        for rows, d in distance_strips(a.x[open_any], b.x[core_any], metric):
+            for c in near_enough:
+                rest = open_any[rows]
+                is_open, core = np.flatnonzero(a.tag[rest, c] < 0), np.flatnonzero(b.tag[core_any, c] >= 0)
+                if len(is_open) and len(core):
+                    part = d if len(is_open) == len(rest) and len(core) == len(core_any) else d[np.ix_(is_open, core)]
+                    found = np.where(part <= eps[cfg[c][1]], b.tag[core_any[core], c][None, :], np.inf).min(axis=1)
+                    best[rest[is_open], c] = np.minimum(best[rest[is_open], c], found)
 
     def finish_labels(best, a):
         lab = np.where(np.isfinite(best), best, NOISE).astype(np.int32)
         return pd.DataFrame({"pid": np.repeat(a.ids, width), "config_id": np.tile(np.arange(width), len(a.ids)),
                              "cluster": lab.ravel()})
 
-    labels = materialise(fold_pairs(clustered, clustered, pairs, start_labels, step_labels, finish_labels,
-                                    "pid long, config_id int, cluster int"))
-    return points, labels, tiles
+    return materialise(fold_pairs(clustered, clustered, pairs, start_labels, step_labels, finish_labels, "pid long, config_id int, cluster int"))
 
 
 def attach_labels(df: DataFrame, id_col: str, features: Sequence[str], points: DataFrame, labels: DataFrame,

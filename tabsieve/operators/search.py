@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabsieve.operators.centre import centre_distances, geometric_medians
-from tabsieve.operators.dbscan import attach_labels, label_points
+from tabsieve.operators.dbscan import attach_labels
 from tabsieve.operators.diagnose import class_loss, cluster_summary
 from tabsieve.operators.filters import admissible, closest_cluster_count, stratified_trim
+from tabsieve.operators.forest import label_grid
 from tabsieve.operators.neighbours import median_pair_distance, metric_space, prepare, silhouette_points
 from tabsieve.operators.scale import standardise
 from tabsieve.session import materialise
@@ -19,7 +20,7 @@ from tabsieve.session import materialise
 DEFAULT_EPS = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
 DEFAULT_MIN_SAMPLES = (3, 4, 5, 6, 7, 8, 9)
 #: Configurations labelled together; bounds the rows one pass multiplies out.
-CONFIG_BATCH = 32
+CONFIG_BATCH = 128
 
 
 def parameter_grid(spark: SparkSession, **axes: Sequence) -> DataFrame:
@@ -33,7 +34,7 @@ def parameter_grid(spark: SparkSession, **axes: Sequence) -> DataFrame:
 def _labelled(z: DataFrame, id_col: str, zcols: Sequence[str], configs: Sequence[tuple[float, int]], metric: str):
     """Yield (offset, points, labels, tiles) per batch of configurations."""
     for at in range(0, len(configs), CONFIG_BATCH):
-        points, labels, tiles = label_points(z, id_col, zcols, configs[at:at + CONFIG_BATCH], metric)
+        points, labels, tiles = label_grid(z, id_col, zcols, configs[at:at + CONFIG_BATCH], metric)
         yield at, points, labels, tiles
 
 

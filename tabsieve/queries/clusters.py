@@ -382,6 +382,22 @@ def sanitised(spark, folder):
     return capped_sanitiser(table(spark, folder, "part"), SPEC, eps_values=CHOICE[0], min_samples=CHOICE[1], impute=False).table
 
 
+@query("d2_default_grid")
+def default_grid(spark, folder):
+    """The operator's whole default grid: 70 configurations in three metrics. As SQL it would be 210 recursions; tests compare with brute force."""
+    p = table(spark, folder, "part").select("p_partkey", "p_type", "p_size")
+    out = search.grid_search(encode.ordinal_encode(p, encode.category_mapping(p)), "p_partkey", ["p_type", "p_size"])
+    return rounded(out.drop("p"), "percentage_outliers", "silhouette_score")
+
+
+@query("d6_default_search")
+def default_search(spark, folder):
+    """Search table of the sanitiser over its default grid of 96 configurations; a golden table and brute force test it."""
+    spec = TableSpec(row_id="p_partkey", target="p_brand", features=("p_type", "p_size"))
+    out = capped_sanitiser(table(spark, folder, "part"), spec, impute=False).search
+    return rounded(out, "eps", "noise", "sil", "overall_loss", "worst_excess", "score")
+
+
 @query("d8_threshold_sanitiser", f"""
 WITH RECURSIVE enc AS MATERIALIZED (SELECT p_partkey, CAST(dense_rank() OVER (ORDER BY p_type) - 1 AS DOUBLE) AS p_type, CAST(p_size AS DOUBLE) AS p_size FROM part),
 pz AS MATERIALIZED ({z_sql('enc', 'p_partkey', ['p_type', 'p_size'])}), {dbscan_ctes('', 'pz', 2, 0.2, 30)},

@@ -30,6 +30,17 @@ def test_credit_table_end_to_end(spark, fixtures):
     assert out.table.count() == 822 and out.table.columns == credit.columns
 
 
+def test_default_search_equals_the_recorded_one(spark, fixtures):
+    credit = materialise(with_row_id(read_credit(spark, f"{fixtures}/credit.data")))
+    got = capped_sanitiser(credit, TableSpec(row_id="row_id", target="class"), impute=False).search.orderBy("eps", "mp").collect()
+    want = read_csv(spark, f"{fixtures}/credit_search.csv").orderBy("eps", "mp").collect()
+    assert len(got) == len(want) == 14
+    for g, w in zip(got, want):
+        assert (g["mp"], g["k"], g["kept"], g["cap_ok"]) == (w["mp"], w["k"], w["kept"], w["cap_ok"])
+        for c in ("eps", "noise", "sil", "overall_loss", "worst_excess", "score"):
+            assert g[c] == pytest.approx(w[c], abs=1e-6), c
+
+
 def test_number_lines(spark, fixtures):
     t = read_number_lines(spark, f"{fixtures}/credit_numbers.data", [f"c{i}" for i in range(25)])
     assert t.count() == 50 and t.first()["c1"] == 6.0 and t.where("c24 is null").count() == 0
