@@ -14,6 +14,8 @@ from tabsieve.session import broadcast_if, materialise
 
 #: Clusters up to this size finish inside one task; larger ones iterate as Spark jobs.
 LOCAL_ROWS = 20_000
+#: Steps of the large groups that one written table holds.
+STEPS_A_TABLE = 4
 
 
 def _next_centre(x: np.ndarray, w: np.ndarray, centre: np.ndarray, variant: str) -> np.ndarray | None:
@@ -53,9 +55,9 @@ def geometric_medians(df: DataFrame, features: Sequence[str], keys: Sequence[str
 
     ``plain`` skips rows on the current centre; ``vardi_zhang`` lets them hold the
     centre back. Copies are folded to weights first, so ``local_rows`` bounds what
-    one task holds. All larger groups advance together, one aggregate per step, and
-    leave once they move less than ``tol``; ``max_iter`` steps end the search at the
-    centre reached, in both variants.
+    one task holds. All larger groups advance together, one aggregate per step, with their
+    centres in a table, and rest once they move less than ``tol``; ``max_iter`` steps end
+    the search at the centre reached, in both variants.
     """
     if variant not in ("plain", "vardi_zhang"):
         raise ValueError(variant)
@@ -80,35 +82,41 @@ def geometric_medians(df: DataFrame, features: Sequence[str], keys: Sequence[str
     large = sizes.where(F.col("_n") > local_rows).select(*keys)
     if large.isEmpty():
         return out
-    # Each large group holds over local_rows rows, so few of them exist and their
-    # centres (groups x features) are the only state on the driver.
     active = materialise(folded.join(broadcast_if(large, sizes.count() * 64), keys))
-    start = active.groupBy(*keys).agg(*[(F.sum(F.col(n) * F.col("_w")) / F.sum("_w")).alias(n) for n in names]).collect()
-    centres = {tuple(r[k] for k in keys): np.array([r[n] for n in names]) for r in start}
-    spark, done = df.sparkSession, {}
-    for step in range(max_iter):
-        rows = [(*k, *[float(v) for v in m]) for k, m in centres.items()]
-        state = spark.createDataFrame(rows, key_types + ", " + ", ".join(f"_c{i} double" for i in range(len(names))))
-        d = F.sqrt(total([(F.col(n) - F.col(f"_c{i}")) * (F.col(n) - F.col(f"_c{i}")) for i, n in enumerate(names)]))
-        inv = F.when(F.col("_d") > 0, F.col("_w") / F.col("_d")).otherwise(0.0)
-        sums = (active.join(broadcast_if(state, len(rows) * 8 * len(names)), keys).withColumn("_d", d)
-                .withColumn("_inv", inv).groupBy(*keys)
-                .agg(*[F.sum(F.col(n) * F.col("_inv")).alias(n) for n in names], F.sum("_inv").alias("_inv"),
-                     F.sum(F.when(F.col("_d") == 0, F.col("_w")).otherwise(0.0)).alias("_zero")).collect())
-        for r in sums:
-            key = tuple(r[k] for k in keys)
-            nxt = _combine(np.array([r[n] for n in names]), r["_inv"] or 1.0, r["_zero"], r["_inv"] > 0, centres[key], variant)
-            moved = np.inf if nxt is None else np.sqrt(((nxt - centres[key]) ** 2).sum())
-            if nxt is None or moved < tol:
-                done[key] = centres.pop(key) if nxt is None else nxt
-                centres.pop(key, None)
-            else:
-                centres[key] = nxt
-        if not centres:
+    n_large = large.count()
+    state = materialise(active.groupBy(*keys).agg(*[(F.sum(F.col(n) * F.col("_w")) / F.sum("_w")).alias(f"_c{i}") for i, n in enumerate(names)])
+                        .withColumn("_done", F.lit(False)))
+    for at in range(0, max_iter, STEPS_A_TABLE):
+        for _ in range(min(STEPS_A_TABLE, max_iter - at)):
+            state = _advanced(state, active, keys, names, variant, tol, n_large * 8 * (len(names) + len(keys)))
+        state = materialise(state)
+        if state.where("NOT _done").isEmpty():
             break
-    done.update(centres)
-    big = spark.createDataFrame([(*k, *[float(v) for v in m]) for k, m in done.items()], schema)
-    return out.unionByName(big)
+    return out.unionByName(state.select(*keys, *[F.col(f"_c{i}").alias(f"m_{c}") for i, c in enumerate(features)]))
+
+
+def _advanced(state: DataFrame, active: DataFrame, keys: list[str], names: list[str], variant: str, tol: float, size: float) -> DataFrame:
+    """``state`` (keys, centre, _done) after one Weiszfeld step of the groups that still move."""
+    centre = [F.col(f"_c{i}") for i in range(len(names))]
+    open_ = state.where("NOT _done").drop("_done")
+    rows = (active.join(broadcast_if(open_, size), keys)
+            .withColumn("_d", F.sqrt(total([(F.col(n) - c) * (F.col(n) - c) for n, c in zip(names, centre)])))
+            .withColumn("_inv", F.when(F.col("_d") > 0, F.col("_w") / F.col("_d")).otherwise(0.0)))
+    sums = rows.groupBy(*keys, *[f"_c{i}" for i in range(len(names))]).agg(
+        *[F.sum(F.col(n) * F.col("_inv")).alias(n) for n in names], F.sum("_inv").alias("_inv"),
+        F.sum(F.when(F.col("_d") == 0, F.col("_w")).otherwise(0.0)).alias("_zero"))
+    target = [F.when(F.col("_inv") > 0, F.col(n) / F.col("_inv")).otherwise(c) for n, c in zip(names, centre)]
+    if variant == "plain":
+        following = target
+    else:
+        # Vardi and Zhang (2000), as in ``_combine``.
+        pull = F.col("_inv") * F.sqrt(total([(t - c) * (t - c) for t, c in zip(target, centre)]))
+        held = F.when(pull > 0, F.least(F.lit(1.0), F.col("_zero") / pull)).otherwise(1.0)
+        following = [F.when(F.col("_zero") == 0, t).otherwise(c + (1.0 - held) * (t - c)) for t, c in zip(target, centre)]
+    moved = sums.select(*keys, *centre, "_inv", *[f.alias(f"_f{i}") for i, f in enumerate(following)])
+    way = F.sqrt(total([(F.col(f"_f{i}") - c) * (F.col(f"_f{i}") - c) for i, c in enumerate(centre)]))
+    return (moved.select(*keys, *[F.col(f"_f{i}").alias(f"_c{i}") for i in range(len(names))], ((F.col("_inv") == 0) | (way < tol)).alias("_done"))
+            .unionByName(state.where("_done")))
 
 
 def centre_distances(df: DataFrame, centres: DataFrame, features: Sequence[str], keys: Sequence[str] = ("cluster",),

@@ -11,7 +11,7 @@ from tabsieve.operators.dbscan import dbscan
 from tabsieve.operators.diagnose import cluster_summary, grid_extremes, silhouette_squared
 from tabsieve.plans.sanitiser import capped_sanitiser, label_and_measure, threshold_sanitiser, trimmed_strata
 from tabsieve.queries.registry import dbscan_ctes, distance_sql, query, rounded, table, z_sql
-from tabsieve.session import materialise
+from tabsieve.session import broadcast_if, materialise
 from tabsieve.spec import TableSpec
 
 FEATURES = ["p_size", "p_retailprice"]
@@ -91,26 +91,43 @@ def medians_sql(steps: int, variant: str, source: str = "rows", where: str = "cl
     return ",\n".join(out)
 
 
-STEPS = 10
-
-
-@query("a10_geometric_median_plain", f"""{ROWS}, {medians_sql(STEPS, 'plain')}
-SELECT cluster, round(z0, 4) AS m_p_size, round(z1, 4) AS m_p_retailprice FROM c{STEPS}""")
+def converged_sql(variant: str, source: str = "rows", where: str = "cluster >= 0") -> str:
+    """CTEs ``mem`` and ``centre``: Weiszfeld steps per cluster until one is shorter than 1e-5, 400 at most."""
+    d = distance_sql(2, a="m", b="i")
+    inv = f"CASE WHEN {d} > 0 THEN 1.0 / {d} ELSE 0.0 END"
+    if variant == "plain":
+        n0, n1 = "coalesce(t0, o0)", "coalesce(t1, o1)"
+    else:
+        r = "sqrt(((t0 - o0) * s) * ((t0 - o0) * s) + ((t1 - o1) * s) * ((t1 - o1) * s))"
+        ratio = f"CASE WHEN zeros = 0 THEN 0.0 WHEN s = 0 OR {r} = 0 THEN 1.0 ELSE least(1.0, zeros / {r}) END"
+        n0, n1 = (f"coalesce(o{i} + (1.0 - ({ratio})) * (t{i} - o{i}), o{i})" for i in (0, 1))
+    return f"""mem AS MATERIALIZED (SELECT * FROM {source} WHERE {where}),
+it AS (SELECT 0 AS k, cluster, avg(z0) AS z0, avg(z1) AS z1, 1e9 AS moved FROM mem GROUP BY cluster
+  UNION ALL
+  SELECT k + 1, cluster, n0, n1, sqrt((n0 - o0) * (n0 - o0) + (n1 - o1) * (n1 - o1)) FROM (
+    SELECT k, cluster, o0, o1, {n0} AS n0, {n1} AS n1 FROM (
+      SELECT i.k, m.cluster, i.z0 AS o0, i.z1 AS o1, sum(m.z0 * ({inv})) / nullif(sum({inv}), 0) AS t0, sum(m.z1 * ({inv})) / nullif(sum({inv}), 0) AS t1,
+             sum({inv}) AS s, count(*) FILTER (WHERE {d} = 0) AS zeros
+      FROM mem m JOIN it i ON m.cluster = i.cluster WHERE i.moved >= 1e-5 AND i.k < 400 GROUP BY i.k, m.cluster, i.z0, i.z1))),
+centre AS MATERIALIZED (SELECT cluster, arg_max(z0, k) AS z0, arg_max(z1, k) AS z1 FROM it GROUP BY cluster)"""
+
+
+@query("a10_geometric_median_plain", f"""{ROWS}, {converged_sql('plain')}
+SELECT cluster, round(z0, 4) AS m_p_size, round(z1, 4) AS m_p_retailprice FROM centre""")
 def median_plain(spark, folder):
     rows = labelled(spark, folder).where("cluster >= 0")
-    return rounded(geometric_medians(rows, FEATURES, tol=0.0, max_iter=STEPS), "m_p_size", "m_p_retailprice")
+    return rounded(geometric_medians(rows, FEATURES), "m_p_size", "m_p_retailprice")
 
 
 @query("a11_geometric_median_vardi_zhang", f"""WITH RECURSIVE rows AS MATERIALIZED (
   SELECT c_nationkey AS cluster, CASE WHEN c_custkey % 3 = 0 THEN 0.0 ELSE c_acctbal END AS z0, CAST(length(c_mktsegment) AS DOUBLE) AS z1 FROM customer),
-{medians_sql(STEPS, 'vardi_zhang', where='true')}
-SELECT cluster, round(z0, 4) AS m_balance, round(z1, 4) AS m_name FROM c{STEPS}""")
+{converged_sql('vardi_zhang', where='true')}
+SELECT cluster, round(z0, 4) AS m_balance, round(z1, 4) AS m_name FROM centre""")
 def median_vz(spark, folder):
     rows = table(spark, folder, "customer").select(
         F.col("c_nationkey").alias("cluster"), F.when(F.col("c_custkey") % 3 == 0, 0.0).otherwise(F.col("c_acctbal")).alias("balance"),
         F.length("c_mktsegment").cast("double").alias("name"))
-    # two groups in three iterate as Spark jobs here, the rest inside one task each
-    out = geometric_medians(rows, ["balance", "name"], variant="vardi_zhang", tol=0.0, max_iter=STEPS, local_rows=40)
+    out = geometric_medians(rows, ["balance", "name"], variant="vardi_zhang")
     return rounded(out, "m_balance", "m_name")
 
 
@@ -127,12 +144,12 @@ def weighted(spark, folder):
     return rounded(out.select("p_partkey", "cluster", "distance"), "distance", digits=3)
 
 
-@query("j7_centre_join", f"""{ROWS}, {medians_sql(STEPS, 'plain')}
-SELECT m.id AS p_partkey, m.cluster, round(m.z0 - c.z0, 4) AS off_size, round(m.z1 - c.z1, 4) AS off_price FROM mem m JOIN c{STEPS} c ON m.cluster = c.cluster""")
+@query("j7_centre_join", f"""{ROWS}, {converged_sql('plain')}
+SELECT m.id AS p_partkey, m.cluster, round(m.z0 - c.z0, 4) AS off_size, round(m.z1 - c.z1, 4) AS off_price FROM mem m JOIN centre c ON m.cluster = c.cluster""")
 def centre_join(spark, folder):
     rows = materialise(labelled(spark, folder).where("cluster >= 0"))
-    centres = materialise(geometric_medians(rows, FEATURES, tol=0.0, max_iter=STEPS))
-    out = rows.join(F.broadcast(centres), "cluster").select(
+    centres = materialise(geometric_medians(rows, FEATURES))
+    out = rows.join(broadcast_if(centres, 32 * centres.count()), "cluster").select(
         "p_partkey", "cluster", (F.col("p_size") - F.col("m_p_size")).alias("off_size"), (F.col("p_retailprice") - F.col("m_p_retailprice")).alias("off_price"))
     return rounded(out, "off_size", "off_price")
 
@@ -412,11 +429,11 @@ def thresholded(spark, folder):
     return threshold_sanitiser(p, spec, eps=0.2, min_samples=30, thresholds=th, max_iter=20)
 
 
-@query("a12_member_distances", f"""{ROWS}, {medians_sql(STEPS, 'plain')}
+@query("a12_member_distances", f"""{ROWS}, {converged_sql('plain')}
 SELECT m.id AS p_partkey, m.cluster, round(sqrt(0.5 * (m.z0 - c.z0) * (m.z0 - c.z0) + 0.5 * (m.z1 - c.z1) * (m.z1 - c.z1)), 4) AS distance
-FROM mem m JOIN c{STEPS} c ON m.cluster = c.cluster""")
+FROM mem m JOIN centre c ON m.cluster = c.cluster""")
 def measured(spark, folder):
-    members, _ = label_and_measure(table(spark, folder, "part").select("p_partkey", *FEATURES), "p_partkey", FEATURES, EPS, MIN_SAMPLES, max_iter=STEPS)
+    members, _ = label_and_measure(table(spark, folder, "part").select("p_partkey", *FEATURES), "p_partkey", FEATURES, EPS, MIN_SAMPLES)
     return rounded(members.select("p_partkey", "cluster", "distance"), "distance")
 
 
