@@ -57,8 +57,12 @@ class Block:
 
 
 def fold_copies(df: DataFrame, id_col: str, features: Sequence[str], tags: Sequence[str] = ()) -> DataFrame:
-    """One weighted point per distinct vector: ``pid`` is the smallest id among its copies."""
-    keys = [F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(features)]
+    """One weighted point per distinct vector: ``pid`` is the smallest id among its copies.
+
+    A null feature has no distance to anything: the job fails and names the column (impute or drop such rows first).
+    """
+    keys = [F.coalesce(F.col(c).cast("double"), F.raise_error(F.lit(f"feature {c} is null in some row: impute or drop nulls first")).cast("double"))
+            .alias(f"_x{i}") for i, c in enumerate(features)]
     keys += [F.col(c).cast("double").alias(f"_t{i}") for i, c in enumerate(tags)]
     names = [f"_x{i}" for i in range(len(features))] + [f"_t{i}" for i in range(len(tags))]
     return (df.select(F.col(id_col).cast("long").alias("_id"), *keys)

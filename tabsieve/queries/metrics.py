@@ -317,7 +317,7 @@ def with_region(spark, folder, *frames):
 @query("m31_metric_suite")
 def suite(spark, folder):
     real, syn = with_region(spark, folder, *customer_supplier(spark, folder))
-    return rounded(evaluate(real, syn, SPEC, list(FAMILIES)), "mean").select("metric", "family", "mean", "direction", "status")
+    return rounded(evaluate(real, syn, SPEC, list(FAMILIES)), "min", "max", "mean", "stddev", "median", "iqr").drop("error")
 
 
 @query("m31_two_arm_comparison")

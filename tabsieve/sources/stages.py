@@ -61,7 +61,11 @@ def open_jobs(jobs: DataFrame, done: DataFrame, keys: Sequence[str] = ("dataset"
 
 
 def append_results(df: DataFrame, path: str, keys: Sequence[str] = ("dataset", "arm", "synth")) -> None:
-    df.write.mode("append").partitionBy(*keys).parquet(path)
+    """Write the results of some jobs; results that these jobs left before are replaced, those of other jobs stay.
+
+    A job that is run again after a crash, before or after its commit, leaves one copy.
+    """
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
 def run_jobs(jobs: DataFrame, work: Callable[[Row], DataFrame], path: str | None = None,
