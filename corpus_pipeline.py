@@ -10,7 +10,7 @@ from tabsieve.session import materialise
 
 CAPACITY = 2048
 #: Characters a task tokenises at once: after other stages a worker has less memory left than in a query of its own.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_000_000
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,6 +14,15 @@ from pyspark.sql import functions as F
 OUT_ROWS = 2048
 
 
+def give_back() -> None:
+    """Return free memory of this Python worker to the machine; workers live on and serve the tasks of later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim is not None:
+        trim(0)
+
+
 def boxed(df: DataFrame) -> Column:
     """All columns of ``df`` in one struct ``row``, where no name of theirs meets a name of an operator."""
     return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabsieve.llm.batches import free_name, map_rows
+from tabsieve.llm.batches import free_name, give_back, map_rows
 from tabsieve.session import broadcast_if, materialise, spread_lookup
 
 #: Documents that the prior weighs at least.
@@ -142,6 +142,7 @@ def keep_documents(df: DataFrame, text_col: str, host_col: str, max_rate: float
     def run(batches):
         for batch in batches:
             yield batch.filter(pa.array([not base_measures(v.as_py())[-1] for v in batch.column(at)], pa.bool_()))
+        give_back()
 
     flag = free_name(columns, "_bad")
     return _with_verdict(df.mapInArrow(run, schema), bad, size, host_col, flag).where(F.col(flag).isNull()).select(*[F.col(f"`{c}`") for c in columns])

@@ -10,7 +10,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabsieve.llm.batches import map_rows
+from tabsieve.llm.batches import give_back, map_rows
 
 #: Keyword -> kind whose expression is tried where the keyword starts.
 KEYWORDS = {"password": "assign", "passwd": "assign", "secret": "assign", "token": "assign", "apikey": "assign", "api_key": "assign",
@@ -131,6 +131,7 @@ def mask_secrets(df: DataFrame, text_col: str, mask: str = "[masked]", length_co
     at, long_at = df.columns.index(text_col), df.columns.index(length_col) if length_col in df.columns else -1
 
     def run(batches):
+        give_back()
         automaton = keyword_automaton()
         for batch in batches:
             texts = [v.as_py() for v in batch.column(at)]
@@ -141,5 +142,6 @@ def mask_secrets(df: DataFrame, text_col: str, mask: str = "[masked]", length_co
                 known = [v.as_py() for v in batch.column(long_at)]
                 arrays[long_at] = pa.array([k if a == b else len(b) for k, a, b in zip(known, texts, clean)], batch.schema.field(long_at).type)
             yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
+        give_back()
 
     return df.mapInArrow(run, df.schema)
