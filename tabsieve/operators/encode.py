@@ -74,9 +74,16 @@ def category_mapping(df: DataFrame, columns: Sequence[str] | None = None, null_a
                        .select("column", (F.col("rn") - 1).cast("int").alias("code"), "category"))
 
 
-def _lookup(df: DataFrame, table: DataFrame, key: str, n_entries: int) -> DataFrame:
-    if n_entries <= 100_000:
-        return df.join(broadcast_if(table, n_entries * 64), key, "left")
+def _mapping_sizes(mapping: DataFrame) -> dict[str, tuple[int, int]]:
+    """Per column the number of codes and the bytes of its entries."""
+    rows = mapping.groupBy("column").agg((F.max("code") + 1).alias("codes"), F.sum(F.octet_length("category") + 48).alias("bytes")).collect()
+    return {r["column"]: (r["codes"], r["bytes"]) for r in rows}
+
+
+def _lookup(df: DataFrame, table: DataFrame, key: str, n_bytes: int) -> DataFrame:
+    small = broadcast_if(table, n_bytes)
+    if small is not table:
+        return df.join(small, key, "left")
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
     return spread_lookup(df, table, [key], counts, df.count(), how="left")
 
@@ -84,13 +91,13 @@ def _lookup(df: DataFrame, table: DataFrame, key: str, n_entries: int) -> DataFr
 def ordinal_encode(df: DataFrame, mapping: DataFrame, columns: Sequence[str] | None = None,
                    unknown: float | None = None, null_as_category: bool = False) -> DataFrame:
     """Replace categories by their code as double; ``unknown`` fills unseen and null values."""
-    sizes = {r["column"]: r["count"] for r in mapping.groupBy("column").count().collect()}
+    sizes = _mapping_sizes(mapping)
     columns = list(columns) if columns is not None else [c for c in df.columns if c in sizes]
     order, out = df.columns, df
     for c in columns:
         table = mapping.where(F.col("column") == c).select(F.col("category").alias("_cat"),
                                                            F.col("code").cast("double").alias("_code"))
-        out = _lookup(out.withColumn("_cat", _as_category(c, null_as_category)), table, "_cat", sizes.get(c, 0))
+        out = _lookup(out.withColumn("_cat", _as_category(c, null_as_category)), table, "_cat", sizes.get(c, (0, 0))[1])
         code = F.col("_code") if unknown is None else F.coalesce("_code", F.lit(float(unknown)))
         out = out.withColumn(c, code).drop("_cat", "_code")
     return out.select(*order)
@@ -98,13 +105,13 @@ def ordinal_encode(df: DataFrame, mapping: DataFrame, columns: Sequence[str] | N
 
 def ordinal_decode(df: DataFrame, mapping: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Codes back to categories; null and unknown codes give null."""
-    sizes = {r["column"]: r["count"] for r in mapping.groupBy("column").count().collect()}
+    sizes = _mapping_sizes(mapping)
     columns = list(columns) if columns is not None else [c for c in df.columns if c in sizes]
     order, out = df.columns, df
     for c in columns:
         table = mapping.where(F.col("column") == c).select(F.col("code").alias("_key"),
                                                            F.col("category").alias("_cat"))
-        out = _lookup(out.withColumn("_key", F.col(c).cast("int")), table, "_key", sizes.get(c, 0))
+        out = _lookup(out.withColumn("_key", F.col(c).cast("int")), table, "_key", sizes.get(c, (0, 0))[1])
         out = out.withColumn(c, F.col("_cat")).drop("_key", "_cat")
     return out.select(*order)
 
@@ -135,7 +142,7 @@ def label_encode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def _one_hot_entries(mapping: DataFrame) -> list[tuple[str, str]]:
     rows = mapping.orderBy("column", "code").limit(MAX_ONE_HOT + 1).collect()
     if len(rows) > MAX_ONE_HOT:
-        raise ValueError(f"more than {MAX_ONE_HOT} categories: use ordinal codes")
+        raise ValueError(f"more than {MAX_ONE_HOT} categories: use one_hot_slots or ordinal codes")
     return [(r["column"], r["category"]) for r in rows]
 
 
@@ -156,6 +163,39 @@ def one_hot_decode(df: DataFrame, mapping: DataFrame) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in hot], *back)
 
 
+def _first_slots(mapping: DataFrame) -> tuple[dict[str, int], int]:
+    """The first slot of each column, by column name, and the number of all slots."""
+    first, total = {}, 0
+    for c, (codes, _) in sorted(_mapping_sizes(mapping).items()):
+        first[c], total = total, total + codes
+    return first, total
+
+
+def one_hot_slots(df: DataFrame, mapping: DataFrame, name: str = "one_hot") -> DataFrame:
+    """Sparse one-hot form for any number of categories: ``name`` in place of the originals.
+
+    ``name`` is a struct of ``size``, the number of all categories, and ``slots``, the places of the ones in
+    ascending order: those of ``one_hot_encode`` counted from 0. Null and unseen categories have no slot.
+    """
+    first, total = _first_slots(mapping)
+    coded = ordinal_encode(df, mapping, list(first))
+    slots = F.array(*[F.col(c).cast("long") + F.lit(at) for c, at in first.items()]).cast("array<long>")
+    return coded.select(*[c for c in df.columns if c not in first],
+                        F.struct(F.lit(total).cast("long").alias("size"), F.filter(slots, lambda s: s.isNotNull()).alias("slots")).alias(name))
+
+
+def one_hot_slots_decode(df: DataFrame, mapping: DataFrame, name: str = "one_hot") -> DataFrame:
+    """The columns of ``mapping`` back from ``name``; no slot gives null."""
+    first, total = _first_slots(mapping)
+    ends = [*first.values(), total][1:]
+
+    def code(low, high):
+        return F.get(F.filter(F.col(name)["slots"], lambda s: (s >= low) & (s < high)), F.lit(0)) - low
+
+    codes = df.select(*[c for c in df.columns if c != name], *[code(low, high).alias(c) for (c, low), high in zip(first.items(), ends)])
+    return ordinal_decode(codes, mapping, list(first))
+
+
 def row_key(df: DataFrame, columns: Sequence[str], name: str = "row_key", digits: int = 6) -> DataFrame:
     """All columns joined by a pipe, fractional numbers rounded first."""
     def text(c):

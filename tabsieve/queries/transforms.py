@@ -98,6 +98,24 @@ def one_hot_back(spark, folder):
     return encode.one_hot_decode(encode.one_hot_encode(c, mapping), mapping)
 
 
+@query("p8_one_hot_slots", f"""
+SELECT o_orderkey, n.c + n.p AS size, concat_ws(',', CAST(c.code AS BIGINT), CAST(n.c + p.code AS BIGINT)) AS slots
+FROM orders JOIN (SELECT k, row_number() OVER (ORDER BY k) - 1 AS code FROM (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS k FROM orders)) c
+     ON CAST(o_custkey AS VARCHAR) = c.k JOIN {_rank("orders", "o_orderpriority")} p ON o_orderpriority = p.k,
+     (SELECT count(DISTINCT o_custkey) AS c, count(DISTINCT o_orderpriority) AS p FROM orders) n""")
+def sparse_one_hot(spark, folder):
+    o = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    out = encode.one_hot_slots(o, encode.category_mapping(o, ["o_custkey", "o_orderpriority"]))
+    return out.select("o_orderkey", F.col("one_hot.size").alias("size"), F.array_join(F.col("one_hot.slots").cast("array<string>"), ",").alias("slots"))
+
+
+@query("p9_one_hot_slots_decode", "SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, o_orderpriority FROM orders")
+def sparse_one_hot_back(spark, folder):
+    o = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    mapping = encode.category_mapping(o, ["o_custkey", "o_orderpriority"])
+    return encode.one_hot_slots_decode(encode.one_hot_slots(o, mapping), mapping)
+
+
 @query("p10_encode_against_reference", f"""
 WITH d AS (SELECT p_partkey, CASE WHEN p_size > 40 THEN 'Brand#X' ELSE p_brand END AS p_brand,
                   CASE WHEN p_type = 'ECONOMY' THEN NULL ELSE p_type END AS p_type, CASE WHEN p_size = 10 THEN NULL ELSE p_size END AS p_size FROM part)

@@ -102,3 +102,33 @@ def test_spread_lookup_keeps_join_kind_for_absent_hot_key(spark, n_rows, how, ex
     counts = rows.where("k is not null").groupBy("k").agg((F.count("*") * 1000).alias("_rows"))
     out = spread_lookup(rows, table, ["k"], counts, n_rows, how)
     assert out.count() == expected and out.where("code is not null").count() == 1
+
+
+def test_sparse_one_hot_of_many_categories(spark):
+    df = spark.range(50_000).select("id", F.concat(F.lit("v"), F.lpad("id", 5, "0")).alias("s"), F.when(F.col("id") % 3 > 0, (F.col("id") % 3).cast("string")).alias("t"))
+    m = encode.category_mapping(df, ["t", "s"])
+    hot = encode.one_hot_slots(df, m)
+    assert hot.columns == ["id", "one_hot"] and hot.select("one_hot.size").distinct().collect() == [(50_002,)]
+    rows = {r["id"]: r["one_hot"]["slots"] for r in hot.where("id IN (0, 4, 49999)").collect()}
+    assert rows == {0: [0], 4: [4, 50_000], 49_999: [49_999, 50_000]}
+    back = encode.one_hot_slots_decode(hot, m)
+    assert back.columns == df.columns and back.exceptAll(df).isEmpty() and back.count() == 50_000
+
+
+def test_sparse_one_hot_equals_the_wide_form(spark):
+    df = spark.createDataFrame([(1, "a", "x"), (2, "zz", None), (3, "b", "y"), (3, "b", "y")], "id int, s string, t string")
+    m = encode.category_mapping(df.where("s <> 'zz'"), ["s", "t"])
+    wide = encode.one_hot_encode(df, m)
+    ones = sorted((r["id"], [i for i, v in enumerate(r[1:]) if v]) for r in wide.collect())
+    assert ones == sorted((r["id"], r["one_hot"]["slots"]) for r in encode.one_hot_slots(df, m).collect())
+    assert encode.one_hot_slots(df.limit(0), m).count() == 0
+    none = encode.one_hot_slots(df, m.limit(0))
+    assert none.columns == ["id", "s", "t", "one_hot"] and {tuple(r["one_hot"]["slots"]) for r in none.collect()} == {()}
+
+
+def test_long_categories_are_not_broadcast(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "a" * 5000), (2, None), (3, "b" * 5000)], "id int, s string")
+    m = encode.category_mapping(df, ["s"])
+    assert encode._mapping_sizes(m)["s"] == (2, 10_096)
+    monkeypatch.setattr("tabsieve.session.BROADCAST_BYTES", 9000)
+    assert {r["id"]: r["s"] for r in encode.ordinal_encode(df, m).collect()} == {1: 0.0, 2: None, 3: 1.0}
