@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tabsieve.operators import neighbours
 from tabsieve.operators.dbscan import dbscan
+from tabsieve.operators.metric_names import direction
 from tabsieve.operators.utility import correlation_p_value
 from tabsieve.plans.suite import evaluate
 from tabsieve.sources.stages import append_results, run_jobs
@@ -53,3 +54,10 @@ def test_recorded_columns(spark):
     failed = out["stats.survival_km_distance"]
     assert failed["status"] == "failed" and failed["errors"] == 2 and failed["mean"] is None and failed["error"]
     assert out["stats.prdc.precision"]["mean"] == 1.0
+
+
+def test_directions_of_metrics_and_attacks():
+    assert direction("privacy.delta-presence.score", "recorded") == "maximize" and direction("privacy.delta-presence.score", "tables") == "minimize"
+    assert {direction(f"DataLeakage{m}") for m in ("Linear", "MLP", "XGB")} | {direction("DomiasMIAKDE")} == {"minimize"}
+    with pytest.raises(KeyError):
+        direction("attack.unknown")
