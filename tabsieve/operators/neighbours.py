@@ -15,6 +15,7 @@ from tabsieve.functions.hashing import seeded_digest
 from tabsieve.functions.ranking import exact_quantiles, number_rows
 from tabsieve.operators.dbscan import neighbour_degrees
 from tabsieve.operators.scale import whiten
+from tabsieve.operators.silhouette import silhouette_points
 from tabsieve.operators.tiles import (SLACK, Tiles, block_distance, box_reach, build_tiles, distance_strips,
                                       fold_copies, fold_pairs, rows_in_reach, tile_pairs, with_tags)
 from tabsieve.session import materialise, spread_join, spread_lookup
@@ -304,77 +305,6 @@ def kernel_sums(queries: Tiles, refs: Tiles, scale: float, metric: str = "euclid
     return fold_pairs(queries, refs, pairs, start, step, finish, "pid long, w long, total double")
 
 
-def silhouette_points(tiles: Tiles, labels: DataFrame, metric: str = "euclidean") -> DataFrame:
-    """Mean silhouette per config from folded points: (config_id, silhouette).
-
-    Noise is a cluster of its own, a row alone in its cluster scores 0, and a
-    labelling with a single label or only single-row labels scores -1.
-    ``labels`` holds (pid, config_id, cluster).
-    """
-    configs = [r["config_id"] for r in labels.select("config_id").distinct().orderBy("config_id").collect()]
-    width = len(configs)
-
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        mat = rows.sort_values(["pid", "config_id"])["cluster"].to_numpy(dtype=float)
-        return pd.DataFrame([{"tile": int(rows["tile"].iloc[0]), "tag": mat.tobytes()}])
-
-    def list_ids(batches):
-        for pdf in batches:
-            for tile, ids, w in zip(pdf["tile"], pdf["ids"], pdf["w"]):
-                yield pd.DataFrame({"tile": np.int32(tile), "pid": np.frombuffer(ids, dtype=np.int64),
-                                    "copies": np.frombuffer(w)})
-
-    located = tiles.df.select("tile", "ids", "w").mapInPandas(list_ids, "tile int, pid long, copies double")
-    rows = materialise(located.join(labels, "pid"))
-    tagged = materialise(rows.groupBy("tile").applyInPandas(pack, "tile int, tag binary"))
-    marked = with_tags(tiles, tagged, width)
-    # Cluster sizes: one small row per (config, cluster).
-    sizes: dict[int, dict[int, float]] = {}
-    for r in rows.groupBy("config_id", "cluster").agg(F.sum("copies").alias("n")).collect():
-        sizes.setdefault(r["config_id"], {})[r["cluster"]] = r["n"]
-    known = [np.array(sorted(sizes[c]), dtype=float) for c in configs]
-    count = [np.array([sizes[c][int(v)] for v in lab]) for c, lab in zip(configs, known)]
-    n_rows = sum(sizes[configs[0]].values()) if configs else 0
-    valid = [1 < len(lab) < n_rows for lab in known]
-
-    def start(a):
-        return [np.zeros((len(a.ids), len(lab))) if ok else None for lab, ok in zip(known, valid)]
-
-    def step(sums, a, b, near, far, w_j):
-        member = [(b.tag[:, c, None] == known[c][None, :]) * b.w[:, None] if valid[c] else None for c in range(width)]
-        for rows, d in distance_strips(a.x, b.x, metric):
-            for c in range(width):
-                if valid[c]:
-                    sums[c][rows] += d @ member[c]
-
-    def finish(sums, a):
-        out = []
-        for c in range(width):
-            if not valid[c]:
-                continue
-            own = np.searchsorted(known[c], a.tag[:, c])
-            idx = np.arange(len(a.ids))
-            n_own = count[c][own]
-            inner = sums[c][idx, own] / np.maximum(n_own - 1, 1)
-            other = sums[c] / count[c][None, :]
-            other[idx, own] = np.inf
-            outer = other.min(axis=1)
-            top = np.maximum(inner, outer)
-            s = np.where((n_own == 1) | (top == 0), 0.0, (outer - inner) / np.where(top == 0, 1.0, top))
-            out.append((configs[c], float((s * a.w).sum())))
-        return pd.DataFrame(out, columns=["config_id", "s"]) if out else None
-
-    parts = fold_pairs(marked, marked, tile_pairs(marked, marked, metric), start, step, finish,
-                       "config_id int, s double")
-    base = df_configs(tiles, configs)
-    return (base.join(parts.groupBy("config_id").agg((F.sum("s") / F.lit(float(n_rows or 1))).alias("silhouette")),
-                      "config_id", "left").withColumn("silhouette", F.coalesce("silhouette", F.lit(-1.0))))
-
-
-def df_configs(tiles: Tiles, configs: Sequence[int]) -> DataFrame:
-    return tiles.df.sparkSession.createDataFrame([(int(c),) for c in configs], "config_id int")
-
-
 def silhouette(df: DataFrame, id_col: str, features: Sequence[str], label: str = "cluster",
                metric: str = "euclidean") -> DataFrame:
     """One row with the exact mean silhouette of a labelled table."""

@@ -12,8 +12,9 @@ from tabsieve.operators.dbscan import attach_labels
 from tabsieve.operators.diagnose import class_loss, cluster_summary
 from tabsieve.operators.filters import admissible, closest_cluster_count, stratified_trim
 from tabsieve.operators.forest import label_grid
-from tabsieve.operators.neighbours import median_pair_distance, metric_space, prepare, silhouette_points
+from tabsieve.operators.neighbours import median_pair_distance, metric_space, prepare
 from tabsieve.operators.scale import standardise
+from tabsieve.operators.silhouette import silhouette_points
 from tabsieve.session import materialise
 
 # Default grid of the search.

@@ -54,6 +54,7 @@ class Block:
     x: np.ndarray
     w: np.ndarray
     tag: np.ndarray
+    note: bytes = b""
 
 
 def fold_copies(df: DataFrame, id_col: str, features: Sequence[str], tags: Sequence[str] = ()) -> DataFrame:
@@ -210,7 +211,7 @@ def _unpack(row, side: str, dims: int, tags: int) -> Block | None:
     return Block(int(row.i if side == "a" else row.j), ids,
                  np.frombuffer(getattr(row, f"{side}_x")).reshape(len(ids), dims),
                  np.frombuffer(getattr(row, f"{side}_w")),
-                 np.frombuffer(getattr(row, f"{side}_tag")).reshape(len(ids), tags))
+                 np.frombuffer(getattr(row, f"{side}_tag")).reshape(len(ids), tags), getattr(row, f"{side}_note", b""))
 
 
 def fold_pairs(a: Tiles, b: Tiles, pairs: DataFrame, start: Callable, step: Callable, finish: Callable,
@@ -220,11 +221,13 @@ def fold_pairs(a: Tiles, b: Tiles, pairs: DataFrame, start: Callable, step: Call
     ``start(A)`` opens a state, ``step(state, A, B, near, far, w_j)`` updates it
     (B is None where the pair row carries no payload) and may return rows at once,
     and ``finish(state, A)`` returns the rows for that tile. One tile plus its state is held at a time.
+    A column ``note`` of the tiles of a reaches its blocks as it is.
     """
     spark = a.df.sparkSession
     pay = ["ids", "x", "w", "tag"]
+    own = pay + [c for c in ("note",) if c in a.df.columns]
     n = min(partitions(spark), a.n_tiles)  # a task holds at least one tile
-    left = a.df.select(F.col("tile").alias("i"), *[F.col(c).alias(f"a_{c}") for c in pay])
+    left = a.df.select(F.col("tile").alias("i"), *[F.col(c).alias(f"a_{c}") for c in own])
     right = b.df.select(F.col("tile").alias("j"), *[F.col(c).alias(f"b_{c}") for c in pay])
     need, bare = pairs, None
     if "payload" in pairs.columns:
@@ -237,7 +240,7 @@ def fold_pairs(a: Tiles, b: Tiles, pairs: DataFrame, start: Callable, step: Call
     if bare is not None:
         rows = rows.unionByName(bare, allowMissingColumns=True).repartition(n, "i")
     rows = rows.join(F.broadcast(left) if a.bytes <= BROADCAST_BYTES else left, "i")
-    rows = rows.select("i", "j", "near", "far", "w_j", *[f"{t}_{c}" for t in ("a", "b") for c in pay])
+    rows = rows.select("i", "j", "near", "far", "w_j", *[f"a_{c}" for c in own], *[f"b_{c}" for c in pay])
     rows = rows.sortWithinPartitions("i", "near", "j")
     ad, at, bd, bt = a.dims, a.tags, b.dims, b.tags
 

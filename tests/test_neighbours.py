@@ -7,6 +7,9 @@ from brute import distances, silhouette
 from tabsieve.operators import neighbours, proximity
 from tabsieve.operators.components import connected_components
 from tabsieve.operators.dbscan import dbscan
+from tabsieve.operators.silhouette import (cluster_cells, cluster_summaries, clusters_to_open, label_tiles, pairs_to_open,
+                                           silhouette_points)
+from tabsieve.operators.tiles import build_tiles
 
 
 def frame(spark, x, offset=0):
@@ -113,3 +116,49 @@ def test_ball_metrics_against_brute_force(spark):
     assert got["recall"] == pytest.approx((rs < ks[None, :]).any(1).mean())
     assert got["density"] == pytest.approx(inside.sum(0).mean() / 5)
     assert got["coverage"] == pytest.approx((rs.min(1) < kr).mean())
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
+def test_silhouette_opens_only_near_clusters(spark, metric):
+    rng = np.random.default_rng(8)
+    centres = rng.uniform(-40, 40, size=(30, 2))
+    label = np.repeat(np.arange(30), 60)
+    x = np.round(centres[label] + rng.normal(scale=0.6, size=(1800, 2)), 1)
+    labellings = {0: label, 3: np.where(rng.uniform(size=1800) < 0.05, -1, label), 5: np.zeros(1800, dtype=int), 9: np.where(label == 4, np.arange(1800) + 100, label)}
+    df, cols = frame(spark, x)
+    points, _ = neighbours.prepare(df, "id", cols)
+    tiles = build_tiles(points, 2, max_tile_rows=128)
+    first = {}
+    for i, r in enumerate(x):
+        first.setdefault(tuple(r), i)
+    # Copies are folded before, so each point has the cluster of its first copy.
+    same = np.array([first[tuple(r)] for r in x])
+    labellings = {c: v[same] for c, v in labellings.items()}
+    rows = [(int(i), c, int(v[i])) for c, v in labellings.items() for i in sorted(set(same))]
+    labels = spark.createDataFrame(rows, "pid long, config_id int, cluster int")
+    got = {r["config_id"]: r["silhouette"] for r in silhouette_points(tiles, labels, metric).collect()}
+    d = distances(x, x, metric)
+    for c, v in labellings.items():
+        if len(set(v)) == 1:
+            assert got[c] == -1.0
+            continue
+        kinds = sorted(set(v))
+        sums = np.stack([d[:, v == k].sum(axis=1) for k in kinds], axis=1)
+        n, own, at = np.array([(v == k).sum() for k in kinds]), np.searchsorted(kinds, v), np.arange(len(v))
+        inner, mean = sums[at, own] / np.maximum(n[own] - 1, 1), sums / n
+        mean[at, own] = np.inf
+        outer = mean.min(axis=1)
+        assert got[c] == pytest.approx(np.mean(np.where(n[own] == 1, 0.0, (outer - inner) / np.maximum(inner, outer))))
+    # The plain labelling: most clusters stay closed, and so do most tile pairs.
+    one = labels.where("config_id = 0")
+    marked = label_tiles(tiles, one, 1)
+    cells = cluster_cells(marked)
+    opened = clusters_to_open(marked, cluster_summaries(cells, 2), metric)
+    sizes = [len(r["cluster"]) for r in opened.collect()]
+    assert len(sizes) == tiles.df.count() >= 14 and np.mean(sizes) < 15
+    assert pairs_to_open(opened, cells).count() < 0.6 * len(sizes) ** 2
+
+
+def test_silhouette_of_no_rows(spark):
+    df, cols = frame(spark, np.zeros((1, 2)))
+    assert neighbours.silhouette(df.limit(0).withColumn("cluster", F.lit(0)), "id", cols).count() == 0
