@@ -28,9 +28,11 @@ WORD_BREAK = r"[^\p{L}\p{N}]+"
 def with_signatures(df: DataFrame, text: Column, name: str) -> DataFrame:
     """Adds ``name``: the sorted distinct hashes of (anchor, next ``CHAIN`` content words) of a text.
 
-    The start of the text opens a chain too, cut short where words end, so that every text with a word
-    has a signature. An anchor at place i with j anchors before it has i - j content words before it;
-    that is where its chain begins. Null and empty texts have none.
+    The start of the text opens a chain too, cut short where words end. A text without a complete chain
+    after an anchor is signed by every run of ``CHAIN`` consecutive words instead (fewer words: all of
+    them), so that its whole text counts. An anchor at place i with j anchors before it has i - j content
+    words before it; that is where its chain begins. Null and empty texts, and texts without a letter or
+    digit, have none.
     """
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), WORD_BREAK), lambda w: w != "")
     out = df.withColumn("_w", words)
@@ -43,9 +45,12 @@ def with_signatures(df: DataFrame, text: Column, name: str) -> DataFrame:
         return F.when(whole, F.xxhash64(spot["w"], *[F.get("_c", at + k) for k in range(CHAIN)]))
 
     opening = F.xxhash64(*[F.get("_c", F.lit(k)) for k in range(CHAIN)], F.get("_w", F.lit(0)))
-    found = F.filter(F.transform(spots, chain), lambda h: h.isNotNull())
-    every = F.when(F.size("_w") > 0, F.array_append(found, opening)).otherwise(F.array().cast("array<long>"))
-    return out.withColumn(name, F.sort_array(F.array_distinct(every))).drop("_w", "_c")
+    out = out.withColumn("_found", F.filter(F.transform(spots, chain), lambda h: h.isNotNull()))
+    last = F.greatest(F.size("_w") - CHAIN, F.lit(0))
+    plain = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.lit(""), *[F.get("_w", i + k) for k in range(CHAIN)]))
+    every = (F.when(F.size("_found") > 0, F.array_append("_found", opening)).when(F.size("_w") > 0, plain)
+             .otherwise(F.array().cast("array<long>")))
+    return out.withColumn(name, F.sort_array(F.array_distinct(every))).drop("_w", "_c", "_found")
 
 
 def likeness(a: Column, b: Column, least: float = 0.0) -> Column:

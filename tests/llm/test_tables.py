@@ -109,9 +109,10 @@ def brute_signatures(text):
             chain = [x for x in words[i + 1:] if x not in spot_signatures.ANCHORS][:spot_signatures.CHAIN]
             if len(chain) == spot_signatures.CHAIN:
                 found.add((w, *chain))
-    if words:
+    if found:
         found.add(("start", words[0], *[x for x in words if x not in spot_signatures.ANCHORS][:spot_signatures.CHAIN]))
-    return found
+        return found
+    return {tuple(words[i:i + spot_signatures.CHAIN]) for i in range(max(len(words) - spot_signatures.CHAIN + 1, 1))} if words else found
 
 
 def ratio(a, b):
@@ -151,6 +152,17 @@ def test_fingerprints_of_odd_tables(spark):
     assert spot_signatures.edited_likeness(spark.createDataFrame(rows, shape), "doc_id", "text").count() == 5
 
 
+def test_texts_without_a_chain_are_signed_whole(spark):
+    """One opening and different rests are different; only the likeness of the whole text counts."""
+    opening, rests = "red green blue yellow ", ["one two three four five six", "seven eight nine ten eleven twelve"]
+    rows = [(1, opening + rests[0]), (2, opening + rests[1]), (3, opening + rests[1] + " the"), (4, "red green"), (5, "red green"), (6, "!!!"), (7, None)]
+    got = {r["doc_id"]: r for r in spot_signatures.edited_likeness(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
+    assert len({got[d]["fingerprint"] for d in (1, 2, 3, 4)}) == 4 and got[4]["fingerprint"] == got[5]["fingerprint"]
+    want = {d: ratio(brute_signatures(a), brute_signatures(b)) for (d, a), (_, b) in zip(rows, rows[1:] + rows[:1])}
+    assert {d: r["near_next"] for d, r in got.items()} == pytest.approx(want) and 0 < got[1]["near_next"] < 0.2
+    assert got[6]["fingerprint"] == got[7]["fingerprint"] == ""
+
+
 def test_spot_links_equal_brute_force(spark, small):
     rows = [(r[0], r[1]) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()] + [(10_000, None), (10_001, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
