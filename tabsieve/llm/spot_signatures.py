@@ -122,16 +122,16 @@ def with_next(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     firsts = sorted((r[0], r[1][0], r[1][1]) for r in
                     keys.withColumn("p", part("k1", "k2")).groupBy("p").agg(F.min(F.struct("k1", "k2"))).collect())
     lead_of = {p: firsts[i - 1][0] for i, (p, _, _) in enumerate(firsts)}
-    table = [{"p": p, "k1": a, "k2": b, "to": lead_of[p]} for p, a, b in firsts]
-    first = F.from_json(F.lit(json.dumps(table)), "array<struct<p:int,k1:long,k2:long,to:int>>")
-    mine = F.get(F.filter(first, lambda f: f["p"] == F.col("_p")), F.lit(0))
-    placed = (rows.withColumn("_p", part("_k1", "_k2")).withColumn("_f", mine)
+    held = {p: {"k1": a, "k2": b, "to": lead_of[p]} for p, a, b in firsts}
+    table = [held.get(p) for p in range(n)]
+    first = F.from_json(F.lit(json.dumps(table)), "array<struct<k1:long,k2:long,to:int>>")
+    placed = (rows.withColumn("_p", part("_k1", "_k2")).withColumn("_f", F.get(first, F.col("_p")))
               .withColumn("_to", F.when((F.col("_f.k1") == F.col("_k1")) & (F.col("_f.k2") == F.col("_k2")), F.col("_f.to")))
               .withColumn("_at", F.explode(F.filter(F.array(F.struct(F.col("_p").alias("p"), F.lit(0).alias("guest")),
                                                             F.struct(F.col("_to").alias("p"), F.lit(1).alias("guest"))),
                                                     lambda s: s["p"].isNotNull())))
               .select(id_col, "text", "_k1", "_k2", F.col("_at.p").alias("_p"), F.col("_at.guest").alias("_guest")))
-    return placed.repartition("_p")
+    return placed.repartitionById(n, F.col("_p"))  # one range a task
 
 
 def edited_likeness(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
