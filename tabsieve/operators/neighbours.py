@@ -21,11 +21,11 @@ from tabsieve.operators.tiles import (SLACK, Tiles, block_distance, box_reach, b
 from tabsieve.session import materialise, spread_join, spread_lookup
 
 
-def metric_space(df: DataFrame, features: Sequence[str], metric: str) -> tuple[DataFrame, list[str], str]:
-    """Mahalanobis distance becomes Euclidean distance after whitening once."""
+def metric_space(df: DataFrame, features: Sequence[str], metric: str, strict: bool = False) -> tuple[DataFrame, list[str], str]:
+    """Mahalanobis distance becomes Euclidean distance after whitening once; ``strict`` raises where it is not defined."""
     if metric != "mahalanobis":
         return df, list(features), metric
-    return whiten(df, features, prefix="_mh_"), [f"_mh_{i}" for i in range(len(features))], "euclidean"
+    return whiten(df, features, prefix="_mh_", strict=strict), [f"_mh_{i}" for i in range(len(features))], "euclidean"
 
 
 def prepare(df: DataFrame, id_col: str, features: Sequence[str]) -> tuple[DataFrame, Tiles]:

@@ -66,17 +66,21 @@ def precision(cov: np.ndarray, rcond: float = 1e-12) -> np.ndarray:
     return np.linalg.pinv(cov, rcond=rcond, hermitian=True)
 
 
+class SingularCovariance(ValueError):
+    """Columns depend on each other, so Mahalanobis distance is not defined on them."""
+
+
 def whiten(df: DataFrame, columns: Sequence[str], cov: np.ndarray | None = None, prefix: str = "m_",
            strict: bool = False) -> DataFrame:
     """Rotate and scale so that Euclidean distance equals Mahalanobis distance.
 
-    ``strict`` raises on a singular covariance instead of using the pseudo-inverse.
+    ``strict`` raises ``SingularCovariance`` instead of using the pseudo-inverse.
     """
     cov = covariance(df, columns) if cov is None else cov
     values, vectors = np.linalg.eigh(cov)
     floor = max(values.max(), 0.0) * 1e-12
     if strict and values.min() <= floor:
-        raise ValueError("singular covariance")
+        raise SingularCovariance("singular covariance")
     factor = vectors * np.where(values > floor, 1.0 / np.sqrt(np.where(values > floor, values, 1.0)), 0.0)
 
     def axis(j) -> Column:

@@ -13,7 +13,7 @@ from tabsieve.operators.diagnose import class_loss, cluster_summary
 from tabsieve.operators.filters import admissible, closest_cluster_count, stratified_trim
 from tabsieve.operators.forest import label_grid
 from tabsieve.operators.neighbours import median_pair_distance, metric_space, prepare
-from tabsieve.operators.scale import standardise
+from tabsieve.operators.scale import SingularCovariance, standardise
 from tabsieve.operators.silhouette import silhouette_points
 from tabsieve.session import materialise
 
@@ -46,15 +46,21 @@ def grid_search(df: DataFrame, id_col: str, features: Sequence[str], eps_values:
     """One row per configuration: clusters, noise share and silhouette on standardised columns.
 
     ``algorithms``, ``leaf_sizes`` and ``p_values`` do not change labels: each
-    distinct labelling is computed once and fanned out to them by a join.
+    distinct labelling is computed once and fanned out to them by a join. Where the covariance is singular,
+    the Mahalanobis configurations stay as rows with null measures; rankings and choices pass over them.
     """
     spark = df.sparkSession
     z = materialise(standardise(df, features).select(id_col, *[f"z_{c}" for c in features]))
     zcols = [f"z_{c}" for c in features]
     parts = []
     for metric in metrics:
-        space, cols, plain = metric_space(z, zcols, metric)
         configs = [(float(e), int(m)) for e in eps_values for m in min_samples_values]
+        try:
+            space, cols, plain = metric_space(z, zcols, metric, strict=True)
+        except SingularCovariance:
+            parts.append(spark.createDataFrame([(None, None, None, e, m, metric) for e, m in configs], "num_clusters long, "
+                         "percentage_outliers double, silhouette_score double, eps double, min_samples int, metric string"))
+            continue
         for at, points, labels, tiles in _labelled(space, id_col, cols, configs, plain):
             rows = labels.join(points.select("pid", "copies"), "pid")
             sums = rows.groupBy("config_id").agg(
@@ -101,6 +107,7 @@ def rank_configurations(grid: DataFrame, target_noise: float, num_clusters: int
 
 def rank_by_noise(grid: DataFrame, target_noise: float, num_clusters: int | None = None, top_n: int = 5) -> DataFrame:
     """Older ranking: nearest cluster count, then distance to the wanted noise share."""
+    grid = grid.where(F.col("percentage_outliers").isNotNull())
     rows = grid if num_clusters is None else closest_cluster_count(grid, num_clusters)
     return (rows.withColumn("_d", F.abs(F.col("percentage_outliers") - target_noise))
             .orderBy("_d", "eps", "min_samples", *[c for c in ("metric",) if c in grid.columns]).limit(top_n).drop("_d"))

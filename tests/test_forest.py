@@ -66,3 +66,17 @@ def test_grid_of_no_rows_and_of_one_row(spark):
     for n in (0, 1):
         points, labels, _ = forest.label_grid(df.limit(n), "id", ["a", "b"], [(0.5, 1), (0.5, 2)])
         assert sorted(r["cluster"] for r in labels.collect()) == [-1, 0][:2 * n]
+
+
+def test_grid_states_where_mahalanobis_is_undefined(spark):
+    rng = np.random.default_rng(12)
+    a, b = rng.normal(size=80), rng.normal(size=80)
+    rows = spark.createDataFrame([(i, float(u), float(2 * u + 1), float(v)) for i, (u, v) in enumerate(zip(a, b))], "id long, a double, twice double, b double")
+    got = search.grid_search(rows, "id", ["a", "twice"], (0.2, 0.4), (3,), ("euclidean", "mahalanobis"), algorithms=("auto", "brute"))
+    measures = ["num_clusters", "percentage_outliers", "silhouette_score"]
+    held = {m: [[r[c] is None for c in measures] for r in got.where(F.col("metric") == m).collect()] for m in ("euclidean", "mahalanobis")}
+    assert held == {"euclidean": [[False] * 3] * 4, "mahalanobis": [[True] * 3] * 4}
+    assert {r["metric"] for r in search.rank_configurations(got, 0.0, top_n=50).collect()} <= {"euclidean"}
+    assert {r["metric"] for r in search.rank_by_noise(got, 0.0, top_n=50).collect()} == {"euclidean"}
+    free = search.grid_search(rows, "id", ["a", "b"], (0.4,), (3,), ("mahalanobis",)).collect()
+    assert len(free) == 1 and free[0]["num_clusters"] is not None
