@@ -116,7 +116,7 @@ SELECT id AS pid, min_by(nid, (d, nid)) AS nid, round(min(d), 4) AS distance FRO
 def cross_nearest(spark, folder):
     real, syn = customer_supplier(spark, folder)
     pair = scaled_pair(real, syn, "c_custkey", "c_custkey", ["c_nationkey", "c_acctbal"])
-    return rounded(pair.real_to_syn().select("pid", "nid", "distance"), "distance")
+    return rounded(pair.real_rows_to_syn(), "distance")
 
 
 @query("j6_cross_table_knn", """
