@@ -176,7 +176,7 @@ i AS (SELECT s.id, s.own, max(CASE WHEN own = oth THEN s / greatest(n.n - 1, 1)
 SELECT round(avg(CASE WHEN n_own = 1 THEN 0.0 ELSE (b - a) / greatest(a, b) END), 4) AS silhouette_sq FROM i""")
 def squared(spark, folder):
     rows = materialise(labelled(spark, folder))
-    return spark.createDataFrame([(round(silhouette_squared(rows, [f"z_{c}" for c in FEATURES]), 4),)], "silhouette_sq double")
+    return rounded(spark.createDataFrame([(silhouette_squared(rows, [f"z_{c}" for c in FEATURES]),)], "silhouette_sq double"), "silhouette_sq")
 
 
 @query("f3_stratified_trim", """

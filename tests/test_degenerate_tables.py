@@ -12,3 +12,9 @@ def test_every_copy_of_a_row_gets_its_nearest_row(spark):
     syn = spark.createDataFrame([(7, 0.0, 0.1), (8, 1.0, 1.0), (9, 1.0, 1.0)], "id long, a double, b double")
     got = scaled_pair(real, syn, "id", "id", ["a", "b"]).real_rows_to_syn().orderBy("pid").collect()
     assert [(r["pid"], r["nid"], round(r["distance"], 6)) for r in got] == [(1, 7, 0.1), (2, 7, 0.1), (3, 8, 0.0), (4, 8, 1.0)]
+
+
+def test_squared_silhouette_of_one_label_is_undefined(spark):
+    df = spark.range(6).select(F.col("id").cast("double").alias("a"), F.lit(0).alias("cluster"))
+    assert silhouette_squared(df, ["a"]) is None and silhouette_squared(df.limit(0), ["a"]) is None
+    assert silhouette_squared(df.withColumn("cluster", (F.col("a") > 2).cast("int")), ["a"]) > 0
