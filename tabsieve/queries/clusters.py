@@ -395,8 +395,10 @@ best AS (SELECT eps, mp FROM search WHERE cap_ok ORDER BY score, eps, mp LIMIT 1
 kept AS ({" UNION ALL ".join(f"SELECT id, {e!r}::DOUBLE AS eps, {m} AS mp FROM euc{i}_kept" for i, (e, m) in enumerate(CHOICE_GRID))})
 SELECT p.p_partkey, p.p_name, p.p_brand, p.p_type, p.p_size, p.p_retailprice FROM part p JOIN kept k ON p.p_partkey = k.id JOIN best b ON k.eps = b.eps AND k.mp = b.mp""")
 def sanitised(spark, folder):
-    """The kept rows of the best configuration that meets the cap, undecoded."""
-    return capped_sanitiser(table(spark, folder, "part"), SPEC, eps_values=CHOICE[0], min_samples=CHOICE[1], impute=False).table
+    """The kept rows of the best configuration that meets the cap, undecoded; none where no configuration is admissible."""
+    part = table(spark, folder, "part")
+    kept = capped_sanitiser(part, SPEC, eps_values=CHOICE[0], min_samples=CHOICE[1], impute=False).table
+    return part.where(F.lit(False)) if kept is None else kept
 
 
 @query("d2_default_grid")

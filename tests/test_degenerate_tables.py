@@ -18,3 +18,11 @@ def test_squared_silhouette_of_one_label_is_undefined(spark):
     df = spark.range(6).select(F.col("id").cast("double").alias("a"), F.lit(0).alias("cluster"))
     assert silhouette_squared(df, ["a"]) is None and silhouette_squared(df.limit(0), ["a"]) is None
     assert silhouette_squared(df.withColumn("cluster", (F.col("a") > 2).cast("int")), ["a"]) > 0
+
+
+def test_sanitiser_query_without_an_admissible_configuration(spark, tmp_path):
+    part = spark.range(12).select(F.col("id").alias("p_partkey"), F.lit("n").alias("p_name"), F.lit("b").alias("p_brand"),
+                                  F.lit("t").alias("p_type"), F.lit(3).alias("p_size"), F.lit(9.5).alias("p_retailprice"))
+    part.write.parquet(f"{tmp_path}/part.parquet")
+    got = QUERIES["d6_capped_sanitiser"](spark, str(tmp_path))
+    assert got.columns == part.columns and got.count() == 0
