@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tabsieve.operators.diagnose import silhouette_squared
+from tabsieve.operators.generate import split_train_holdout
 from tabsieve.operators.proximity import scaled_pair
 from tabsieve.queries import QUERIES
 
@@ -26,3 +27,9 @@ def test_sanitiser_query_without_an_admissible_configuration(spark, tmp_path):
     part.write.parquet(f"{tmp_path}/part.parquet")
     got = QUERIES["d6_capped_sanitiser"](spark, str(tmp_path))
     assert got.columns == part.columns and got.count() == 0
+
+
+def test_share_of_a_split_is_taken_exactly(spark):
+    for n, want in ((90, 63), (91, 63), (10, 7)):
+        parts = split_train_holdout(spark.range(n), "id")
+        assert parts.where("part = 'train'").count() == want and parts.count() == n
