@@ -1,7 +1,10 @@
 """Tables whose rows repeat or fall into one cluster."""
 
+import numpy as np
+from brute import distances
 from pyspark.sql import functions as F
 
+from tabsieve.operators import proximity
 from tabsieve.operators.diagnose import silhouette_squared
 from tabsieve.operators.generate import split_train_holdout
 from tabsieve.operators.proximity import scaled_pair
@@ -33,3 +36,24 @@ def test_share_of_a_split_is_taken_exactly(spark):
     for n, want in ((90, 63), (91, 63), (10, 7)):
         parts = split_train_holdout(spark.range(n), "id")
         assert parts.where("part = 'train'").count() == want and parts.count() == n
+
+
+def test_kernel_discrepancy_compares_no_pairs_in_a_narrow_box(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x, y = rng.random((70, 2)), rng.random((40, 2)) * 1.2 - 0.1
+    x[:20] = x[0]  # copies
+
+    def frame(m):
+        return spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(m)], "id long, a double, b double")
+
+    pair = proximity.Pair(frame(x), frame(y), "id", "id", ["a", "b"])
+    for gamma in (1.0, 9.0):
+        k = [np.exp(-gamma * distances(p, q) ** 2).mean() for p, q in ((x, x), (y, y), (x, y))]
+        want = k[0] + k[1] - 2 * k[2]
+        with monkeypatch.context() as m:
+            m.setattr(proximity, "MAX_MONOMIALS", 0)
+            assert abs(proximity.mmd_rbf(pair, gamma).first()[0] - want) < 1e-13
+            m.undo()
+            m.setattr(proximity, "kernel_sums", None)
+            assert abs(proximity.mmd_rbf(pair, gamma).first()[0] - want) < 1e-13
+    assert proximity._kernel_degree(1e4, 2) is None and proximity._kernel_degree(1.0, 30) is None
