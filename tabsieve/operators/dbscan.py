@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tabsieve.functions.ranking import number_rows
 from tabsieve.operators.components import connected_components
 from tabsieve.operators.tiles import (MAX_TILE_ROWS, SLACK, Tiles, box_reach, build_tiles, distance_strips,
-                                      fold_copies, fold_pairs, rows_in_reach, tile_pairs, with_tags)
+                                      fold_copies, fold_groups, fold_pairs, rows_in_reach, tile_pairs, with_tags)
 from tabsieve.session import materialise, spread_lookup
 
 NOISE = -1
@@ -57,7 +57,9 @@ def neighbour_degrees(tiles: Tiles, eps: Sequence[float], metric: str, enough: S
     def finish(deg, a):
         return pd.DataFrame([{"tile": a.tile, "tag": deg.tobytes()}])
 
-    return fold_pairs(tiles, tiles, pairs, start, step, finish, "tile int, tag binary")
+    # counts that may stop early go nearest tile first
+    fold = fold_groups if need is None else fold_pairs
+    return fold(tiles, tiles, pairs, start, step, finish, "tile int, tag binary")
 
 
 def _local_roots(x: np.ndarray, ids: np.ndarray, eps: float, metric: str) -> np.ndarray:

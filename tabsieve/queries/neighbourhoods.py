@@ -52,9 +52,8 @@ n AS (SELECT a.id, any_value(a.w) AS w, sum(b.w) AS n FROM q a JOIN p b ON a.c0
 SELECT CAST(n AS BIGINT) AS n_neighbours, CAST(sum(w) AS BIGINT) AS n_rows FROM n GROUP BY n""")
 def eps_join_lines(spark, folder):
     """Neighbour counts over the largest table (4 columns), summed up per count."""
-    lines = table(spark, folder, "lineitem").select(F.xxhash64("*").alias("id"), *LINE)
-    got = neighbours.eps_neighbour_counts(scale.standardise(lines, LINE), "id", [f"z_{c}" for c in LINE], 0.3)
-    return got.groupBy("n_neighbours").agg(F.count(F.lit(1)).alias("n_rows"))
+    lines = table(spark, folder, "lineitem").select(*LINE)
+    return neighbours.eps_neighbour_histogram(scale.standardise(lines, LINE), [f"z_{c}" for c in LINE], 0.3)
 
 
 @query("j2_eps_join_manhattan", _degrees_sql(ZPART, distance_sql(2, "manhattan") + " <= 0.1"))

@@ -4,7 +4,7 @@ import numpy as np
 from brute import distances
 from pyspark.sql import functions as F
 
-from tabsieve.operators import proximity
+from tabsieve.operators import neighbours, proximity, tiles
 from tabsieve.operators.diagnose import silhouette_squared
 from tabsieve.operators.generate import split_train_holdout
 from tabsieve.operators.proximity import scaled_pair
@@ -57,3 +57,17 @@ def test_kernel_discrepancy_compares_no_pairs_in_a_narrow_box(spark, monkeypatch
             m.setattr(proximity, "kernel_sums", None)
             assert abs(proximity.mmd_rbf(pair, gamma).first()[0] - want) < 1e-13
     assert proximity._kernel_degree(1e4, 2) is None and proximity._kernel_degree(1.0, 30) is None
+
+
+def test_neighbour_counts_send_a_tile_once_to_a_group(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.random((1500, 2)), np.full((40, 2), 0.5)])
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id long, a double, b double")
+    want = np.unique((distances(x, x) <= 0.2).sum(1), return_counts=True)
+    monkeypatch.setattr(tiles, "BROADCAST_BYTES", 0)
+    for size in (2, 3):
+        monkeypatch.setattr(tiles, "GROUP_TILES", size)
+        got = {r["n_neighbours"]: r["n_rows"] for r in neighbours.eps_neighbour_histogram(df, ["a", "b"], 0.2).collect()}
+        assert got == dict(zip(*[v.tolist() for v in want]))
+    per_row = {r["id"]: r["n_neighbours"] for r in neighbours.eps_neighbour_counts(df, "id", ["a", "b"], 0.2).collect()}
+    assert [per_row[i] for i in range(len(x))] == (distances(x, x) <= 0.2).sum(1).tolist()
