@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from functools import partial
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabsieve.functions.vectors import normalised, total, weighted_distance
-from tabsieve.session import broadcast_if, materialise
+from tabsieve.functions.vectors import normalised, weighted_distance
+from tabsieve.session import broadcast_if, materialise, null_safe_join, partitions
 
 #: Clusters up to this size finish inside one task; larger ones iterate as Spark jobs.
 LOCAL_ROWS = 20_000
-#: Steps of the large groups that one written table holds.
-STEPS_A_TABLE = 4
 
 
 def _next_centre(x: np.ndarray, w: np.ndarray, centre: np.ndarray, variant: str) -> np.ndarray | None:
@@ -55,8 +55,8 @@ def geometric_medians(df: DataFrame, features: Sequence[str], keys: Sequence[str
 
     ``plain`` skips rows on the current centre; ``vardi_zhang`` lets them hold the
     centre back. Copies are folded to weights first, so ``local_rows`` bounds what
-    one task holds. All larger groups advance together, one aggregate per step, with their
-    centres in a table, and rest once they move less than ``tol``; ``max_iter`` steps end
+    one task holds. All larger groups advance together, one job per step,
+    and rest once they move less than ``tol``; ``max_iter`` steps end
     the search at the centre reached, in both variants.
     """
     if variant not in ("plain", "vardi_zhang"):
@@ -71,7 +71,7 @@ def geometric_medians(df: DataFrame, features: Sequence[str], keys: Sequence[str
     if sizes.where(F.col("_n") > local_rows).isEmpty():
         small = folded
     else:
-        small = folded.join(broadcast_if(sizes.where(F.col("_n") <= local_rows), sizes.count() * 64), keys)
+        small = null_safe_join(folded, broadcast_if(sizes.where(F.col("_n") <= local_rows), sizes.count() * 64), keys)
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         centre = _iterate(rows[names].to_numpy(dtype=float), rows["_w"].to_numpy(), variant, tol, max_iter)
@@ -82,41 +82,63 @@ def geometric_medians(df: DataFrame, features: Sequence[str], keys: Sequence[str
     large = sizes.where(F.col("_n") > local_rows).select(*keys)
     if large.isEmpty():
         return out
-    active = materialise(folded.join(broadcast_if(large, sizes.count() * 64), keys))
-    n_large = large.count()
-    state = materialise(active.groupBy(*keys).agg(*[(F.sum(F.col(n) * F.col("_w")) / F.sum("_w")).alias(f"_c{i}") for i, n in enumerate(names)])
-                        .withColumn("_done", F.lit(False)))
-    for at in range(0, max_iter, STEPS_A_TABLE):
-        for _ in range(min(STEPS_A_TABLE, max_iter - at)):
-            state = _advanced(state, active, keys, names, variant, tol, n_large * 8 * (len(names) + len(keys)))
-        state = materialise(state)
-        if state.where("NOT _done").isEmpty():
+    centres = _large_medians(folded, large, keys, names, variant, tol, max_iter)
+    return out.unionByName(df.sparkSession.createDataFrame(centres, schema))
+
+
+def _large_medians(folded: DataFrame, large: DataFrame, keys: list[str], names: list[str], variant: str, tol: float, max_iter: int) -> list[tuple]:
+    """(keys…, centre…) of groups too large for one task: one Spark job a step over array blocks that stay in memory.
+
+    The driver holds one centre per large group and adds up one line of sums per group and task; there is at most one such
+    group per ``local_rows`` distinct rows. Blocks lie in ranges of groups, so a task meets few groups and a group many tasks.
+    """
+    spark = folded.sparkSession
+    groups = [tuple(r) for r in large.collect()]
+    types = ", ".join(f"`{k}` {large.schema[k].dataType.simpleString()}" for k in keys)
+    numbers = spark.createDataFrame([(*g, i) for i, g in enumerate(groups)], f"{types}, _g int")
+    rows = null_safe_join(folded, broadcast_if(numbers, len(groups) * 64), keys).select("_g", *names, "_w")
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for g, part in pdf.groupby("_g"):
+                yield pd.DataFrame([{"g": g, "x": part[names].to_numpy(dtype=float).tobytes(), "w": part["_w"].to_numpy(dtype=float).tobytes()}])
+
+    packed = materialise(rows.repartitionByRange(partitions(spark), "_g", *names).mapInPandas(pack, "g int, x binary, w binary"))
+    blocks = packed.rdd.map(lambda r: (r.g, np.frombuffer(r.x).reshape(-1, len(names)), np.frombuffer(r.w))).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def first(part):
+        return _added((g, np.concatenate([w @ x, [w.sum()]])) for g, x, w in part).items()
+
+    sums = _added(blocks.mapPartitions(first).collect())
+    centres = {g: s[:-1] / s[-1] for g, s in sums.items()}
+    moving = dict(centres)
+    for _ in range(max_iter):
+        if not moving:
             break
-    return out.unionByName(state.select(*keys, *[F.col(f"_c{i}").alias(f"m_{c}") for i, c in enumerate(features)]))
-
-
-def _advanced(state: DataFrame, active: DataFrame, keys: list[str], names: list[str], variant: str, tol: float, size: float) -> DataFrame:
-    """``state`` (keys, centre, _done) after one Weiszfeld step of the groups that still move."""
-    centre = [F.col(f"_c{i}") for i in range(len(names))]
-    open_ = state.where("NOT _done").drop("_done")
-    rows = (active.join(broadcast_if(open_, size), keys)
-            .withColumn("_d", F.sqrt(total([(F.col(n) - c) * (F.col(n) - c) for n, c in zip(names, centre)])))
-            .withColumn("_inv", F.when(F.col("_d") > 0, F.col("_w") / F.col("_d")).otherwise(0.0)))
-    sums = rows.groupBy(*keys, *[f"_c{i}" for i in range(len(names))]).agg(
-        *[F.sum(F.col(n) * F.col("_inv")).alias(n) for n in names], F.sum("_inv").alias("_inv"),
-        F.sum(F.when(F.col("_d") == 0, F.col("_w")).otherwise(0.0)).alias("_zero"))
-    target = [F.when(F.col("_inv") > 0, F.col(n) / F.col("_inv")).otherwise(c) for n, c in zip(names, centre)]
-    if variant == "plain":
-        following = target
-    else:
-        # Vardi and Zhang (2000), as in ``_combine``.
-        pull = F.col("_inv") * F.sqrt(total([(t - c) * (t - c) for t, c in zip(target, centre)]))
-        held = F.when(pull > 0, F.least(F.lit(1.0), F.col("_zero") / pull)).otherwise(1.0)
-        following = [F.when(F.col("_zero") == 0, t).otherwise(c + (1.0 - held) * (t - c)) for t, c in zip(target, centre)]
-    moved = sums.select(*keys, *centre, "_inv", *[f.alias(f"_f{i}") for i, f in enumerate(following)])
-    way = F.sqrt(total([(F.col(f"_f{i}") - c) * (F.col(f"_f{i}") - c) for i, c in enumerate(centre)]))
-    return (moved.select(*keys, *[F.col(f"_f{i}").alias(f"_c{i}") for i in range(len(names))], ((F.col("_inv") == 0) | (way < tol)).alias("_done"))
-            .unionByName(state.where("_done")))
+        sums = _added(blocks.mapPartitions(partial(_pulls, moving)).collect())
+        following = {g: _combine(s[:-3], s[-3], s[-2], s[-1] > 0, moving[g], variant) for g, s in sums.items()}
+        centres.update({g: c for g, c in following.items() if c is not None})
+        moving = {g: c for g, c in following.items() if c is not None and np.sqrt(((c - moving[g]) ** 2).sum()) >= tol}
+    blocks.unpersist()
+    return [(*groups[g], *c.tolist()) for g, c in centres.items()]
+
+
+def _added(lines: Iterable[tuple[int, np.ndarray]]) -> dict[int, np.ndarray]:
+    out: dict[int, np.ndarray] = {}
+    for g, s in lines:
+        out[g] = out[g] + s if g in out else s
+    return out
+
+
+def _pulls(centres: dict[int, np.ndarray], blocks: Iterator[tuple[int, np.ndarray, np.ndarray]]) -> Iterable[tuple[int, np.ndarray]]:
+    """Per group that still moves, the sums of one step: weighted rows over distance, weights over distance, weight on the centre, rows off it."""
+    def one(x, w, centre):
+        d = np.sqrt(((x - centre) ** 2).sum(axis=1))
+        off = d > 0
+        inv = np.where(off, w / np.where(off, d, 1.0), 0.0)
+        return np.concatenate([inv @ x, [inv.sum(), w[~off].sum(), off.sum()]])
+
+    return _added((g, one(x, w, centres[g])) for g, x, w in blocks if g in centres).items()
 
 
 def centre_distances(df: DataFrame, centres: DataFrame, features: Sequence[str], keys: Sequence[str] = ("cluster",),

@@ -5,10 +5,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabsieve.operators import attack, compare, generate, marginal, privacy, utility
+from tabsieve.operators import centre
 from tabsieve.operators.centre import density_histogram, geometric_medians
 from tabsieve.operators.diagnose import class_loss, pca_two, silhouette_squared
 from tabsieve.plans.suite import evaluate
 from tabsieve.plans.sweep import attack_sweep
+from tabsieve.session import materialise
 from tabsieve.sources.stages import StageStore, open_jobs
 from tabsieve.spec import TableSpec
 
@@ -28,6 +30,19 @@ def test_medians_local_and_distributed_agree(spark):
             assert all(np.linalg.norm(pts - (np.array(one[k]) + s), axis=1).sum() >= cost - 1e-4 for s in ([0.01, 0], [0, -0.01]))
 
 
+def test_large_groups_write_no_table_per_step_and_keep_null_keys(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    rows = [(k, float(a), float(b)) for k in (0, 1, None) for a, b in rng.normal(size=(40 if k != 1 else 5, 2))]
+    df = spark.createDataFrame(rows, "cluster int, a double, b double")
+    one = {r["cluster"]: (r["m_a"], r["m_b"]) for r in geometric_medians(df, ["a", "b"], tol=0.0, max_iter=30).collect()}
+    written = []
+    monkeypatch.setattr(centre, "materialise", lambda d: written.append(1) or materialise(d))
+    two = {r["cluster"]: (r["m_a"], r["m_b"]) for r in geometric_medians(df, ["a", "b"], tol=0.0, max_iter=30, local_rows=10).collect()}
+    assert len(written) <= 4
+    assert set(one) == set(two) == {0, 1, None}
+    assert all(one[k] == pytest.approx(two[k], abs=1e-9) for k in one)
+
+
 def test_variants_differ_on_a_centre_that_is_a_row(spark):
     df = spark.createDataFrame([(0, x) for x in (-4.0, 0.0, 1.0, 3.0)], "cluster int, a double")
     plain = geometric_medians(df, ["a"], variant="plain", max_iter=1).first()["m_a"]
