@@ -9,7 +9,7 @@ from tabsieve.operators.components import connected_components
 from tabsieve.operators.dbscan import dbscan
 from tabsieve.operators.silhouette import (cluster_cells, cluster_summaries, clusters_to_open, label_tiles, pairs_to_open,
                                            silhouette_points)
-from tabsieve.operators.tiles import build_tiles
+from tabsieve.operators.tiles import LEAF_ROWS, block_distance, build_tiles, leaf_boxes, near_entries
 
 
 def frame(spark, x, offset=0):
@@ -162,3 +162,26 @@ def test_silhouette_opens_only_near_clusters(spark, metric):
 def test_silhouette_of_no_rows(spark):
     df, cols = frame(spark, np.zeros((1, 2)))
     assert neighbours.silhouette(df.limit(0).withColumn("cluster", F.lit(0)), "id", cols).count() == 0
+
+
+@pytest.mark.parametrize("dims", [2, 24])
+def test_near_entries_hold_the_nearest_and_their_ties(dims):
+    rng = np.random.default_rng(5)
+    y = np.round(rng.normal(size=(200, dims)), 1) + 1e6
+    y[100:] = y[:100]  # every distance twice
+    x, want = y[:20] + 0.25, np.full(20, np.inf)
+    d = block_distance(x, y)
+    for reach in (want, np.sort(d, axis=1)[:, 2]):
+        r, c, got = near_entries(x, y, reach, 4, "euclidean")
+        assert (got == d[r, c]).all() and len(r) < 0.2 * d.size
+        for i in range(20):
+            limit = min(reach[i], np.sort(d[i])[3])
+            assert set(np.flatnonzero(d[i] <= limit)) <= set(c[r == i])
+
+
+def test_leaves_of_a_block_are_small_and_hold_every_row_once():
+    x = np.random.default_rng(6).normal(size=(1000, 3))
+    leaves, lo, hi = leaf_boxes(x)
+    assert max(map(len, leaves)) <= LEAF_ROWS and (np.sort(np.concatenate(leaves)) == np.arange(1000)).all()
+    assert all((x[rows] >= a).all() and (x[rows] <= b).all() for rows, a, b in zip(leaves, lo, hi))
+    assert np.prod(hi - lo, axis=1).sum() < 0.5 * np.prod(x.max(axis=0) - x.min(axis=0))
