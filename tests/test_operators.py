@@ -1,4 +1,5 @@
 import math
+import threading
 
 import numpy as np
 import pytest
@@ -215,3 +216,18 @@ def test_registered_suites_ask_for_every_family(spark, small, monkeypatch):
     for wanted in asked:
         assert (wanted if isinstance(wanted, dict) else {f: FAMILIES[f] for f in wanted}) == FAMILIES
     assert len(asked) == 2
+
+
+def test_metrics_of_the_suite_run_side_by_side(spark, monkeypatch):
+    meet = threading.Barrier(2, timeout=30)
+
+    def value(*args):
+        meet.wait()  # breaks where metrics run one after the other
+        return spark.range(1).select(F.lit(0.5).alias("value"))
+
+    monkeypatch.setattr(marginal, "data_mismatch", value)
+    monkeypatch.setattr(marginal, "common_rows", value)
+    df = spark.createDataFrame([(i, float(i)) for i in range(4)], "id long, a double")
+    got = evaluate(df, df, TableSpec(row_id="id", features=("a",)), {"sanity": ["data_mismatch", "common_rows_proportion"]}).collect()
+    assert [(r["metric"], r["mean"], r["status"]) for r in got] == [
+        ("sanity.data_mismatch.score", 0.5, "ok"), ("sanity.common_rows_proportion.score", 0.5, "ok")]
