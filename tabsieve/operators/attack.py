@@ -19,7 +19,7 @@ from tabsieve.operators.filters import constant_columns, duplicate_columns, know
 from tabsieve.operators.generate import split_train_holdout
 from tabsieve.operators.neighbours import kernel_sums, prepare, to_rows
 from tabsieve.operators.scale import covariance, whiten
-from tabsieve.operators.utility import accuracy_scores, assemble, auroc_by_ranks
+from tabsieve.operators.utility import accuracy_scores, assemble, auroc_by_ranks, predictions
 from tabsieve.session import materialise
 
 RESULT = ("attribute string, n_classes long, baseline double, degenerate boolean, model string, acc double, "
@@ -80,18 +80,18 @@ def attribute_inference(real: DataFrame, syn: DataFrame, column: str, models: Se
 
     def ready(df):
         coded = shared_label_codes(syn, df.select(*others, column), column, name="label").drop(column)
-        return assemble(encode_against(coded, real.select(*others)), others, "label")
+        return encode_against(coded, real.select(*others))
 
     fitted = syn
     if fit_rows is not None:
         fitted = syn.orderBy(F.xxhash64(F.lit(seed), *[F.col(c).cast("string") for c in syn.columns])).limit(fit_rows)
-    train, test = materialise(ready(fitted)), materialise(known_label_rows(ready(real)))
+    train, test = materialise(assemble(ready(fitted), others, "label")), materialise(known_label_rows(ready(real)))
     n_classes = int(train.agg(F.max("label")).first()[0]) + 1
     n_train, rows = train.count(), []
     for name in models:
         try:
             model = attack_model(name, n_train, len(others), n_classes, seed, **sizes)
-            got = accuracy_scores(model.fit(train).transform(test)).first()
+            got = accuracy_scores(predictions(model.fit(train), test, others), weight="n").first()
             acc, bal = (round(float(got[k] or 0.0), 4) for k in ("acc", "bal_acc"))
             rows.append((column, n_real_classes, baseline, False, name, acc, bal, round(acc - baseline, 4), None))
         except Exception as e:  # noqa: BLE001 - a failed fit is a result row
