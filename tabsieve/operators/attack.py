@@ -13,14 +13,15 @@ from pyspark.sql import functions as F
 
 from tabsieve.functions.ranking import exact_quantiles
 from tabsieve.functions.vectors import total
+from tabsieve.operators.cells import cell_columns, count_cells, exact_thresholds, forest_predictions
 from tabsieve.operators.diagnose import majority_share
 from tabsieve.operators.encode import encode_against, row_key, shared_label_codes
 from tabsieve.operators.filters import constant_columns, duplicate_columns, known_label_rows
 from tabsieve.operators.generate import split_train_holdout
 from tabsieve.operators.neighbours import kernel_sums, prepare, to_rows
 from tabsieve.operators.scale import covariance, whiten
-from tabsieve.operators.utility import accuracy_scores, assemble, auroc_by_ranks, predictions
-from tabsieve.session import materialise
+from tabsieve.operators.utility import accuracy_scores, assemble, auroc_by_ranks, folded, predictions
+from tabsieve.session import in_few_tasks, materialise
 
 RESULT = ("attribute string, n_classes long, baseline double, degenerate boolean, model string, acc double, "
           "bal_acc double, advantage double, error string")
@@ -62,10 +63,8 @@ def _guess(column: str):
 
 
 def attribute_inference(real: DataFrame, syn: DataFrame, column: str, models: Sequence[str] = ("logreg", "rf"),
-                        seed: int = 42, fit_rows: int | None = None, **sizes) -> DataFrame:
-    """Fit on synthetic rows, predict ``column`` on real rows: one result row per model.
-
-    ``fit_rows`` bounds the synthetic rows of a fit to those first in a hash order; all real rows are predicted.
+                        seed: int = 42, **sizes) -> DataFrame:
+    """Fit on all synthetic rows, predict ``column`` on all real rows: one result row per model.
 
     Categories of the other columns are coded by the real table; accuracy covers
     real rows whose class occurs in the synthetic table, the baseline all real rows.
@@ -82,16 +81,14 @@ def attribute_inference(real: DataFrame, syn: DataFrame, column: str, models: Se
         coded = shared_label_codes(syn, df.select(*others, column), column, name="label").drop(column)
         return encode_against(coded, real.select(*others))
 
-    fitted = syn
-    if fit_rows is not None:
-        fitted = syn.orderBy(F.xxhash64(F.lit(seed), *[F.col(c).cast("string") for c in syn.columns])).limit(fit_rows)
-    train, test = materialise(assemble(ready(fitted), others, "label")), materialise(known_label_rows(ready(real)))
-    n_classes = int(train.agg(F.max("label")).first()[0]) + 1
-    n_train, rows = train.count(), []
+    train, test = materialise(ready(syn)), materialise(known_label_rows(ready(real)))
+    facts = train.agg(F.max("label"), F.count(F.lit(1))).first()
+    n_classes, n_train = int(facts[0]) + 1, facts[1]
+    thresholds = [exact_thresholds(train, c) for c in others] if {"rf", "xgb"} & set(models) else []
+    rows = []
     for name in models:
         try:
-            model = attack_model(name, n_train, len(others), n_classes, seed, **sizes)
-            got = accuracy_scores(predictions(model.fit(train), test, others), weight="n").first()
+            got = accuracy_scores(_attacked(name, train, test, others, n_train, n_classes, thresholds, seed, sizes), weight="n").first()
             acc, bal = (round(float(got[k] or 0.0), 4) for k in ("acc", "bal_acc"))
             rows.append((column, n_real_classes, baseline, False, name, acc, bal, round(acc - baseline, 4), None))
         except Exception as e:  # noqa: BLE001 - a failed fit is a result row
@@ -99,6 +96,29 @@ def attribute_inference(real: DataFrame, syn: DataFrame, column: str, models: Se
     return spark.createDataFrame(rows, RESULT)
 
 
+def _attacked(name: str, train: DataFrame, test: DataFrame, features: Sequence[str], n_train: int, n_classes: int,
+              thresholds: Sequence[Sequence[float]], seed: int, sizes: dict) -> DataFrame:
+    """(label, prediction, n) of one model. Trees see rows as cells between thresholds, other models as they are, equal rows as one where weighted."""
+    model = attack_model(name, n_train, len(features), n_classes, seed, **sizes)
+    if name == "mlp":
+        return predictions(model.fit(assemble(train, features, "label")), test, features)
+    names = [f"_x{j}" for j in range(len(features))]
+    if name in ("logreg", "linear"):
+        rows = materialise(folded(train, features, "label", False))
+        return predictions(model.setWeightCol("n").fit(assemble(in_few_tasks(rows, rows.count()), names, "label", "n")), test, features)
+    cells = [f"_c{j}" for j in range(len(features))]
+    seen, met = (materialise(count_cells(df, features, thresholds)) for df in (train, test))
+    if name == "rf":
+        found = forest_predictions(seen, met, len(features), n_classes, model.getNumTrees(), model.getMaxDepth(), seed)
+        if found is not None:
+            return found
+        # draws with replacement are of rows, so MLlib gets every row
+        fitted = model.fit(assemble(train.select(*cell_columns(features, thresholds), "label"), cells, "label"))
+    else:
+        fitted = model.setWeightCol("n").fit(assemble(in_few_tasks(seen, seen.count()), cells, "label", "n"))
+    return fitted.transform(assemble(met, cells, "label", "n")).select("label", "prediction", "n")
+
+
 def membership_tables(base: DataFrame, arm: DataFrame, id_col: str, seed: int | str = 42,
                       share: float = 0.7) -> tuple[DataFrame, DataFrame, list[str]]:
     """(members, holdout, dropped columns): members are training rows the arm kept.

@@ -23,21 +23,17 @@ def line_arms(spark, folder):
     return t.where("l_linestatus = 'O'").drop("l_linestatus"), t.where("l_linestatus = 'F'").drop("l_linestatus")
 
 
-#: Rows that a model is fitted on here; models keep their full size and every real row is attacked.
-FIT_ROWS = 2_000
-
-
 @query("k1_k3_attribute_inference")
 def attribute(spark, folder):
     real, syn = line_arms(spark, folder)
-    return attack.attribute_inference(real, syn, "l_returnflag", ("logreg", "rf"), fit_rows=FIT_ROWS)
+    return attack.attribute_inference(real, syn, "l_returnflag", ("logreg", "rf"))
 
 
 @query("k10_attribute_leakage")
 def leakage(spark, folder):
     real, syn = line_arms(spark, folder)
     two = lambda d: d.withColumn("l_returnflag", F.when(F.col("l_returnflag") == "N", "N").otherwise("X"))
-    return attack.attribute_inference(two(real), two(syn), "l_returnflag", ("linear", "mlp", "xgb"), fit_rows=FIT_ROWS)
+    return attack.attribute_inference(two(real), two(syn), "l_returnflag", ("linear", "mlp", "xgb"))
 
 
 @query("k4_degenerate_attack", """
@@ -86,7 +82,7 @@ def sweep(spark, folder):
         s = syn if job["synth"] == "finished" else syn.withColumn("l_returnflag", F.lit("N"))
         return real, s, ["l_returnflag", "missing_column"]
 
-    return attack_sweep(jobs, load, ("logreg", "rf"), done, fit_rows=FIT_ROWS)
+    return attack_sweep(jobs, load, ("logreg", "rf"), done)
 
 
 @query("k7_membership_tables", f"""
