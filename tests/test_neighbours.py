@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from brute import dbscan as slow_dbscan
 from brute import distances, silhouette
-from tabsieve.operators import neighbours, proximity
+from tabsieve.operators import neighbours, proximity, tiles
 from tabsieve.operators.components import connected_components
 from tabsieve.operators.dbscan import dbscan
 from tabsieve.operators.silhouette import (cluster_cells, cluster_summaries, clusters_to_open, label_tiles, pairs_to_open,
@@ -185,3 +185,29 @@ def test_leaves_of_a_block_are_small_and_hold_every_row_once():
     assert max(map(len, leaves)) <= LEAF_ROWS and (np.sort(np.concatenate(leaves)) == np.arange(1000)).all()
     assert all((x[rows] >= a).all() and (x[rows] <= b).all() for rows, a, b in zip(leaves, lo, hi))
     assert np.prod(hi - lo, axis=1).sum() < 0.5 * np.prod(x.max(axis=0) - x.min(axis=0))
+
+
+def test_knn_in_many_columns_sends_tiles_to_groups(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(900, 12)).astype(np.float32).astype(float)
+    x[::7] = x[1]
+    x[100:500] = rng.normal(size=(400, 12))  # these need eight bytes a value
+    df, cols = frame(spark, x)
+    want = sorted(map(tuple, neighbours.knn(df, "id", cols, 4).collect()))
+    monkeypatch.setattr(tiles, "BROADCAST_BYTES", 1000)
+    monkeypatch.setattr(neighbours, "fold_pairs", None)
+    assert sorted(map(tuple, neighbours.knn(df, "id", cols, 4).collect())) == want
+    other, _ = frame(spark, x[:300] + 0.5, offset=5000)
+    got = {(r["id"], r["rank"]): r["neighbour"] for r in neighbours.knn(df, "id", cols, 2, other, "id").collect()}
+    d = distances(x, x[:300] + 0.5)
+    assert [got[i, 1] - 5000 for i in range(900)] == [int(np.lexsort((np.arange(300), r))[0]) for r in d]
+
+
+def test_tiles_travel_short_only_where_that_is_exact(spark):
+    x = np.array([[0.5, 1.0]] * 300 + [[0.1, 1e300]])
+    df, cols = frame(spark, x)
+    _, built = neighbours.prepare(df, "id", cols)
+    rows = {r["tile"]: r for r in tiles.shortened(built).df.collect()}
+    for r in built.df.collect():
+        block = tiles._block(r["tile"], *(rows[r["tile"]][c] for c in ("ids", "x", "w", "tag")), 2, 0)
+        assert block.x.tobytes() == r["x"]
